@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, token_count, token_store
+from newsloom.llm import bpe, minhash, token_count, token_store, url_filter
 from newsloom.llm.common import fresh_path
 
 END_ID = 2
@@ -36,9 +36,33 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_table(_table(spark, sf_dir, "documents"))
+
+
+#: The rules of the url query.
+RULES = [
+    url_filter.Rule("com", "/", "allow"),
+    url_filter.Rule("example.com", "/en/", "block"),
+    url_filter.Rule("www.example.com", "/en/", "allow"),
+    url_filter.Rule("net", "/es/", "block"),
+    url_filter.Rule("net", "/fr/", "block"),
+]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of the document that its url's path ends with; low quality or toxic is bad."""
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), "/([0-9]{1,18})(?:[./]|$)", 1)
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.when(number != "", number.cast("long")).alias("outcome_key"))
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("outcome_key"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filter.judge(pages, labels, RULES)
+
+
 QUERIES = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op6_token_store": op6_token_store,
+    "op8_minhash": op8_minhash,
+    "op9_url_filter": op9_url_filter,
     "op10_token_count": op10_token_count,
 }
 
