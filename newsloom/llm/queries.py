@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, minhash, simhash, token_count, token_store, url_filter
+from newsloom.llm import bpe, minhash, oracles, simhash, token_count, token_store, url_filter
 from newsloom.llm.common import fresh_path
 from newsloom.llm.line_dedup import LineIndex
 
@@ -80,4 +80,7 @@ QUERIES = {
     "op10_token_count": op10_token_count,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": oracles.LINE_DEDUP,
+    "op9_url_filter": oracles.URL_FILTER,
+}
