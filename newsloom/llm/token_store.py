@@ -48,7 +48,7 @@ SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
 
 class LibraryCodec(dict):
-    """Ids of pre-tokens as the tokenizers library gives them, remembered."""
+    """Ids of pre-tokens as the tokenizers library gives them, remembered as little-endian 32-bit bytes."""
 
     def __init__(self, data: bytes, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,32 +58,34 @@ class LibraryCodec(dict):
         self.split = vocab.splitter(pattern)
         special = vocab.special_strings(data)
         self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
+        ids = self.library.get_vocab()
+        self.opens = np.zeros(max(ids.values()) + 1, bool)  # whether an id's token starts with a space
+        self.opens[[i for token, i in ids.items() if token.startswith(vocab.spelled(b" "))]] = True
 
     def _plain(self, text: str) -> bool:
         return self.special(text) is None and vocab.cuts_alike(text)
 
+    def _by_library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(one.ids, "<u4") for one in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, tokens: set[str]) -> None:
-        """Words behind one space part again when joined, so the library gets them in one call."""
+        """Words behind one space part again when joined, so the library gets them in one text; each starts with a token that opens with the space."""
         words = [t for t in tokens if t[0] == " " and t[1:].isalpha()]
-        rest = [t for t in tokens if not (t[0] == " " and t[1:].isalpha())]
-        got = self.library.encode("".join(words), add_special_tokens=False)
-        ids, at = np.array(got.ids, np.int64), np.array(got.word_ids, np.int64)
-        ends = np.searchsorted(at, np.arange(len(words)), side="right")
-        starts = np.searchsorted(at, np.arange(len(words)), side="left")
-        plain = ids.tolist()
-        for word, a, b in zip(words, starts.tolist(), ends.tolist(), strict=True):
-            self[word] = tuple(plain[a:b])
-        for token, one in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
-            self[token] = tuple(one.ids)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        rest = list(tokens.difference(words))
+        ids = self._by_library(["".join(words)])[0]
+        places = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
+        raw = ids.tobytes()
+        self.update(zip(words, map(raw.__getitem__, map(slice, places[:-1], places[1:])), strict=True))
+        self.update(zip(rest, (one.tobytes() for one in self._by_library(rest)), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > MEMO:
             self.clear()
         cut = [self.split(t) if self._plain(t) else None for t in texts]
         if missing := set(chain.from_iterable(filter(None, cut))).difference(self):
             self._learn(missing)
         look = self.__getitem__
-        return [np.fromiter(chain.from_iterable(map(look, tokens)) if tokens is not None else self.library.encode(text, add_special_tokens=False).ids, np.uint32) for text, tokens in zip(texts, cut, strict=True)]
+        return [b"".join(map(look, tokens)) if tokens is not None else self._by_library([text])[0].tobytes() for text, tokens in zip(texts, cut, strict=True)]
 
 
 _codecs: dict[tuple[str, str], LibraryCodec] = {}
@@ -114,13 +116,12 @@ def shard_bounds(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> np.ndarray:
 def frames(docs: DataFrame, json_path: str, pattern: str, end_id: int, bounds: np.ndarray) -> DataFrame:
     """shard, doc_id, frame, raw_bytes, checksum of every row of docs (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast((vocab.read_bytes(json_path), bounds))
-    end = np.array([end_id], np.uint32)
+    end = struct.pack("<I", end_id)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, parts = sent.value
         squeeze = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
-        ids = library_codec(data, pattern).encode([t or "" for t in batch.column(1).to_pylist()])
-        raw = [np.concatenate([x, end]).astype("<u4").tobytes() for x in ids]
+        raw = [ids + end for ids in library_codec(data, pattern).encode([t or "" for t in batch.column(1).to_pylist()])]
         keys = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
         shard = np.searchsorted(parts, keys, side="right").astype(np.int32)
         return pa.record_batch([pa.array(shard), batch.column(0), pa.array(map(squeeze, raw), pa.binary()), pa.array(map(len, raw), pa.int64()), pa.array(map(_checksum, raw), pa.int64())], names=["shard", "doc_id", "frame", "raw_bytes", "checksum"])
