@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, minhash, oracles, simhash, token_count, token_store, url_filter
+from newsloom.llm import bpe, html_extract, langid, minhash, oracles, simhash, token_count, token_store, url_filter
 from newsloom.llm.common import fresh_path
 from newsloom.llm.line_dedup import LineIndex
 
@@ -38,6 +38,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "tokens")
     token_store.write_store(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, END_ID)
@@ -48,6 +52,10 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_table(_table(spark, sf_dir, "documents"))
 
@@ -74,7 +82,9 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_language": op5_language,
     "op6_token_store": op6_token_store,
+    "op7_main_text": op7_main_text,
     "op8_minhash": op8_minhash,
     "op9_url_filter": op9_url_filter,
     "op10_token_count": op10_token_count,
