@@ -97,8 +97,8 @@ def codec(data: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids array<int> and decoded binary of every row of docs (doc_id, text), in one narrow stage."""
+def round_trip(docs: DataFrame, rank_path: str, pattern: str, keep_text: bool = False) -> DataFrame:
+    """doc_id, ids array<int>, decoded binary and, if asked for, text of every row of docs (doc_id, text), in one narrow stage."""
     sent = docs.sparkSession.sparkContext.broadcast(vocab.read_bytes(rank_path))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -110,9 +110,10 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
             decoded.append(own.decode(got))
         offsets = pa.array([0, *_running(map(len, ids))], pa.int32())
         flat = pa.concat_arrays(ids) if ids else pa.array([], pa.int32())
-        return pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets, flat), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+        columns = [batch.column(0), pa.ListArray.from_arrays(offsets, flat), pa.array(decoded, pa.binary()), *[batch.column(1)] * keep_text]
+        return pa.record_batch(columns, names=["doc_id", "ids", "decoded", *["text"] * keep_text])
 
-    return map_rows(docs.select("doc_id", "text"), "text", "doc_id long, ids array<int>, decoded binary", work)
+    return map_rows(docs.select("doc_id", "text"), "text", "doc_id long, ids array<int>, decoded binary" + ", text string" * keep_text, work)
 
 
 def _running(sizes) -> list[int]:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: What one step inside a task holds of a batch's texts, in bytes.
 STEP_BYTES = 4 << 20
@@ -50,7 +51,7 @@ def steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterato
         yield batch.slice(start)
 
 
-def map_rows(df: DataFrame, column: str, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+def map_rows(df: DataFrame, column: str, schema: str | StructType, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """work over bounded slices of df's batches, inside tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

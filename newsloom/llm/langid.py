@@ -161,27 +161,42 @@ def fit(docs: DataFrame, buckets: int = 64, chars: int = 40_000) -> dict[str, st
     return {lang: text for lang, text in sample.items() if text}
 
 
+def judge(texts: list[str | None], sample: dict[str, str]) -> tuple[list[str], np.ndarray]:
+    """Language and score of texts, inside a task."""
+    clean = [letters_of(t) for t in texts]
+    known = [i for i, t in enumerate(clean) if t] if sample else []
+    lang, score = ["und"] * len(texts), np.zeros(len(texts))
+    if known:
+        own = parser(sample)
+        bits = own.bits([clean[i] for i in known])
+        score[known] = 1 / np.exp(-SHARP * (bits / bits.min(axis=1, keepdims=True) - 1)).sum(axis=1)
+        for i, b in zip(known, bits.argmin(axis=1).tolist(), strict=True):
+            lang[i] = own.languages[b]
+    return lang, score
+
+
 def predict(docs: DataFrame, sample: dict[str, str]) -> DataFrame:
     """doc_id, lang_pred, score of every row of docs (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(sample)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [letters_of(t) for t in batch.column(1).to_pylist()]
-        known = [i for i, t in enumerate(texts) if t] if sent.value else []
-        lang, score = ["und"] * len(texts), np.zeros(len(texts))
-        if known:
-            own = parser(sent.value)
-            bits = own.bits([texts[i] for i in known])
-            best = bits.argmin(axis=1)
-            least = bits.min(axis=1, keepdims=True)
-            score[known] = 1 / np.exp(-SHARP * (bits / least - 1)).sum(axis=1)
-            for i, b in zip(known, best.tolist(), strict=True):
-                lang[i] = own.languages[b]
+        lang, score = judge(batch.column(1).to_pylist(), sent.value)
         return pa.record_batch([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return map_rows(docs.select("doc_id", "text"), "text", "doc_id long, lang_pred string, score double", work)
 
 
+def keep_identified(docs: DataFrame, sample: dict[str, str], least: float) -> DataFrame:
+    """The rows of docs, all columns, whose language is found with a score of at least `least`; no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(sample)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lang, score = judge(batch.column(batch.schema.get_field_index("text")).to_pylist(), sent.value)
+        return batch.filter(pa.array((np.array(lang) != "und") & (score >= least)))
+
+    return map_rows(docs, "text", docs.schema, work)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs (doc_id, text, lang); learns from rows not held out only."""
     sample = fit(docs.where(~held_out(F.col("doc_id"))))

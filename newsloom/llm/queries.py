@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, html_extract, langid, minhash, oracles, simhash, token_count, token_store, url_filter
+from newsloom.llm import bpe, decontam, html_extract, langid, minhash, oracles, simhash, token_count, token_store, url_filter
 from newsloom.llm.common import fresh_path
 from newsloom.llm.line_dedup import LineIndex
 
@@ -28,6 +28,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), digest.alias("kept_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and each benchmark item that it holds."""
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return made.select(
@@ -81,6 +86,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
+    "op3_decontamination": op3_decontamination,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_language": op5_language,
     "op6_token_store": op6_token_store,
