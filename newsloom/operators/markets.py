@@ -84,7 +84,8 @@ def compact_quote(charts: DataFrame, n: int = 40) -> DataFrame:
 def chart_series(charts: DataFrame) -> DataFrame:
     """symbol, pos, t, o, h, l, c, v: the payload's parallel arrays by position; points without a close are dropped."""
     q = F.col("quote")
-    zipped = F.arrays_zip(F.col("t").alias("t"), q["open"].alias("o"), q["high"].alias("h"), q["low"].alias("l"), q["close"].alias("c"), q["volume"].alias("v"))
+    held = lambda name: F.coalesce(q[name], F.array().cast("array<double>"))
+    zipped = F.arrays_zip(F.col("t").alias("t"), *[held(name).alias(short) for name, short in (("open", "o"), ("high", "h"), ("low", "l"), ("close", "c"), ("volume", "v"))])
     points = charts.select("symbol", F.size("t").alias("_n"), F.posexplode(zipped).alias("pos", "p")).where(F.col("pos") < F.col("_n"))
     return points.select("symbol", "pos", "p.t", "p.o", "p.h", "p.l", "p.c", "p.v").where("c is not null")
 
