@@ -20,10 +20,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from newsloom.llm import vocab
-from newsloom.llm.common import map_rows
+from newsloom.llm.common import bound_batches, kept_in_worker, map_rows
 
 #: Pre-tokens that a worker remembers; when full it forgets all of them.
-MEMO = 500_000
+MEMO = 300_000
 
 
 def _varint(n: int) -> bytes:
@@ -85,16 +85,10 @@ class Codec(dict):
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(data: bytes, pattern: str) -> Codec:
-    """The worker's codec for a rank file; built once a process."""
-    key = (hashlib.sha256(data).hexdigest(), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(vocab.parse_ranks(data), pattern)
-    return _codecs[key]
+    """The worker's codec for a rank file."""
+    key = f"bpe {hashlib.sha256(data).hexdigest()} {pattern}"
+    return kept_in_worker(key, lambda: Codec(vocab.parse_ranks(data), pattern))
 
 
 def round_trip(docs: DataFrame, rank_path: str, pattern: str, keep_text: bool = False) -> DataFrame:
@@ -134,4 +128,5 @@ def decode_ids(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
             got = [None if ids is None else own.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(got, pa.binary())], names=["doc_id", "decoded"])
 
+    bound_batches(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")

@@ -12,6 +12,9 @@ from pyspark.sql.types import StructType
 
 #: What one step inside a task holds of a batch's texts, in bytes.
 STEP_BYTES = 4 << 20
+#: Rows of an Arrow batch; Spark's own default of 10000 is meant for short rows, and here a row is a text.
+BATCH_ROWS = "2000"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +54,23 @@ def steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterato
         yield batch.slice(start)
 
 
+_held: list[tuple[str, object]] = []
+
+
+def kept_in_worker(key: str, build: Callable[[], object]) -> object:
+    """build()'s result, kept by this Python worker until another key is asked for: one large object at a time."""
+    if not _held or _held[0][0] != key:
+        _held.clear()
+        _held.append((key, build()))
+    return _held[0][1]
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for texts, unless the session has a value of its own."""
+    if spark.conf.get(_BATCH_SETTING, "10000") == "10000":
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
+
+
 def map_rows(df: DataFrame, column: str, schema: str | StructType, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """work over bounded slices of df's batches, inside tasks."""
 
@@ -59,4 +79,5 @@ def map_rows(df: DataFrame, column: str, schema: str | StructType, work: Callabl
             for part in steps(batch, column):
                 yield work(part)
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import map_rows
+from newsloom.llm.common import kept_in_worker, map_rows
 
 BLOCK = 1024
 #: How sharply the score falls with the relative distance of the other languages.
@@ -131,15 +131,9 @@ class Parser:
         return out
 
 
-_parsers: dict[str, Parser] = {}
-
-
 def parser(sample: dict[str, str]) -> Parser:
-    key = hashlib.sha256(repr(sorted(sample.items())).encode("utf-8", "surrogatepass")).hexdigest()
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = Parser(sample)
-    return _parsers[key]
+    key = "parser " + hashlib.sha256(repr(sorted(sample.items())).encode("utf-8", "surrogatepass")).hexdigest()
+    return kept_in_worker(key, lambda: Parser(sample))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import vocab
-from newsloom.llm.common import map_rows
+from newsloom.llm.common import kept_in_worker, map_rows
 
 #: Pre-tokens and states that a worker remembers.
 MEMO, STATES = 500_000, 150_000
@@ -208,15 +208,9 @@ class Counter(dict):
         return self.between(whole.head) + (whole.count or 0) + self.between(whole.tail)
 
 
-_counters: dict[tuple[str, str], Counter] = {}
-
-
 def counter(data: bytes, pattern: str) -> Counter:
-    key = (hashlib.sha256(data).hexdigest(), pattern)
-    if key not in _counters:
-        _counters.clear()
-        _counters[key] = Counter(data, pattern)
-    return _counters[key]
+    key = f"counter {hashlib.sha256(data).hexdigest()} {pattern}"
+    return kept_in_worker(key, lambda: Counter(data, pattern))
 
 
 def count_tokens(docs: DataFrame, json_path: str, pattern: str, limit: int = 512) -> DataFrame:

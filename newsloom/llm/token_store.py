@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm import vocab
-from newsloom.llm.common import map_rows
+from newsloom.llm.common import kept_in_worker, map_rows
 
 MEMO = 500_000
 #: Documents in a shard, as long as this makes at most MOST_SHARDS of them.
@@ -88,15 +88,9 @@ class LibraryCodec(dict):
         return [b"".join(map(look, tokens)) if tokens is not None else self._by_library([text])[0].tobytes() for text, tokens in zip(texts, cut, strict=True)]
 
 
-_codecs: dict[tuple[str, str], LibraryCodec] = {}
-
-
 def library_codec(data: bytes, pattern: str) -> LibraryCodec:
-    key = (hashlib.sha256(data).hexdigest(), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = LibraryCodec(data, pattern)
-    return _codecs[key]
+    key = f"library {hashlib.sha256(data).hexdigest()} {pattern}"
+    return kept_in_worker(key, lambda: LibraryCodec(data, pattern))
 
 
 def _checksum(raw: bytes) -> int:
