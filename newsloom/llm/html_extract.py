@@ -5,7 +5,8 @@ add nothing to it, classes and ids do). Over the blocks of each path the length
 are averaged and multiplied: prose scores high, menus and notices low. Scores are smoothed over paths with a
 Gaussian in the paths' distance (steps from one to the other in the tree), so that a heading shares in the
 score of the paragraphs beside it; fused with where the path stands (inside an article or main element, if
-the page has one); and thresholded against the page's best path.
+the page has one); and thresholded against the page's best path. Lists, tables and quotes inside the element
+that holds the best path's blocks belong to the article whatever their own ratio.
 
 Elements that are no running text by their kind or by the words of their class or id (menus, headers,
 footers, sidebars, notices, adverts, forms, reader comments) take no part, nor do scripts, styles, heads.
@@ -147,8 +148,13 @@ def content_paths(blocks: list[tuple[tuple[str, ...], bool, str]]) -> set[tuple[
     smooth = {p: sum(r * near.get(_steps(p, q), 0.0) for q, r in ratio.items()) for p in ratio}
     placed = any(t[3] for t in totals.values())
     fused = {p: s * (OUTSIDE if placed and not totals[p][3] else 1.0) for p, s in smooth.items()}
-    best = max(fused.values(), default=0.0)
-    return {p for p, s in fused.items() if s >= SHARE * best}
+    if not fused:
+        return set()
+    best = max(fused, key=lambda p: (fused[p], -len(p)))
+    around = best[:-1]  # the element that holds the best path's blocks; what stands in it is of the article too
+    whole = len(around) > 0 and around[-1].split(".")[0] not in ("html", "body")
+    inside = lambda p: totals[p][3] if placed and totals[best][3] else whole and p[: len(around)] == around
+    return {p for p, s in fused.items() if s >= SHARE * fused[best] or inside(p)}
 
 
 def main_text(html: str | None) -> str:

@@ -9,7 +9,7 @@ the share of equal bins, less what equal low bits owe to chance: (m - 2^-8) / (1
 
 Defined results: words are lower-cased and parted by ASCII white space; a text of one to four words is one
 shingle; a null or empty text has the fingerprint of no shingles (all zero), like any other such text;
-other columns play no part.
+a row without a next document has likeness 0 to it; other columns play no part.
 """
 
 from __future__ import annotations
