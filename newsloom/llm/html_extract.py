@@ -42,10 +42,14 @@ NAMES = frozenset(
     "related respond replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 CONTENT = frozenset(("article", "main"))
+#: Words that a content element may have without being boilerplate, and words beside which a header belongs to the article.
+LAYOUT = frozenset("header menu nav sidebar footer share social".split())
+ARTICLE_WORDS = frozenset("article content entry headline post story".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Spread of the smoothing in steps between paths, weight of paths outside the content element, and the share of the best score that a path needs.
 SPREAD, OUTSIDE, SHARE = 1.0, 0.25, 0.05
 _names = re.compile(r"[a-z]+")
+_having = re.compile(r"\b(?:has|no|with|without)[-_]+\w+")  # what an element merely has beside it
 _marks = re.compile(r"[.,;:!?…。，、；：！？¡¿]")
 
 
@@ -86,8 +90,13 @@ class PageReader(HTMLParser):
             self.handle_data(" ")
             return
         named = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role"))
-        words = set(_names.findall(named))
-        odd = bool(words & NAMES) or any(k == "hidden" for k, _ in attrs)
+        words = set(_names.findall(_having.sub(" ", named)))
+        telling = words & NAMES
+        if tag in ("html", "body", "main"):
+            telling = set()
+        elif tag in CONTENT or words & ARTICLE_WORDS:
+            telling -= LAYOUT if tag in CONTENT else {"header"}
+        odd = bool(telling) or any(k == "hidden" for k, _ in attrs)
         if tag in INLINE and not odd:
             return
         if tag in VOID:

@@ -134,7 +134,7 @@ def related(articles: DataFrame, groups: DataFrame, article_id: str, source_id:
     group = groups.where(F.array_contains("article_ids", article_id)).orderBy("group_id").limit(1)
     members = group.select(F.explode("article_ids").alias("id")).where(F.col("id") != article_id)
     columns = ["id", "source_id", "title", "published"]
-    same_story = articles.join(F.broadcast(members), "id", "left_semi").orderBy(*newest()).limit(limit).select(F.lit("story").alias("kind"), *columns)  # a group's members
+    same_story = articles.join(members, "id", "left_semi").orderBy(*newest()).limit(limit).select(F.lit("story").alias("kind"), *columns)
     same_source = articles.where((F.col("source_id") == source_id) & (F.col("id") != article_id)).orderBy(*newest()).limit(limit).select(F.lit("source").alias("kind"), *columns)
     return same_story.unionByName(same_source)
 

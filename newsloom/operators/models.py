@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -41,7 +42,14 @@ def _fit(rows: DataFrame, classes: int) -> LogisticRegressionModel:
 
 def train(rows: DataFrame, values: list[float], folds: int = 3, fold_key: str = "id") -> Trained:
     """From rows (features, label, and a key that deals them into folds). One class: no model, no figures."""
-    rows = rows.select(fold_key, "features", F.col("label").cast("double").alias("label"))
+    rows = rows.select(fold_key, "features", F.col("label").cast("double").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _train(rows, values, folds, fold_key)
+    finally:
+        rows.unpersist()
+
+
+def _train(rows: DataFrame, values: list[float], folds: int, fold_key: str) -> Trained:
     classes = rows.select("label").distinct().count()
     if classes < 2:
         return Trained(None, values)

@@ -39,14 +39,25 @@ def weights(counts: DataFrame, vocab: DataFrame, key: str, documents: int, subli
 
 
 def cosine_pairs(weighted: DataFrame, key: str, least: float) -> DataFrame:
-    """a, b (a < b), cosine above `least`, by an equi-join on terms; terms of one document join nothing."""
-    a = weighted.select(F.col(key).alias("a"), "term", F.col("w").alias("wa"))
-    b = weighted.select(F.col(key).alias("b"), "term", F.col("w").alias("wb"))
-    return a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") > least)
+    """a, b (a < b), cosine above `least` of unit vectors (key, term, w).
+
+    Exact prefix filtering: with terms in one order, rarest first, a vector's prefix ends where what follows is
+    shorter than `least`. Vectors that share no prefix term have a smaller cosine, so candidates come from an
+    equi-join on prefix terms, which the commonest terms hardly ever are; full cosines follow for candidates."""
+    frequency = weighted.groupBy("term").agg(F.count("*").alias("df"))
+    rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key).orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing))
+    prefix = weighted.join(frequency, "term").withColumn("rest", rest).where(F.col("rest") >= (1 - 1e-9) * least * least).select(key, "term")
+    a, b = (prefix.select(F.col(key).alias(side), "term") for side in ("a", "b"))
+    candidates = a.join(b, "term").where("a < b").select("a", "b").distinct()
+    left, right = (weighted.select(F.col(key).alias(side), "term", F.col("w").alias(f"w{side}")) for side in ("a", "b"))
+    met = candidates.join(left, "a").join(right, ["b", "term"])
+    return met.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") > least)
 
 
 def dense_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """a, b, cosine of dense vectors (vec_id, embedding), as the same join over their coordinates."""
+    """a, b, cosine of dense vectors (vec_id, embedding), by a join over their coordinates, which all vectors share."""
     long = vectors.select("vec_id", F.posexplode("embedding").alias("term", "w")).withColumn("w", F.col("w").cast("double"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("vec_id")))
-    return cosine_pairs(long.withColumn("w", F.col("w") / length), "vec_id", least)
+    unit = long.withColumn("w", F.col("w") / length)
+    a, b = (unit.select(F.col("vec_id").alias(side), "term", F.col("w").alias(f"w{side}")) for side in ("a", "b"))
+    return a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") > least)

@@ -66,10 +66,10 @@ oracle("j1_enrich", V.SOURCES, V.ARTICLES, query="""SELECT a.id, coalesce(s.name
         coalesce(a.bias_score, s.allsides_score, 0.0) AS shown_score, coalesce(a.confidence, 0.3) AS shown_confidence
     FROM articles a LEFT JOIN sources s ON a.source_id = s.id AND s.active""")
 oracle("j2_source_stats", V.SOURCES, query="""SELECT s.id, s.name, f.article_count, f.error_count FROM sources s LEFT JOIN (
-        SELECT source, count(*) AS article_count, count(*) FILTER (doc_id % 5 = 0) AS error_count FROM documents WHERE doc_id % 3 = 0 AND source <> 'src3' GROUP BY 1) f ON f.source = s.id""")
+        SELECT source, count(*) AS article_count, count(*) FILTER (doc_id % 5 = 0) AS error_count FROM documents WHERE source <> 'src3' GROUP BY 1) f ON f.source = s.id""")
 MEMBERS = "SELECT group_id, len(article_ids) AS group_size, unnest(article_ids) AS id, unnest(range(len(article_ids))) AS pos FROM story_groups"
 oracle("j4_group_expand", V.ARTICLES, V.GROUPS, query=f"""SELECT group_id, pos, id, title FROM (
-        SELECT m.*, a.title, count(*) OVER (PARTITION BY group_id) AS n FROM ({MEMBERS}) m JOIN articles a USING (id) WHERE a.doc_id % 5 <> 0) WHERE n > 1""")
+        SELECT m.*, a.title, count(*) OVER (PARTITION BY group_id) AS n FROM ({MEMBERS}) m JOIN articles a USING (id) WHERE a.body IS NOT NULL AND a.bias_score IS NOT NULL) WHERE n > 1""")
 oracle("j5_containing_group", V.ARTICLES, V.GROUPS, query="""SELECT group_id, a.id, len(article_ids) AS group_size
     FROM story_groups JOIN (SELECT id FROM articles WHERE doc_id = 7) a ON list_contains(article_ids, a.id)""")
 oracle("j6_coverage", V.SOURCES, V.ARTICLES, V.GROUPS, query=f"""SELECT group_id, string_agg(DISTINCT name, '|' ORDER BY name) AS sources
@@ -84,7 +84,7 @@ oracle("j8_label_override", V.FEEDBACK, query="SELECT article_key, round(arg_max
 TERMS = "SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[\\p{L}\\p{N}_]+'), lambda w: length(w) > 1)) AS term FROM articles"
 oracle("j10_cosine_pairs", V.ARTICLES, query=f"""SELECT a, b, round(cosine, 4) AS cosine FROM (
     WITH counts AS (SELECT doc_id, term, count(*) AS tf FROM ({TERMS}) GROUP BY 1, 2),
-    vocab AS (SELECT term, count(*) AS df FROM counts GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40),
+    vocab AS (SELECT term, count(*) AS df FROM counts GROUP BY 1 HAVING count(*) >= 2),
     raw AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(DISTINCT doc_id) FROM documents)) / (1 + df)::DOUBLE) + 1) AS w FROM counts JOIN vocab USING (term)),
     unit AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM raw)
     SELECT x.doc_id AS a, y.doc_id AS b, sum(x.w * y.w) AS cosine FROM unit x JOIN unit y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY 1, 2 HAVING sum(x.w * y.w) > 0.5)""")
@@ -189,13 +189,13 @@ oracle("d23_truncate", V.ARTICLES, query=f"""SELECT doc_id, CASE WHEN len(p) <=
 oracle("d25_reading_time", V.ARTICLES, query=f"""SELECT doc_id, greatest(1, floor(len({PARTS.format("coalesce(body, '')")}) / 230 + 0.5))::BIGINT AS minutes,
     len(list_filter(regexp_split_to_array(coalesce(body, ''), '\\n+'), lambda p: trim(p) <> ''))::BIGINT AS n_paragraphs FROM articles""")
 
-oracle("s12_insert_if_absent", V.ARTICLES, query="SELECT id, CASE WHEN doc_id % 3 <> 0 THEN title ELSE 'new ' || title END AS title FROM articles WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0")
+oracle("s12_insert_if_absent", V.ARTICLES, query="SELECT id, CASE WHEN sentiment_score IS NOT NULL THEN title ELSE 'new ' || title END AS title FROM articles")
 oracle("s13_upsert_latest", V.FEEDBACK, query="""SELECT first_id AS id, article_key, feedback_type, dimension, round(user_score, 6) AS user_score FROM (
     SELECT *, row_number() OVER (PARTITION BY article_key, feedback_type, dimension ORDER BY batch DESC, created_at DESC, id DESC) AS r,
         coalesce(min(id) FILTER (batch = 0) OVER (PARTITION BY article_key, feedback_type, dimension), min(id) OVER (PARTITION BY article_key, feedback_type, dimension)) AS first_id
-    FROM (SELECT *, CASE WHEN id % 1000 < 2 THEN 0 ELSE 1 END AS batch FROM feedback)) WHERE r = 1""")
+    FROM (SELECT *, CASE WHEN turn < 2 THEN 0 ELSE 1 END AS batch FROM feedback)) WHERE r = 1""")
 oracle("s14_upsert_accumulate", query="SELECT source AS source_id, count(*) AS article_count, sum(doc_id % 3)::BIGINT AS error_count, max(doc_id) AS last_fetched FROM documents GROUP BY 1")
-oracle("s15_partial_update", V.ARTICLES, query="SELECT id, CASE WHEN doc_id % 8 = 0 THEN 1.5 ELSE bias_score END AS bias_score, CASE WHEN doc_id % 4 <> 0 THEN 'old' END AS summary FROM articles")
+oracle("s15_partial_update", V.ARTICLES, query="SELECT id, CASE WHEN intensity_score = 0 THEN 1.5 ELSE bias_score END AS bias_score, CASE WHEN sentiment_score IS NULL THEN 'old' END AS summary FROM articles")
 oracle("s16_full_replace", V.GROUPS, query="SELECT group_id, array_to_string(article_ids, ',') AS article_ids FROM story_groups")
 oracle("s17_append_version", V.FEEDBACK, query="SELECT 1::BIGINT AS version, 60::BIGINT AS feedback_count UNION ALL SELECT 2, 130 UNION ALL SELECT 3, count(*) FROM feedback")
 oracle("s18_orphan_cleanup", V.SOURCES, V.ARTICLES, query="SELECT a.id, a.source_id FROM articles a JOIN sources s ON s.id = a.source_id AND s.active")
@@ -213,9 +213,9 @@ oracle("m6_sparkline", V.OHLC, LAST, query="""SELECT symbol, pos::BIGINT AS pos,
 oracle("m4_baseline", V.OHLC, PERF, query="""SELECT symbol, CASE WHEN last_c > first_c THEN 'up' WHEN last_c < first_c THEN 'down' ELSE 'flat' END AS direction, round(first_c, 6) AS baseline,
     round(lo - m, 6) AS low_edge, round((lo + hi) / 2, 6) AS mid, round(hi + m, 6) AS high_edge FROM (SELECT *, coalesce(nullif(hi - lo, 0), 1) * 0.06::DOUBLE AS m FROM (SELECT *, least(low, first_c) AS lo, greatest(high, first_c) AS hi FROM perf))""")
 oracle("j12_ohlc_zip", V.OHLC, query="""SELECT symbol, t::VARCHAR AS t, round(c, 6) AS c, CASE WHEN i <= 80 THEN v::DOUBLE END AS v
-    FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM ohlc WHERE t < DATE '1995-04-01') WHERE c IS NOT NULL""")
+    FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM ohlc) WHERE c IS NOT NULL""")
 oracle("m1_compact_quote", V.OHLC, query="""SELECT symbol, 'Name ' || symbol AS name, round(p, 6) AS price, round(q, 6) AS previous_close, round(p - q, 6) AS change, round((p - q) / q * 100, 6) AS change_pct, least(40, n)::BIGINT AS n_spark
-    FROM (SELECT symbol, max(h) AS p, min(l) AS q, count(c) AS n FROM ohlc WHERE t < DATE '1995-04-01' GROUP BY 1)""")
+    FROM (SELECT symbol, max(h) AS p, min(l) AS q, count(c) AS n FROM ohlc GROUP BY 1)""")
 oracle("m3_buckets", query="SELECT * FROM (VALUES " + ", ".join(f"('{b}', {len(s)}::BIGINT, {len({'AAPL', 'GC=F'} & set(s))}::BIGINT)" for b, s in (C.BUCKETS | {"trending": ["NVDA", "XYZ"]}).items()) + ") t(bucket, n, n_quotes)")
 oracle("m5_formats", query="""SELECT event_id, CASE WHEN v >= 1e9 THEN printf('%.2fB', v / 1e9) WHEN v >= 1e6 THEN printf('%.2fM', v / 1e6) WHEN v >= 1e3 THEN printf('%.1fK', v / 1e3) ELSE printf('%.0f', v) END AS volume,
     CASE WHEN p >= 0 THEN '+' ELSE '' END || printf('%.2f', p) || '%' AS pct FROM (SELECT event_id, (n * n)::DOUBLE AS v, (n % 2000 - 1000) / 7.0::DOUBLE AS p FROM (SELECT event_id, event_id * 7919 % 100000 AS n FROM events))""")

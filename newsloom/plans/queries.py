@@ -128,13 +128,13 @@ def j1_enrich(spark, sf):
 
 @query
 def j2_source_stats(spark, sf):
-    fetches = read_table(spark, sf, "documents").where("doc_id % 3 = 0").groupBy(F.col("source").alias("source_id")).agg(F.count("*").alias("article_count"), F.count_if(F.col("doc_id") % 5 == 0).alias("error_count"))
+    fetches = read_table(spark, sf, "documents").groupBy(F.col("source").alias("source_id")).agg(F.count("*").alias("article_count"), F.count_if(F.col("doc_id") % 5 == 0).alias("error_count"))
     return feed.source_stats(S.sources(spark, sf).select("id", "name"), fetches.where("source_id <> 'src3'"))
 
 
 @query
 def j4_group_expand(spark, sf):
-    rows = stories.expand(S.story_groups(spark, sf), S.articles(spark, sf).where("doc_id % 5 <> 0"))
+    rows = stories.expand(S.story_groups(spark, sf), S.articles(spark, sf).where("body is not null and bias_score is not null"))
     return rows.select("group_id", F.col("pos").cast("long").alias("pos"), "id", "title")
 
 
@@ -143,7 +143,7 @@ def j5_containing_group(spark, sf):
     target = F.substring(F.sha2(F.concat_ws(":", "source", F.col("doc_id").cast("string")), 256), 1, 16)
     one = read_table(spark, sf, "documents").where("doc_id = 7").select(target.alias("id"))
     held = stories.members(S.story_groups(spark, sf))
-    return held.join(F.broadcast(one), "id", "left_semi").select("group_id", "id", F.col("group_size").cast("long").alias("group_size"))  # one id
+    return held.join(one, "id", "left_semi").select("group_id", "id", F.col("group_size").cast("long").alias("group_size"))
 
 
 @query
@@ -170,8 +170,7 @@ def j10_cosine_pairs(spark, sf):
     """Title pairs by cosine of their TF-IDF vectors."""
     counts = tfidf.terms(S.articles(spark, sf).select("doc_id", "title").distinct(), "doc_id", "title")
     n = read_table(spark, sf, "documents").select("doc_id").distinct().count()
-    rare = tfidf.vocabulary(counts).where("df <= 40")
-    return tfidf.cosine_pairs(tfidf.weights(counts, rare, "doc_id", n), "doc_id", 0.5).select("a", "b", F.round("cosine", 4).alias("cosine"))
+    return tfidf.cosine_pairs(tfidf.weights(counts, tfidf.vocabulary(counts), "doc_id", n), "doc_id", 0.5).select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
 @query
@@ -493,36 +492,37 @@ def a23_metrics(spark, sf):
 # Tables after a change
 
 
-def _halves(spark, sf):
-    rows = S.articles(spark, sf).select("id", "source_id", "title", F.col("doc_id").alias("n"))
-    return rows.where("n % 3 <> 0"), rows.where("n % 2 = 0").withColumn("title", F.concat(F.lit("new "), "title"))
+def _batches(spark, sf):
+    """The labelled articles as the table, and all articles, with new titles, as what arrives."""
+    rows = S.articles(spark, sf).select("id", "source_id", "title", "sentiment_score")
+    return rows.where("sentiment_score is not null").drop("sentiment_score"), rows.withColumn("title", F.concat(F.lit("new "), "title")).drop("sentiment_score")
 
 
 @query
 def s12_insert_if_absent(spark, sf):
-    return store.insert_absent(*_halves(spark, sf), "id").select("id", "title")
+    return store.insert_absent(*_batches(spark, sf), "id").select("id", "title")
 
 
 @query
 def s13_upsert_latest(spark, sf):
     rows = S.feedback(spark, sf)
     keys = ["article_key", "feedback_type", "dimension"]
-    old, new = rows.where("id % 1000 < 2"), rows.where("id % 1000 >= 2")
+    old, new = rows.where("turn < 2"), rows.where("turn >= 2")
     first = store.upsert_latest(old.where("false"), old, keys, "created_at", "id")
     return store.upsert_latest(first, new, keys, "created_at", "id").select("id", *keys, six(F.col("user_score")).alias("user_score"))
 
 
 @query
 def s14_upsert_accumulate(spark, sf):
-    counts = read_table(spark, sf, "documents").groupBy(F.col("source").alias("source_id"), (F.col("doc_id") % 2).alias("half")).agg(F.count("*").alias("article_count"), F.sum(F.col("doc_id") % 3).alias("error_count"), F.max("doc_id").alias("last_fetched"))
-    old, new = (counts.where(F.col("half") == h).drop("half") for h in (0, 1))
+    counts = read_table(spark, sf, "documents").groupBy(F.col("source").alias("source_id"), (F.col("lang") == "en").alias("half")).agg(F.count("*").alias("article_count"), F.sum(F.col("doc_id") % 3).alias("error_count"), F.max("doc_id").alias("last_fetched"))
+    old, new = (counts.where(F.col("half") == h).drop("half") for h in (False, True))
     return store.upsert_accumulate(old, new, "source_id", ["article_count", "error_count"], ["last_fetched"])
 
 
 @query
 def s15_partial_update(spark, sf):
-    rows = S.articles(spark, sf).select("id", "bias_score", F.lit("old").alias("summary"), F.col("doc_id").alias("n"))
-    changes = rows.where("n % 4 = 0").select("id", F.when(F.col("n") % 8 == 0, F.lit(1.5)).alias("bias_score"))
+    rows = S.articles(spark, sf).select("id", "bias_score", F.lit("old").alias("summary"), "sentiment_score", "intensity_score")
+    changes = rows.where("sentiment_score is not null").select("id", F.when(F.col("intensity_score") == 0, F.lit(1.5)).alias("bias_score"))
     return store.update_by_key(rows, changes, "id", ["bias_score"], reset=["summary"]).select("id", "bias_score", "summary")
 
 
@@ -584,8 +584,8 @@ def m4_baseline(spark, sf):
 
 
 def _payloads(spark, sf) -> DataFrame:
-    """A chart payload a symbol: three months of points, as the service would send them."""
-    rows = S.ohlc(spark, sf).where("t < '1995-04-01'").orderBy("symbol", "t")
+    """A chart payload a symbol, as the service would send it, with fewer volumes than points."""
+    rows = S.ohlc(spark, sf)
     point = F.struct("t", "o", "h", "l", "c", F.col("v").cast("double").alias("v"))
     by = rows.groupBy("symbol").agg(F.array_sort(F.collect_list(point)).alias("p"))
     quote = F.struct(F.col("p.o").alias("open"), F.col("p.h").alias("high"), F.col("p.l").alias("low"), F.col("p.c").alias("close"), F.slice("p.v", 1, 80).alias("volume"))

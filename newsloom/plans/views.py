@@ -18,7 +18,7 @@ ARTICLES = """articles AS (
     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 )"""
 FEEDBACK = """feedback AS (
-    SELECT conv_id * 1000 + turn AS id, conv_id AS article_key, (length(text) % 101)::DOUBLE / 10 - 5 AS user_score,
+    SELECT conv_id * 1000 + turn AS id, turn, conv_id AS article_key, (length(text) % 101)::DOUBLE / 10 - 5 AS user_score,
         CASE role WHEN 'user' THEN 'thumbs_up' WHEN 'assistant' THEN 'slider' ELSE 'thumbs_down' END AS feedback_type,
         ['bias', 'sentiment', 'intensity'][conv_id % 3 + 1] AS dimension,
         TIMESTAMP '2024-01-31 00:00:00' - to_hours(((conv_id * 11 + turn) % 500)::INT) AS created_at

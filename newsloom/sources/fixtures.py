@@ -54,11 +54,11 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, article_key, user_score, feedback_type, dimension, created_at: one row a conversation turn."""
+    """id, turn, article_key, user_score, feedback_type, dimension, created_at: one row a conversation turn."""
     turns = read_table(spark, sf_dir, "conversations")
     kind = F.when(F.col("role") == "user", "thumbs_up").when(F.col("role") == "assistant", "slider").otherwise("thumbs_down")
     return turns.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("article_key"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "turn", F.col("conv_id").alias("article_key"),
         ((F.char_length("text") % 101) / 10.0 - 5).alias("user_score"), kind.alias("feedback_type"),
         pick(["bias", "sentiment", "intensity"], F.col("conv_id") % 3).alias("dimension"),
         F.timestamp_seconds(F.unix_timestamp(F.lit(ANCHOR)) - (F.col("conv_id") * 11 + F.col("turn")) % 500 * 3600).alias("created_at"),
@@ -80,7 +80,7 @@ def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", k.alias("k"))
     questions = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("question"))
     event = F.col("event_id")
-    return events.join(F.broadcast(questions), F.col("q") == event % 40, "left").select(  # 40 questions
+    return events.join(questions, F.col("q") == event % 40, "left").select(
         F.col("event_id").alias("id"), "question", F.col("event_type").alias("category"),
         (F.col("k") / 100.0).alias("yes_price"), ((F.col("k") - 50) / 100.0).alias("yes_change_24h"), F.col("value").alias("volume_24h"),
         F.when(event % 11 != 0, F.timestamp_seconds(F.unix_timestamp("ts") + F.col("k") * 3600)).alias("end_date"), F.col("ts").alias("last_updated"),
