@@ -36,7 +36,7 @@ def _fit(rows: DataFrame, classes: int) -> LogisticRegressionModel:
     weight = F.lit(0.0)
     for label, own in counts.items():
         weight = F.when(F.col("label") == label, n / (len(counts) * own)).otherwise(weight)
-    learner = LogisticRegression(family="multinomial", maxIter=1000, regParam=1.0 / n, standardization=False, weightCol="weight")
+    learner = LogisticRegression(family="multinomial", maxIter=1000, tol=1e-4, regParam=1.0 / n, standardization=False, weightCol="weight")
     return learner.fit(rows.withColumn("weight", weight))
 
 

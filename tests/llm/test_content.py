@@ -209,3 +209,15 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+LAYOUTS = [
+    ("<body class='page with-sidebar'><div class='wrap has-menu'><article class='post sidebar-right'><header class='entry-header'><h1>Head</h1></header><p>{0}</p></article><div id='sidebar'><p>{0}</p></div></div></body>", "Head\n{1}"),
+    ("<main class='content no-footer'><p>{0}</p><table><tr><td>cell one</td><td>cell two</td></tr></table><blockquote>quoted words.</blockquote></main><div class='newsletter-signup'><p>{0}</p></div>", "{1}\ncell one\ncell two\nquoted words."),
+    ("<div class='article'><p>{0}</p><div class='related-posts'><p>{0}</p></div><div id='disqus_thread'>{0}</div></div><div role='navigation'>{0}</div>", "{1}"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), LAYOUTS)
+def test_layout_words_do_not_hide_the_article(html, text):
+    assert html_extract.main_text(html.format(ARTICLE)) == text.format("", ARTICLE.strip())
