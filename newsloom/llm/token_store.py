@@ -52,9 +52,11 @@ class LibraryCodec(dict):
 
     def __init__(self, data: bytes, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_str(data.decode())
+        self.by_line = Tokenizer.from_str(data.decode())  # takes spelled pre-tokens, a line each
+        self.by_line.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.split = vocab.splitter(pattern)
         special = vocab.special_strings(data)
         self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
@@ -69,10 +71,10 @@ class LibraryCodec(dict):
         return [np.array(one.ids, "<u4") for one in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, tokens: set[str]) -> None:
-        """Words behind one space part again when joined, so the library gets them in one text; each starts with a token that opens with the space."""
+        """Words behind one space go to the library in one text, already cut and spelled; each starts with a token that opens with the space."""
         words = [t for t in tokens if t[0] == " " and t[1:].isalpha()]
         rest = list(tokens.difference(words))
-        ids = self._by_library(["".join(words)])[0]
+        ids = np.array(self.by_line.encode_batch_fast([vocab.spelled_lines(words)], add_special_tokens=False)[0].ids, "<u4")
         places = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
         raw = ids.tobytes()
         self.update(zip(words, map(raw.__getitem__, map(slice, places[:-1], places[1:])), strict=True))

@@ -26,6 +26,16 @@ def spelled(data: bytes) -> str:
     return "".join([letters[b] for b in data])
 
 
+def spelled_lines(words: list[str]) -> str:
+    """The words as spelled() would give them, a line each; none may hold a line break."""
+    text = "\n".join(words).encode().decode("latin-1")
+    for byte, letter in byte_letters().items():
+        own = chr(byte)
+        if own != letter and byte != 10 and own in text:
+            text = text.replace(own, letter)
+    return text
+
+
 def read_bytes(path: str) -> bytes:
     """A vocabulary file, on the driver; tasks get its bytes by broadcast."""
     return Path(path).read_bytes()
