@@ -142,3 +142,10 @@ def related(articles: DataFrame, groups: DataFrame, article_id: str, source_id:
 def source_stats(sources: DataFrame, fetches: DataFrame) -> DataFrame:
     """Sources with their fetch statistics."""
     return sources.join(fetches.withColumnRenamed("source_id", "id"), "id", "left")
+
+
+def nested(enriched: DataFrame) -> DataFrame:
+    """Enriched articles in the shape that is served: a source struct, and the emotion breakdown parsed (null if malformed)."""
+    source = F.struct(F.col("source_id").alias("id"), F.col("source_name").alias("name"), F.col("source_category").alias("category"), F.col("source_label").alias("allsides_label"), F.col("source_score").alias("allsides_score"))
+    parsed = F.from_json("emotion_breakdown", "map<string,double>")
+    return enriched.withColumn("source", source).withColumn("emotion_breakdown", parsed).drop("source_name", "source_category", "source_label", "source_score")

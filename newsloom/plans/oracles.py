@@ -266,7 +266,7 @@ RUNS = """runs AS (SELECT day, min(time) AS started, max(time) AS ended, count(*
 oracle("w6_day_runs", V.WEATHER, RUNS, query=f"""SELECT day::VARCHAR AS day, strftime(started, {TS}) AS started, strftime(ended, {TS}) AS ended, n, seconds, lead(seconds) OVER (PARTITION BY date_trunc('month', day) ORDER BY runs.day, runs.started) - seconds AS trend,
     round(greatest(0.0, least(1.0, (epoch(runs.day::TIMESTAMP) + 43200 - epoch(runs.started)) / nullif(seconds, 0))), 6) AS sun_fraction FROM runs""")
 AHEAD = "ahead AS (SELECT *, row_number() OVER (ORDER BY time) - 1 AS pos FROM weather WHERE time >= TIMESTAMP '2024-01-20 10:30:00' ORDER BY time LIMIT {0})"
-oracle("w7_next24", V.WEATHER, AHEAD.format(24), query=f"SELECT pos, strftime(time, {TS}) AS time, round(temperature, 3) AS temperature FROM ahead")
+oracle("w7_next24", V.WEATHER, AHEAD.format(24), query=f"SELECT pos, strftime(time, {TS}) AS time, round(temperature, 4) AS temperature FROM ahead")
 SPOKEN = "CASE WHEN {0} <= 1 THEN 'about an hour' WHEN {0} <= 2 THEN 'a couple of hours' WHEN {0} <= 4 THEN {0} || ' hours' WHEN {0} <= 7 THEN 'a few hours' WHEN {0} <= 12 THEN 'the rest of the morning' ELSE {0} || ' hours' END"
 oracle("w8_nowcast", V.WEATHER, AHEAD.format(12), query=f"""SELECT code::BIGINT AS code, rain AS rain_now, chg AS change_at, CASE WHEN rain THEN upper(substr(fall, 1, 1)) || substr(fall, 2) ||
         CASE WHEN chg IS NULL THEN ' through the next ' || {SPOKEN.format("(n - 1)")} || '.' WHEN chg = 1 THEN ', easing in about an hour.' ELSE ' for about ' || {SPOKEN.format("chg")} || ', then easing.' END
@@ -278,10 +278,25 @@ oracle("w8_nowcast", V.WEATHER, AHEAD.format(12), query=f"""SELECT code::BIGINT
                 min(pos) FILTER (pos > 0 AND wet) AS start_at, arg_min(code, pos) FILTER (pos > 0 AND wet) AS next_code, arg_min(hour(time), pos) FILTER (pos > 0 AND wet) AS next_hour
             FROM (SELECT *, {WET.format("code")} OR (precip_prob >= 50 AND precip >= 0.005) AS wet FROM ahead))))""")
 DAYS = """days AS (SELECT time::DATE AS day, max(temperature) AS hottest, min(temperature) AS coldest, count(*) FILTER (is_day AND cover <= 25) AS sun_hours, max(precip_prob) AS wet, max(gust) AS gust, max(uv) AS uv FROM weather GROUP BY 1)"""
-oracle("a15_week_extremes", V.WEATHER, DAYS, query="SELECT day::VARCHAR AS day, round(hottest, 3) AS hottest, round(coldest, 3) AS coldest, round(hottest - coldest, 3) AS spread, sun_hours FROM days")
+oracle("a15_week_extremes", V.WEATHER, DAYS, query="SELECT day::VARCHAR AS day, round(hottest, 4) AS hottest, round(coldest, 4) AS coldest, round(hottest - coldest, 4) AS spread, sun_hours FROM days")
 oracle("e15_day_tags", V.WEATHER, DAYS, query="""SELECT day::VARCHAR AS day, CASE WHEN i = 1 THEN NULL WHEN hottest = hot THEN 'warmest' WHEN coldest = cold THEN 'coldest' WHEN wet >= 70 THEN 'wet' END AS tag,
     round((coldest - cold) / coalesce(nullif(hot - cold, 0), 1), 3) AS bar_left, round((hottest - coldest) / coalesce(nullif(hot - cold, 0), 1), 3) AS bar_width
     FROM (SELECT *, row_number() OVER (PARTITION BY date_trunc('week', day) ORDER BY day) AS i, max(hottest) OVER (PARTITION BY date_trunc('week', day)) AS hot, min(coldest) OVER (PARTITION BY date_trunc('week', day)) AS cold FROM days)""")
 oracle("a16_peaks", V.WEATHER, query=f"""SELECT day::VARCHAR AS day, strftime(d, {TS}) AS dew_peak, CASE WHEN u > 0 THEN strftime(uv_time, {TS}) END AS uv_peak, strftime(v, {TS}) AS visibility_low FROM (
     SELECT time::DATE AS day, arg_max(time, (dew_point, -epoch(time))) AS d, max(uv) AS u, arg_max(time, (uv, -epoch(time))) AS uv_time, arg_min(time, (visibility, epoch(time))) AS v FROM weather GROUP BY 1)""")
 oracle("e16_day_strips", V.WEATHER, DAYS, query=f"""SELECT day::VARCHAR AS day, strftime(days.day, '%a') AS weekday, gust, uv, {steps("uv", [(3, "Low"), (6, "Moderate"), (8, "High"), (11, "Very high")], "Extreme")} AS uv_band, sun_hours, (ceil(gust / 5) * 5)::BIGINT AS gust_axis FROM days""")
+oracle("s5_weather_payload", V.WEATHER, query=f"""SELECT time::DATE::VARCHAR AS place, row_number() OVER (PARTITION BY time::DATE ORDER BY weather.time) - 1 AS pos, strftime(weather.time, {TS}) AS time,
+    round(temperature, 4) AS temperature, code::BIGINT AS code, CASE WHEN day(weather.time) % 5 <> 0 THEN (s % 300)::DOUBLE END AS aqi FROM weather""")
+oracle("s7_chart_requests", query="SELECT * FROM (VALUES " + ", ".join(f"('{v}', '{r}', '{i}')" for v, (r, i) in C.CHART_RANGES.items()) + ") t(view, range, interval)")
+oracle("d20_symbol_keywords", query="SELECT symbol, CASE symbol " + " ".join(f"WHEN '{s}' THEN '{'|'.join(k)}'" for s, k in C.SYMBOL_KEYWORDS.items())
+       + " ELSE ltrim(split_part(symbol, '=', 1), '^') END AS keywords FROM (SELECT unnest(" + quoted(sorted({s for listed in C.BUCKETS.values() for s in listed})) + ") AS symbol)")
+oracle("f19_nested", V.SOURCES, V.ARTICLES, query="""SELECT a.id, coalesce(s.name, a.source_id) AS source_name, coalesce(s.allsides_label, 'center') AS label,
+    CASE WHEN doc_id % 7 <> 0 THEN round((doc_id % 10)::DOUBLE / 10, 6) END AS anger FROM articles a LEFT JOIN sources s ON s.id = a.source_id AND s.active""")
+oracle("a3_counts", V.ARTICLES, query="SELECT source_id, count(*) AS total, count(published) AS dated, count(*) FILTER (title <> '') AS titled FROM articles GROUP BY 1")
+oracle("a9_group_sizes", V.ARTICLES, V.GROUPS, query=f"SELECT group_id, count(*) AS n, count(DISTINCT source_id) AS outlets FROM ({MEMBERS}) m JOIN articles a USING (id) GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT source_id) >= 2")
+oracle("j3_article_groups", V.ARTICLES, V.GROUPS, query=f"SELECT a.id, m.group_id, m.group_size FROM articles a LEFT JOIN ({MEMBERS}) m ON m.id = a.id")
+oracle("w4_one_vote", V.ARTICLES, V.GROUPS, query=f"SELECT group_id, source_id, arg_min(m.id, pos) AS id FROM ({MEMBERS}) m JOIN articles a ON a.id = m.id GROUP BY 1, 2")
+oracle("t9_home_slots", query="SELECT unnest(list_filter([CASE WHEN pos <= 6 THEN 'carousel' END, CASE WHEN pos = 1 THEN 'hero' END, CASE WHEN pos BETWEEN 2 AND 5 THEN 'secondary' END, CASE WHEN pos >= 6 THEN 'trending' END], lambda x: x IS NOT NULL)) AS slot, pos, id FROM ("
+       + ORACLES["q_w2_top_stories"] + ")")
+oracle("t10_version_history", query="SELECT * FROM (VALUES (1::BIGINT, '2024-01-12 00:00:00', 0.5::DOUBLE), (2::BIGINT, '2024-01-20 06:00:00', 0.6::DOUBLE)) t(version, trained_at, accuracy)")
+oracle("e17_day_labels", V.WEATHER, query="SELECT day::VARCHAR AS day, CASE date_diff('day', DATE '2024-01-20', day) WHEN 0 THEN 'Today' WHEN 1 THEN 'Tomorrow' ELSE strftime(day, '%a') END AS label FROM (SELECT DISTINCT time::DATE AS day FROM weather)")

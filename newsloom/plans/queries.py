@@ -16,6 +16,7 @@ from newsloom.operators import cluster, feed, markets, models, signals, stats, s
 from newsloom.operators import weather as hourly
 from newsloom.session import read_table
 from newsloom.sources import fixtures as S
+from newsloom.sources import payloads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LEXICON = C.SMALL_LEXICON
@@ -698,7 +699,7 @@ def w6_day_runs(spark, sf):
 @query
 def w7_next24(spark, sf):
     rows = hourly.from_now(S.weather(spark, sf), "2024-01-20 10:30:00", 24)
-    return rows.select(F.col("pos").cast("long").alias("pos"), stamp("time").alias("time"), F.round("temperature", 3).alias("temperature"))
+    return rows.select(F.col("pos").cast("long").alias("pos"), stamp("time").alias("time"), F.round("temperature", 4).alias("temperature"))
 
 
 @query
@@ -708,7 +709,7 @@ def w8_nowcast(spark, sf):
 
 @query
 def a15_week_extremes(spark, sf):
-    return hourly.day_extremes(S.weather(spark, sf)).select(F.col("day").cast("string").alias("day"), *[F.round(c, 3).alias(c) for c in ("hottest", "coldest", "spread")], "sun_hours")
+    return hourly.day_extremes(S.weather(spark, sf)).select(F.col("day").cast("string").alias("day"), *[F.round(c, 4).alias(c) for c in ("hottest", "coldest", "spread")], "sun_hours")
 
 
 @query
@@ -725,3 +726,86 @@ def a16_peaks(spark, sf):
 @query
 def e16_day_strips(spark, sf):
     return hourly.day_strips(hourly.day_extremes(S.weather(spark, sf))).select(F.col("day").cast("string").alias("day"), "weekday", "gust", "uv", "uv_band", "sun_hours", F.col("gust_axis").cast("long").alias("gust_axis"))
+
+
+# Payloads, views and small tables
+
+
+@query
+def s5_weather_payload(spark, sf):
+    """A day's hours as one payload and back; the air-quality call of some days has failed."""
+    hours = hourly.with_day(S.weather(spark, sf))
+    text = F.date_format("time", "yyyy-MM-dd'T'HH:mm")
+    by = hours.groupBy(F.col("day").cast("string").alias("place")).agg(F.array_sort(F.collect_list(F.struct(text.alias("time"), "temperature", F.col("code").cast("int").alias("code"), "precip_prob", (F.col("s") % 300).cast("double").alias("aqi")))).alias("h"))
+    forecast = by.select("place", F.to_json(F.struct(F.struct(*[F.col(f"h.{c}").alias(c) for c in ("time", "temperature", "code", "precip_prob")]).alias("hourly"))).alias("payload"))
+    air = by.select("place", F.when(F.dayofmonth(F.col("place").cast("date")) % 5 != 0, F.to_json(F.struct(F.struct(F.col("h.time").alias("time"), F.col("h.aqi").alias("aqi")).alias("hourly")))).alias("payload"))
+    rows = payloads.with_air_quality(payloads.weather_hours(forecast), air)
+    return rows.select("place", F.col("pos").cast("long").alias("pos"), F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), F.round("temperature", 4).alias("temperature"), F.col("code").cast("long").alias("code"), "aqi")
+
+
+@query
+def s7_chart_requests(spark, sf):
+    return payloads.chart_requests(spark)
+
+
+@query
+def d20_symbol_keywords(spark, sf):
+    symbols = sorted({s for listed in C.BUCKETS.values() for s in listed})
+    return spark.createDataFrame([(s, "|".join(markets.keywords_of(s))) for s in symbols], "symbol string, keywords string")
+
+
+@query
+def f19_nested(spark, sf):
+    """The API's shape: a nested source and a parsed emotion breakdown."""
+    rows = feed.enrich(S.articles(spark, sf), S.sources(spark, sf).where("active"))
+    raw = F.when(F.col("doc_id") % 7 == 0, F.lit("{bad")).otherwise(F.to_json(F.create_map(F.lit("anger"), F.col("doc_id") % 10 / 10.0)))
+    nested = feed.nested(rows.withColumn("emotion_breakdown", raw))
+    return nested.select("id", F.col("source.name").alias("source_name"), F.col("source.allsides_label").alias("label"), six(F.try_element_at("emotion_breakdown", F.lit("anger"))).alias("anger"))
+
+
+@query
+def a3_counts(spark, sf):
+    rows = S.articles(spark, sf)
+    return rows.groupBy("source_id").agg(F.count("*").alias("total"), F.count("published").alias("dated"), F.count_if(F.col("title") != "").alias("titled"))
+
+
+@query
+def a9_group_sizes(spark, sf):
+    rows = stories.members(S.story_groups(spark, sf)).join(S.articles(spark, sf).select("id", "source_id"), "id")
+    by = rows.groupBy("group_id").agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("outlets"))
+    return by.where("n >= 2 and outlets >= 2")
+
+
+@query
+def j3_article_groups(spark, sf):
+    held = stories.members(S.story_groups(spark, sf)).select("id", "group_id", F.col("group_size").cast("long").alias("group_size"))
+    return S.articles(spark, sf).select("id").join(held, "id", "left")
+
+
+@query
+def w4_one_vote(spark, sf):
+    rows = stories.expand(S.story_groups(spark, sf), S.articles(spark, sf).select("id", "source_id"))
+    first = F.row_number().over(Window.partitionBy("group_id", "source_id").orderBy("pos"))
+    return rows.withColumn("first", first).where("first = 1").select("group_id", "source_id", "id")
+
+
+@query
+def t9_home_slots(spark, sf):
+    """The home page's slots of the top stories: carousel 0 to 6, hero 0, secondary 1 to 5, trending from 5 on."""
+    scored = stories.ranked(S.articles(spark, sf), S.story_groups(spark, sf), S.NOW, prestige=["src2", "src6"])
+    at = F.col("pos") - 1
+    slots = F.array_compact(F.array(F.when(at < 6, "carousel"), F.when(at == 0, "hero"), F.when(at.between(1, 4), "secondary"), F.when(at >= 5, "trending")))
+    return stories.top_stories(scored, 12).select(F.explode(slots).alias("slot"), F.col("pos").cast("long").alias("pos"), "id")
+
+
+@query
+def t10_version_history(spark, sf):
+    return _versions(spark).orderBy(F.col("version").desc()).select(F.col("version").cast("long").alias("version"), stamp("trained_at").alias("trained_at"), "accuracy")
+
+
+@query
+def e17_day_labels(spark, sf):
+    days = hourly.with_day(S.weather(spark, sf)).select("day").distinct()
+    ahead = F.datediff("day", F.lit("2024-01-20"))
+    label = F.when(ahead == 0, "Today").when(ahead == 1, "Tomorrow").otherwise(F.date_format("day", "E"))
+    return days.select(F.col("day").cast("string").alias("day"), label.alias("label"))

@@ -154,3 +154,18 @@ def test_summary_properties(budget):
 def test_pull_quote_needs_six_paragraphs():
     body = "\n".join(f"Paragraph {i} holds one long sentence about the harbour and its ships number {i}." for i in range(6))
     assert pull_quote("Title", body).startswith("Paragraph") and pull_quote("Title", "one\ntwo") is None
+
+
+def test_payloads(spark, tmp_path):
+    from newsloom.sources import lexicon, payloads
+
+    assert one(spark, payloads.trending(F.lit('{"finance":{"result":[{"quotes":[{"symbol":"A"},{},{"symbol":"B"}]}]}}'))) == ["A", "B"]
+    assert one(spark, payloads.trending(F.lit("oops"))) == []
+    first = payloads.snapshot(spark, f"file://{tmp_path}/s", "2024-01-31 12:00:00", 60, lambda: spark.range(3))
+    again = payloads.snapshot(spark, f"file://{tmp_path}/s", "2024-01-31 12:00:59", 60, lambda: spark.range(5))
+    later = payloads.snapshot(spark, f"file://{tmp_path}/s", "2024-01-31 12:01:00", 60, lambda: spark.range(5))
+    assert (first.count(), again.count(), later.count()) == (3, 3, 5)
+    (tmp_path / "l.json").write_text('{"joy": ["Glad", "glad", "eye-opening"], "fear": ["dread"]}')
+    (tmp_path / "l.tsv").write_text("glad\tjoy\t1\nsad\tjoy\t0\nDread\tfear\t1\n")
+    assert lexicon.as_dict(lexicon.read_json_lexicon(spark, f"file://{tmp_path}/l.json")) == {"joy": ["eye-opening", "glad"], "fear": ["dread"]}
+    assert lexicon.as_dict(lexicon.read_tsv_lexicon(spark, f"file://{tmp_path}/l.tsv", ["joy", "fear"])) == {"joy": ["glad"], "fear": ["dread"]}
