@@ -22,6 +22,7 @@ import os
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -139,25 +140,26 @@ class _Shard:
         self.draft = f"{base}/.{self.name}.{uuid.uuid4().hex}"
         self.store.create_dir(base, recursive=True)
         self.out = self.store.open_output_stream(self.draft)
-        self.entries: list[tuple[int, int, int]] = []
-        self.ids: list[int | None] = []
+        self.entries, self.ids, self.known = array("I"), array("q"), bytearray()  # 21 bytes a document
+        self.tokens = 0
 
     def add(self, doc_id: int | None, frame: bytes, raw_bytes: int, checksum: int) -> None:
         self.out.write(frame)
-        self.entries.append((len(frame), raw_bytes, checksum))
-        self.ids.append(doc_id)
+        self.entries.extend((len(frame), raw_bytes, checksum))
+        self.ids.append(doc_id or 0)
+        self.known.append(doc_id is not None)
+        self.tokens += raw_bytes // 4
 
     def close(self) -> dict:
         """Writes index and seek table, renames the file; its row in the manifest."""
-        keys = np.array([0 if i is None else i for i in self.ids], "<i8").tobytes()
-        known = np.array([i is not None for i in self.ids], np.uint8).tobytes()
-        index = _skippable(SKIPPABLE_INDEX, keys + known)
+        index = _skippable(SKIPPABLE_INDEX, np.asarray(self.ids, "<i8").tobytes() + bytes(self.known))
         self.out.write(index)
-        table = np.array([*self.entries, (len(index), 0, _checksum(b""))], "<u4").tobytes()
-        self.out.write(_skippable(SKIPPABLE_SEEK, table + struct.pack("<IBI", len(self.entries) + 1, CHECKSUMS, SEEKABLE)))
+        self.entries.extend((len(index), 0, _checksum(b"")))
+        table = np.asarray(self.entries, "<u4").tobytes()
+        self.out.write(_skippable(SKIPPABLE_SEEK, table + struct.pack("<IBI", len(self.ids) + 1, CHECKSUMS, SEEKABLE)))
         self.out.close()
         self.store.move(self.draft, self.final)
-        return {"shard": self.number, "file": self.name, "n_docs": len(self.ids), "shard_tokens": sum(e[1] for e in self.entries) // 4}
+        return {"shard": self.number, "file": self.name, "n_docs": len(self.ids), "shard_tokens": self.tokens}
 
 
 MANIFEST = "shard int, file string, n_docs long, shard_tokens long"
