@@ -91,10 +91,12 @@ def keyword_rows(df: DataFrame, text: str, keywords: list[str]) -> DataFrame:
 
 def market_signals(titles: DataFrame, signals: DataFrame, keywords: list[str] = C.CROSS_REFERENCE, least: float = 0.03) -> DataFrame:
     """titles (id, title) with the signal (rank, question, yes_change_24h) that moved most among those that share a
-    keyword and moved more than `least`, the first on ties; an equi-join on keywords, not a cross product."""
+    keyword and moved more than `least`, the first on ties. Each keyword's best signal is found first, so the join is
+    on keywords with a row each, and a title's best is the best of its keywords'."""
     moved = signals.where(F.abs("yes_change_24h") > least).select("rank", "question", "yes_price", "yes_change_24h")
-    pairs = keyword_rows(titles.select("id", "title"), "title", keywords).join(keyword_rows(moved, "question", keywords), "keyword")
-    best = pairs.groupBy("id").agg(F.max_by(F.struct("rank", "question", "yes_price", "yes_change_24h"), F.struct(F.abs("yes_change_24h"), -F.col("rank"))).alias("s"))
+    most = lambda: F.max_by("s", F.struct(F.abs("s.yes_change_24h"), -F.col("s.rank"))).alias("s")
+    by_keyword = keyword_rows(moved, "question", keywords).select("keyword", F.struct("rank", "question", "yes_price", "yes_change_24h").alias("s")).groupBy("keyword").agg(most())
+    best = keyword_rows(titles.select("id", "title"), "title", keywords).select("id", "keyword").join(by_keyword, "keyword").groupBy("id").agg(most())
     return titles.join(best.select("id", F.col("s.rank").alias("signal_rank"), "s.question", "s.yes_price", "s.yes_change_24h"), "id", "left")
 
 
