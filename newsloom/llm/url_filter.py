@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.common import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Public suffixes of two labels; every other suffix is the last label.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "org.uk")
@@ -108,7 +110,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], threshold: f
         F.coalesce(F.sum(F.when(F.col("bad").isNotNull(), F.col("pages"))), F.lit(0)).alias("n"),
         F.coalesce(F.sum(F.col("bad") * F.col("pages")), F.lit(0)).alias("bad"),
     )
-    reputation = host_reputation(hosts, threshold, z).select("host", "blocked")
+    reputation = host_reputation(written(hosts, "hosts"), threshold, z).select("host", "blocked")
     rule, ruled = rule_columns(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("blocked"), "block").otherwise("allow")
     return parts.join(reputation, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(ruled, own).alias("verdict"))
