@@ -59,6 +59,7 @@ class LibraryCodec(dict):
         self.by_line = Tokenizer.from_str(data.decode())  # takes spelled pre-tokens, a line each
         self.by_line.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.split = vocab.splitter(pattern)
+        self.byte_level = vocab.is_byte_level(data)
         special = vocab.special_strings(data)
         self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
         ids = self.library.get_vocab()
@@ -66,7 +67,7 @@ class LibraryCodec(dict):
         self.opens[[i for token, i in ids.items() if token.startswith(vocab.spelled(b" "))]] = True
 
     def _plain(self, text: str) -> bool:
-        return self.special(text) is None and vocab.cuts_alike(text)
+        return self.byte_level and self.special(text) is None and vocab.cuts_alike(text)
 
     def _by_library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(one.ids, "<u4") for one in self.library.encode_batch_fast(texts, add_special_tokens=False)]

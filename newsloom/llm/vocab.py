@@ -53,6 +53,13 @@ def parse_merges(data: bytes) -> tuple[dict[str, int], list[tuple[str, str]]]:
     return model["vocab"], pairs
 
 
+def is_byte_level(data: bytes) -> bool:
+    """Whether a tokenizer's JSON cuts plain text by the pattern and spells bytes, so that pre-tokens can be encoded one by one."""
+    whole = json.loads(data)
+    cut = whole.get("pre_tokenizer") or {}
+    return whole.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+
+
 def special_strings(data: bytes) -> dict[str, int]:
     """The added tokens that the library finds in plain text."""
     return {t["content"]: t["id"] for t in json.loads(data).get("added_tokens", [])}

@@ -142,3 +142,10 @@ def test_alike_ranges(library):
         text = f"a{chr(c)}a {chr(c)}1{chr(c)}\n." if not 0xD800 <= c < 0xE000 else "a"
         if vocab.cuts_alike(text):
             assert [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)] == full(text)
+
+
+def test_other_tokenizers_go_to_the_library():
+    path = P.path("word_bpe_49k.json")
+    own, library = token_store.LibraryCodec(vocab.read_bytes(path), P.PATTERN), Tokenizer.from_file(path)
+    texts = ["Hello World, it's 3 pm", "", "<|endoftext|> ünï"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
