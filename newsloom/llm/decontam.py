@@ -37,8 +37,9 @@ from newsloom.llm.common import map_rows, written
 
 PASSAGE, SEGMENT = 64, 16
 RANK, EXTRA, SEED = 128, 16, 7
-#: Words that one step inside a task turns into vectors, and terms in a row of summed matrices.
-STEP, ROWS = 1 << 15, 256
+#: Words that one step inside a task turns into vectors, words of a stream that is searched at once (both so that the
+#: vectors stay in the processor's cache), and terms in a row of summed matrices.
+STEP, STREAM, ROWS = 1 << 13, 1 << 13, 256
 SALTS = 16
 #: Words in more than this share of the passages weigh nothing, unless an item would keep fewer words than LEAST_WORDS.
 COMMON, LEAST_WORDS = 0.1, 8
@@ -116,14 +117,16 @@ def _stretches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterato
         held: list[tuple[np.ndarray, np.ndarray]] = []
         total = passages = 0
         for data in batch.column(1).to_pylist():
-            codes = np.frombuffer(data, "<i4")
-            known = np.flatnonzero(wanted[codes])
-            held.append((codes[known], passages + known // PASSAGE))
-            passages += -(-len(codes) // PASSAGE)
-            total += len(known)
-            if total >= STEP:
-                yield np.concatenate([c for c, _ in held]), np.concatenate([p for _, p in held])
-                held, total, passages = [], 0, 0
+            whole = np.frombuffer(data, "<i4")
+            for i in range(0, len(whole), STEP):  # a multiple of PASSAGE
+                codes = whole[i : i + STEP]
+                known = np.flatnonzero(wanted[codes])
+                held.append((codes[known], passages + known // PASSAGE))
+                passages += -(-len(codes) // PASSAGE)
+                total += len(known)
+                if total >= STEP:
+                    yield np.concatenate([c for c, _ in held]), np.concatenate([p for _, p in held])
+                    held, total, passages = [], 0, 0
         if total:
             yield np.concatenate([c for c, _ in held]), np.concatenate([p for _, p in held])
 
@@ -304,10 +307,10 @@ class Matcher:
         held: list[tuple[int, np.ndarray]] = []
         total = 0
         for number, codes in texts:
-            for i in range(0, max(1, len(codes) - self.gap), 2 * STEP):  # pieces of a long text overlap by a gap's length
-                held.append((number, codes[i : i + 2 * STEP + self.gap]))
+            for i in range(0, max(1, len(codes) - self.gap), STREAM):  # pieces of a long text overlap by a gap's length
+                held.append((number, codes[i : i + STREAM + self.gap]))
                 total += len(held[-1][1])
-                if total >= 2 * STEP:
+                if total >= STREAM:
                     yield from self._stream(held)
                     held, total = [], 0
         yield from self._stream(held)
