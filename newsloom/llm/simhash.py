@@ -41,17 +41,24 @@ _word = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str | None) -> int:
+def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
+    """XXH64 values of a text's shingles of `width` words; a shorter text is one shingle, one without words none."""
     words = _word((text or "").encode("utf-8", "surrogatepass").translate(_lower))
     if not words:
-        return 0
+        return np.array([], "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    last = min(WORDS, len(words)) - 1
+    last = min(width, len(words)) - 1
     cuts = map(slice, starts[: len(words) - last].tolist(), ends[last:].tolist())
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, SEED) for s in map(joined.__getitem__, cuts)], "<u8")
+    return np.array([digest(s, SEED) for s in map(joined.__getitem__, cuts)], "<u8")
+
+
+def fingerprint(text: str | None) -> int:
+    h = shingles(text)
+    if not len(h):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 1 << 14):
         ones += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -13,7 +13,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from newsloom.llm import minhash, oracles, simhash
+import corpus_pipeline
+from newsloom.llm import minhash, oracles, resemblance, simhash
 from newsloom.llm.components import components
 from newsloom.llm.line_dedup import CuckooFilter, LineIndex
 
@@ -229,3 +230,37 @@ def test_densification_is_uniform(spark):
     made = minhash.with_fingerprint(minhash.with_fingerprint(frame, "a", "fa"), "b", "fb")
     mean = made.select(F.avg(minhash.likeness(F.col("fa"), F.col("fb")))).first()[0]
     assert abs(mean - 12 / 28) < 0.08
+
+
+def jaccard_groups(texts):
+    cut = lambda t: [w for w in BLANK.split(lower(t or "")) if w]
+    held = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := cut(t)) else set() for d, t in texts.items()}
+    similar = lambda x, y: x == y or len(x & y) >= 0.8 * len(x | y)
+    return groups_of(held, [(a, b) for a in held for b in held if a < b and similar(held[a], held[b])])
+
+
+def test_resemblance_matches_brute_force(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(400)]
+    hot = [rng.choice(words) for _ in range(200)]
+    texts = [*near_texts()]
+    for _ in range(60):  # many edited copies of one text, not all of them similar to each other
+        parts = list(hot)
+        for at in rng.sample(range(200), rng.randrange(1, 6)):
+            parts[at] = rng.choice(words)
+        texts.append(" ".join(parts))
+    for n in range(1, 12):  # about the threshold: n of 60 words changed at the end
+        base = [rng.choice(words) for _ in range(60)]
+        texts += [" ".join(base), " ".join([*base[: 60 - n], *(rng.choice(words) for _ in range(n))])]
+    rows = {i + 10: t for i, t in enumerate(texts)}
+    docs = spark.createDataFrame([(d, t, 0) for d, t in rows.items()], "doc_id long, text string, component_id long").repartition(3)
+    assert {r.doc_id: r.component_id for r in resemblance.groups(docs).collect()} == jaccard_groups(rows)
+    assert resemblance.groups(docs.where("false")).count() == 0
+    bare = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (None, "other words")], "doc_id long, text string")
+    assert sorted(r.component_id or 0 for r in resemblance.groups(bare).collect()) == [0, 7, 7, 7]
+
+
+def test_pipeline_drops_edited_copies_beyond_four_bits(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    roots = jaccard_groups({r.doc_id: r.text for r in docs.collect()})
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(roots.values())
