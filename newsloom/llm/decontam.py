@@ -6,9 +6,10 @@
    words that are in more than a tenth of them weigh nothing.
    A randomised range finder (one Gaussian projection, summed over all passages by tasks in two levels)
    gives the leading singular values and vectors of the passage matrix by the Nystrom formula.
-3. Every text is covered by windows at a stride of SEGMENT words, each item having windows just long enough
-   to hold it at any place. Windows and items are compared by cosine in the latent space, each axis scaled
-   by its singular value. Pairs of at least `cosine` are candidates.
+3. Every text is covered by windows at a stride of SEGMENT words, each item having windows long enough to hold
+   any stretch of step 4. Windows that hold `likely` of the item's words, in any order, are candidates: a common
+   subsequence has no more, so none is lost. The latent space, each axis scaled by its singular value, gives the
+   cosine of a leak's best window; a `cosine` above -1 drops leaks below it, verbatim copies among them.
 4. A candidate's longest common subsequence with the item, in stretches of 1.25 times the item's length,
    decides: at least `sure` of the item's words is a leak; at least `likely` is one (a paraphrase) if the
    item's answer is there too. The answer is the item's `answer` column if the benchmark has one, else its
@@ -235,67 +236,73 @@ def common_length(item: np.ndarray, text: np.ndarray) -> int:
     return len(item) - row.bit_count()
 
 
+def stretch(item: np.ndarray) -> int:
+    """Words of a text that are held against an item at a time."""
+    return int(1.25 * len(item)) + 2
+
+
 class Matcher:
     """Candidates and checks, inside tasks, over streams of texts with gaps that no window can bridge."""
 
     def __init__(self, items: Items, latent: Latent, cosine: float, likely: float, sure: float):
         self.items, self.latent = items, latent
         self.cosine, self.likely, self.sure = cosine, likely, sure
-        self.heavy = (latent.vectors != 0).any(axis=1)
         self.place = np.full((len(items.ids), len(items.vocabulary) + 1), -1, np.int16)  # a word's place among an item's own words
-        self.needed = np.array([likely * len(codes) for codes in items.codes])
+        self.needed = np.array([likely * len(codes) - 1e-9 for codes in items.codes])
         self.counts = []
         for k, codes in enumerate(items.codes):
             own, n = np.unique(codes, return_counts=True)
             self.place[k, own] = np.arange(len(own))
             self.counts.append(n)
-        self.member = self.place >= 0
-        self.gap = (max(latent.groups) + 3) * SEGMENT
-
-    def candidates(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """Item, first and last word and cosine of close windows of a stream, which starts and ends with gaps;
-        only of windows that, with a segment on either side, hold words enough of the item for the share asked for."""
-        sums = np.zeros((len(codes) // SEGMENT, self.latent.vectors.shape[1]), np.float32)
-        known = np.flatnonzero(self.heavy[codes])
-        for i in range(0, len(known), STEP):
-            some = known[i : i + STEP]
-            at = some // SEGMENT
-            starts = np.flatnonzero(np.diff(at, prepend=-1))
-            sums[at[starts]] += np.add.reduceat(self.latent.vectors[codes[some]], starts)
-        windows, held = sums, 1
-        for n, (own, vectors) in sorted(self.latent.groups.items()):
-            for k in range(held, n):
-                windows = windows[: len(sums) - k] + sums[k:]
-            held = n
-            length = np.maximum(np.sqrt(np.einsum("ij,ij->i", windows, windows)), 1e-12)
-            close = vectors @ windows.T
-            close /= length
-            rows, at = np.nonzero(close >= self.cosine)
-            reach = np.arange(-SEGMENT, (n + 1) * SEGMENT)
-            for i in range(0, len(rows), 4096):
-                k, w = own[rows[i : i + 4096]], at[i : i + 4096]
-                met = self.member[k[:, None], codes[np.clip(w[:, None] * SEGMENT + reach, 0, len(codes) - 1)]].sum(axis=1)
-                able = np.flatnonzero(met >= self.needed[k])
-                k, w, c = k[able], w[able], close[rows[i + able], w[able]]
-                starts = np.flatnonzero((np.diff(k, prepend=-1) != 0) | (np.diff(w, prepend=-2) != 1))  # windows in a row are one candidate
-                if len(starts):
-                    ends = np.append(starts[1:], len(k)) - 1
-                    for item, first, last, cosine in zip(k[starts].tolist(), w[starts].tolist(), w[ends].tolist(), np.maximum.reduceat(c, starts).tolist(), strict=True):
-                        yield item, first * SEGMENT, (last + n) * SEGMENT, cosine
+        self.member = np.ascontiguousarray((self.place >= 0).T.astype(np.uint8))  # a row a word
+        self.segments: dict[int, list[int]] = {}  # items by the segments that hold any stretch of theirs, wherever it starts
+        for k, codes in enumerate(items.codes):
+            self.segments.setdefault(-(-(stretch(codes) + SEGMENT - 1) // SEGMENT), []).append(k)
+        self.axis = {int(k): (n, v) for n, (own, vectors) in latent.groups.items() for k, v in zip(own, vectors, strict=True)}
+        self.gap = (max(self.segments) + 3) * SEGMENT
+
+    def candidates(self, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Item, first and last word of windows of a stream, which starts and ends with gaps, that hold words enough of
+        the item for the share asked for: no less than any common subsequence inside them, so none is missed."""
+        sums = np.zeros((len(codes) // SEGMENT + 1, len(self.items.ids)), np.int32)
+        for i in range(0, len(sums) - 1, SEGMENT):
+            some = codes[i * SEGMENT : min(i + SEGMENT, len(sums) - 1) * SEGMENT]
+            sums[i + 1 : i + 1 + len(some) // SEGMENT] = self.member[some].reshape(-1, SEGMENT, sums.shape[1]).sum(axis=1, dtype=np.uint8)
+        np.cumsum(sums, axis=0, out=sums)
+        for n, own in sorted(self.segments.items()):
+            held = sums[:, own]
+            k, w = np.nonzero((held[n:] - held[:-n] >= self.needed[own]).T)
+            starts = np.flatnonzero((np.diff(k, prepend=-1) != 0) | (np.diff(w, prepend=-2) != 1))  # windows in a row are one candidate
+            if len(starts):
+                ends = np.append(starts[1:], len(k)) - 1
+                for item, first, last in zip(k[starts].tolist(), w[starts].tolist(), w[ends].tolist(), strict=True):
+                    yield own[item], first * SEGMENT, (last + n) * SEGMENT
+
+    def closeness(self, codes: np.ndarray, k: int, first: int, last: int) -> float:
+        """The best cosine of the item with a window of a candidate."""
+        n, vector = self.axis[k]
+        sums = self.latent.vectors[codes[first:last]].reshape(-1, SEGMENT, len(vector)).sum(axis=1)
+        windows = sum(sums[i : len(sums) - n + 1 + i] for i in range(n))
+        return float((windows @ vector / np.maximum(np.linalg.norm(windows, axis=1), 1e-12)).max())
 
     def check(self, codes: np.ndarray, k: int, first: int, last: int) -> tuple[float, bool]:
         """The best share of the item in a stretch, and whether the answer is there."""
         item, answer, counts = self.items.codes[k], self.items.answers[k], self.counts[k]
         first = max(0, first - SEGMENT)
         around = codes[first : last + SEGMENT]
-        need = self.likely * len(item)
+        need = self.needed[k]
         places = self.place[k, around]
         met = np.bincount(places[places >= 0], minlength=len(counts))
         if np.minimum(met, counts).sum() < need or common_length(item, around) < need:  # neither is less than a stretch's
             return 0.0, False
-        length, stride = int(1.25 * len(item)) + 2, max(1, len(item) // 8)
+        length, stride = stretch(item), max(1, len(item) // 8)
         best, found = 0, False
-        for at in range(0, max(1, len(around) - length + stride), stride):
+        held = np.concatenate([[0], np.cumsum(places >= 0)])
+        at = np.arange(0, max(1, len(around) - length + stride), stride)
+        most = held[np.minimum(at + length, len(around))] - held[at]
+        for at, most in zip(at[most >= need].tolist(), most[most >= need].tolist(), strict=True):
+            if most <= best:
+                continue
             got = common_length(item, around[at : at + length])
             if got > best:
                 best = got
@@ -324,9 +331,9 @@ class Matcher:
             at += len(codes) + room
         stream = np.concatenate(parts)
         best: dict[tuple[int, int], tuple[float, float, bool]] = {}
-        for k, first, last, cosine in self.candidates(stream):
+        for k, first, last in self.candidates(stream):
             share, found = self.check(stream, k, first, last)
-            if share >= self.sure or share >= self.likely and found:
+            if (share >= self.sure or share >= self.likely and found) and (cosine := self.closeness(stream, k, first, last)) >= self.cosine:
                 number = held[int(np.searchsorted(offsets, last, side="left")) - 1][0]
                 if share > best.get((number, k), (0.0, 0.0))[1]:
                     best[number, k] = cosine, share, found
@@ -337,7 +344,7 @@ class Matcher:
 SCHEMA = "doc_id long, item_id long, cosine double, share double, answer_found boolean"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, likely: float = 0.6, sure: float = 0.8, block_items: int = 2000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = -1.0, likely: float = 0.6, sure: float = 0.8, block_items: int = 2000) -> DataFrame:
     """doc_id, item_id, cosine, share, answer_found of every row of docs (doc_id, text) that holds an item of benchmark (item_id, text)."""
     spark = docs.sparkSession
     found = None

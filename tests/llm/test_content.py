@@ -173,6 +173,27 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert decontam.find_leaks(frame.where("false"), bench).count() == 0 and decontam.find_leaks(frame, bench.where("false")).count() == 0
 
 
+def test_copies_far_from_their_item_in_the_latent_space_are_found(spark):
+    rng = random.Random(8)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 3000").orderBy("doc_id").collect()]
+    items = {r.item_id: r.text for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()}
+    docs, expected = [], set()
+    for k, item in items.items():
+        words = item.split()
+        for share in (1, 0.8, 0.65):
+            answer = len(words) - max(3, len(words) // 4) if share < 0.8 else len(words)  # a paraphrase keeps its answer
+            away = set(rng.sample(range(answer), int((1 - share) * len(words) + 1e-9)))
+            part = [f"zz{i}" if i in away else w for i, w in enumerate(words)]
+            parts = rng.choice(texts).split()
+            at = rng.randrange(len(parts) + 1)
+            expected.add((len(docs), k))
+            docs.append((len(docs), " ".join([*parts[:at], *part, *parts[at:]])))
+    frame = spark.createDataFrame(docs + [(10_000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(frame, spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")).collect()}
+    assert len(expected) == 3 * len(items)
+    assert sorted(expected - got) == []
+
+
 def test_singular_vectors_match_a_full_decomposition(spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.6, 64) if x < 40)) for i in range(200)]
