@@ -181,11 +181,15 @@ def predict(docs: DataFrame, sample: dict[str, str]) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, sample: dict[str, str], least: float) -> DataFrame:
-    """The rows of docs, all columns, whose language is found with a score of at least `least`; no shuffle."""
+    """The rows of docs, all columns, whose language is found with a score of at least `least`; all that have letters
+    where the sample is empty; no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(sample)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lang, score = judge(batch.column(batch.schema.get_field_index("text")).to_pylist(), sent.value)
+        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        if not sent.value:
+            return batch.filter(pa.array([letters_of(t) != "" for t in texts], pa.bool_()))
+        lang, score = judge(texts, sent.value)
         return batch.filter(pa.array((np.array(lang) != "und") & (score >= least)))
 
     return map_rows(docs, "text", docs.schema, work)

@@ -228,6 +228,11 @@ def test_pipeline_stages(spark):
     assert made.where("not exact").count() == 0 and made.count() == now.count() > 100
 
 
+def test_pipeline_language_without_labels(spark):
+    docs = spark.createDataFrame([(1, "Some words of a text.", None), (2, "12 !!", None), (3, None, None), (4, "Noch ein Text.", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()) == [1, 4]
+
+
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
 
