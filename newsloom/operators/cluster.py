@@ -6,7 +6,7 @@ the newest `candidates` articles only (a bound of the operator itself, not of a
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.operators.feed import newest
@@ -34,13 +34,17 @@ def capped_union(links: pd.DataFrame, most: int) -> pd.DataFrame:
     return pd.DataFrame({"rank": list(parent), "root": [find(x) for x in parent]}, dtype="int64")
 
 
+def cluster_text() -> Column:
+    """Title twice and body, dots as blanks."""
+    plain = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("."), F.lit(" "))
+    return F.concat_ws(" ", plain("title"), plain("title"), plain("body"))
+
+
 def story_clusters(articles: DataFrame, threshold: float = 0.32, most: int = 10, candidates: int = 500, max_terms: int = 3000) -> DataFrame:
     """group_id, article_ids of groups of two articles or more from two sources or more, members newest first."""
-    plain = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("."), F.lit(" "))
     recent = articles.where("title is not null").orderBy(*newest()).limit(candidates)
     ranked = recent.withColumn("rank", (F.row_number().over(Window.orderBy(*newest())) - 1).cast("long"))  # candidates rows
-    text = F.concat_ws(" ", plain("title"), plain("title"), plain("body"))
-    counts = terms(ranked.select("rank", text.alias("text")), "rank", "text", stop_words(), bigrams=True)
+    counts = terms(ranked.select("rank", cluster_text().alias("text")), "rank", "text", stop_words(), bigrams=True)
     links = cosine_pairs(weights(counts, vocabulary(counts, 2, max_terms), "rank", ranked.count()), "rank", threshold)
     roots = links.select("a", "b", F.lit(0).alias("all")).groupBy("all").applyInPandas(lambda df: capped_union(df, most), "rank long, root long")
     grouped = ranked.select("rank", "id", "source_id").join(roots, "rank").groupBy("root").agg(

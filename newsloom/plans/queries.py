@@ -174,6 +174,15 @@ def j10_cosine_pairs(spark, sf):
     return tfidf.cosine_pairs(tfidf.weights(counts, tfidf.vocabulary(counts), "doc_id", n), "doc_id", 0.5).select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
+@query
+def j10_article_pairs(spark, sf):
+    """Article pairs by cosine over 0.32 of title twice and body, all articles; the reference's vocabulary and stop list."""
+    docs = S.articles(spark, sf).where("title is not null").select("doc_id", cluster.cluster_text().alias("text"))
+    counts = tfidf.terms(docs, "doc_id", "text", tfidf.stop_words(), bigrams=True)
+    weighted = tfidf.weights(counts, tfidf.vocabulary(counts, 2, 3000), "doc_id", docs.count())
+    return tfidf.cosine_pairs(weighted, "doc_id", 0.32).select("a", "b", F.round("cosine", 4).alias("cosine"))
+
+
 @query
 def j10_dense_pairs(spark, sf):
     return tfidf.dense_pairs(read_table(spark, sf, "embeddings"), 0.5).select("a", "b", F.round("cosine", 4).alias("cosine"))
@@ -408,6 +417,13 @@ def d6_tfidf(spark, sf):
     return tfidf.weights(counts, tfidf.vocabulary(counts), "doc_id", n, sublinear=True).select("doc_id", "term", F.round("w", 4).alias("w"))
 
 
+@query
+def d6_article_tfidf(spark, sf):
+    """Weights of title and body of whole articles, as the bias model takes them: 5,000 terms, stop list, sublinear."""
+    docs = S.articles(spark, sf).select("doc_id", F.concat_ws(" ", "title", "body").alias("text"))
+    return _text_weights(docs, "doc_id", "text", 5000).select("doc_id", "term", F.round("w", 4).alias("w"))
+
+
 @query
 def d22_sentences(spark, sf):
     return S.articles(spark, sf).select("doc_id", F.size(T.sentences(F.col("body"))).cast("long").alias("n_sentences"))
@@ -452,6 +468,12 @@ def d16_story_groups(spark, sf):
 # Models
 
 
+def _text_weights(docs: DataFrame, key: str, text: str, most_terms: int) -> DataFrame:
+    """Sublinear weights of words and pairs without stop words, in two documents at least."""
+    counts = tfidf.terms(docs, key, text, tfidf.stop_words(), bigrams=True)
+    return tfidf.weights(counts, tfidf.vocabulary(counts, 2, most_terms), key, docs.count(), sublinear=True)
+
+
 def _bias_rows(spark, sf) -> DataFrame:
     rows = feed.enrich(_features(spark, sf), S.sources(spark, sf))
     votes = stats.overrides(S.feedback(spark, sf).where("dimension = 'bias'")).withColumnRenamed("article_key", "doc_id").withColumnRenamed("user_score", "vote")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +15,11 @@ from newsloom.functions import text as T
 from newsloom.functions import weather as W
 from newsloom.operators import cluster, feed, markets, models, signals, stats, store, stories
 from newsloom.operators.summarize import pull_quote, summarize
+from newsloom.operators import tfidf
+from newsloom.plans import queries
+from newsloom.sources import fixtures as S
+
+SF = "/root/testdata/sf0.001"
 
 NOW = "2024-01-31 12:00:00"
 
@@ -169,3 +178,30 @@ def test_payloads(spark, tmp_path):
     (tmp_path / "l.tsv").write_text("glad\tjoy\t1\nsad\tjoy\t0\nDread\tfear\t1\n")
     assert lexicon.as_dict(lexicon.read_json_lexicon(spark, f"file://{tmp_path}/l.json")) == {"joy": ["eye-opening", "glad"], "fear": ["dread"]}
     assert lexicon.as_dict(lexicon.read_tsv_lexicon(spark, f"file://{tmp_path}/l.tsv", ["joy", "fear"])) == {"joy": ["glad"], "fear": ["dread"]}
+
+
+def test_whole_article_queries_match_brute_force(spark):
+    docs = S.articles(spark, SF).where("title is not null").select("doc_id", "title", "body").collect()
+    stop, word = set(tfidf.stop_words()), re.compile(r"\b\w\w+\b")
+
+    def vectors(texts, most, sublinear):
+        counts = {}
+        for d, text in texts.items():
+            words = [w for w in word.findall(text.lower()) if w not in stop]
+            counts[d] = Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)])
+        df, cf = Counter(t for c in counts.values() for t in c), sum(counts.values(), Counter())
+        vocab = set(sorted((t for t in df if df[t] > 1), key=lambda t: (-cf[t], t))[:most])
+        out = {}
+        for d, c in counts.items():
+            w = {t: (1 + math.log(n) if sublinear else n) * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in c.items() if t in vocab}
+            size = math.sqrt(sum(x * x for x in w.values()))
+            out[d] = {t: x / size for t, x in w.items()}
+        return out
+
+    held = vectors({r.doc_id: f"{r.title} {r.body or ''}" for r in docs}, 5000, True)
+    got = {(r.doc_id, r.term): r.w for r in queries.QUERIES["q_d6_article_tfidf"](spark, SF).collect()}
+    assert got == pytest.approx({(d, t): x for d, v in held.items() for t, x in v.items()}, abs=1e-4)
+    plain = vectors({r.doc_id: f"{r.title} {r.title} {r.body or ''}".replace(".", " ") for r in docs}, 3000, False)
+    cosine = {(a, b): sum(x * plain[b].get(t, 0.0) for t, x in plain[a].items()) for a in plain for b in plain if a < b}
+    pairs = {(r.a, r.b): r.cosine for r in queries.QUERIES["q_j10_article_pairs"](spark, SF).collect()}
+    assert pairs == pytest.approx({p: c for p, c in cosine.items() if c > 0.32}, abs=1e-4)
