@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,22 @@ def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows)
 
 
+def assemble_text(rows: DataFrame, features: list[str], weighted: DataFrame, key: str) -> DataFrame:
+    """rows with the columns `features` and behind them a sparse place for each term of weighted (key, term, w), by name."""
+    first = len(features)
+    vocab = [r["term"] for r in weighted.select("term").distinct().orderBy("term").collect()]  # the vocabulary's bound
+    places = rows.sparkSession.createDataFrame(list(zip(vocab, range(first, first + len(vocab)), strict=True)), "term string, at int")
+    held = weighted.join(F.broadcast(places), "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("_terms"))
+
+    @F.udf(VectorUDT())
+    def vector(plain, terms):
+        pairs = [(i, float("nan") if x is None else x) for i, x in enumerate(plain)] + [(t["at"], t["w"]) for t in terms or ()]
+        return Vectors.sparse(first + len(vocab), pairs)
+
+    plain = F.array(*[F.col(c).cast("double") for c in features])
+    return rows.join(held, key, "left").withColumn("features", vector(plain, "_terms")).drop("_terms")
+
+
 def _fit(rows: DataFrame, classes: int) -> LogisticRegressionModel:
     """C = 1 of a summed loss is a penalty of 1/n of the mean one; weights make classes count alike."""
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row a class

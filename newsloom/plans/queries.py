@@ -479,7 +479,7 @@ def _bias_rows(spark, sf) -> DataFrame:
     votes = stats.overrides(S.feedback(spark, sf).where("dimension = 'bias'")).withColumnRenamed("article_key", "doc_id").withColumnRenamed("user_score", "vote")
     vector = X.bias_vector(F.col("full_text"), F.col("tokens"), F.col("source_score"), LEXICON["negative"])
     made = rows.join(votes, "doc_id", "left").select("id", "source_score", X.bias_class(F.coalesce("vote", "source_score")).alias("label"), *[c.alias(n) for n, c in vector.items()])
-    return models.assemble(made, list(vector))
+    return models.assemble_text(made, list(vector), _text_weights(_features(spark, sf).select("id", "full_text"), "id", "full_text", 5000), "id")
 
 
 @query

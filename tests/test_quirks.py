@@ -8,6 +8,7 @@ from collections import Counter
 
 import pandas as pd
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from newsloom.functions import features as X
@@ -205,3 +206,10 @@ def test_whole_article_queries_match_brute_force(spark):
     cosine = {(a, b): sum(x * plain[b].get(t, 0.0) for t, x in plain[a].items()) for a in plain for b in plain if a < b}
     pairs = {(r.a, r.b): r.cosine for r in queries.QUERIES["q_j10_article_pairs"](spark, SF).collect()}
     assert pairs == pytest.approx({p: c for p, c in cosine.items() if c > 0.32}, abs=1e-4)
+
+
+def test_bias_model_takes_the_text(spark):
+    rows = queries._bias_rows(spark, SF)
+    sizes = {r.n for r in rows.select(F.size(vector_to_array("features")).alias("n")).distinct().collect()}
+    terms = queries.QUERIES["q_d6_article_tfidf"](spark, SF).select("term").distinct().count()
+    assert sizes == {5 + terms} and terms > 100
