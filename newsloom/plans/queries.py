@@ -462,7 +462,7 @@ def s3_main_text(spark, sf):
 
 @query
 def d16_story_groups(spark, sf):
-    return cluster.story_clusters(S.articles(spark, sf), threshold=0.6).select("group_id", F.array_join("article_ids", ",").alias("article_ids"))
+    return cluster.story_clusters(S.articles(spark, sf)).select("group_id", F.array_join("article_ids", ",").alias("article_ids"))
 
 
 # Models

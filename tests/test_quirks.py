@@ -208,6 +208,19 @@ def test_whole_article_queries_match_brute_force(spark):
     assert pairs == pytest.approx({p: c for p, c in cosine.items() if c > 0.32}, abs=1e-4)
 
 
+def test_story_groups_at_the_production_threshold(spark):
+    got, production, narrow = (
+        {(r.group_id, tuple(r.article_ids.split(","))) for r in frame.select("group_id", F.array_join("article_ids", ",").alias("article_ids")).collect()}
+        for frame in (
+            queries.QUERIES["q_d16_story_groups"](spark, SF).withColumn("article_ids", F.split("article_ids", ",")),
+            cluster.story_clusters(S.articles(spark, SF), threshold=0.32),
+            cluster.story_clusters(S.articles(spark, SF), threshold=0.6),
+        )
+    )
+    print("story groups at 0.32 and 0.6:", len(production), len(narrow))
+    assert got == production != narrow
+
+
 def test_bias_model_takes_the_text(spark):
     rows = queries._bias_rows(spark, SF)
     sizes = {r.n for r in rows.select(F.size(vector_to_array("features")).alias("n")).distinct().collect()}
