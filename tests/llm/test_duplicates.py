@@ -239,6 +239,25 @@ def jaccard_groups(texts):
     return groups_of(held, [(a, b) for a in held for b in held if a < b and similar(held[a], held[b])])
 
 
+def test_wide_covering():
+    rng = np.random.default_rng(1)
+    fps = rng.integers(0, 1 << 63, (200, resemblance.WORDS), dtype=np.uint64)
+    held = [set() for _ in fps]
+    for anchors, row in resemblance.replicas(fps):
+        for a, r in zip(anchors.tolist(), row.tolist(), strict=True):
+            held[r].add(a)
+    for table in range(resemblance.TABLES):  # one bit of each block changed: they still meet in every table
+        for i in range(0, 200, 10):
+            bits = np.unpackbits(fps[i, 1:].copy().view(np.uint8), bitorder="little")
+            for block in (0, 1):
+                bits[2 * resemblance.GOLAY * table + resemblance.GOLAY * block + rng.integers(resemblance.GOLAY)] ^= 1
+            other = np.concatenate([fps[i, :1], np.packbits(bits, bitorder="little").view("<u8")])[None]
+            assert any(held[i] & set(anchors.tolist()) for anchors, _ in resemblance.replicas(other))
+            own = {a for a in held[i] if a >> 24 == table}
+            assert own & {a for anchors, _ in resemblance.replicas(other) for a in anchors.tolist()}
+    assert 25 * resemblance.TABLES < np.mean([len(h) for h in held]) < 31 * resemblance.TABLES
+
+
 def test_resemblance_matches_brute_force(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(400)]
@@ -254,7 +273,12 @@ def test_resemblance_matches_brute_force(spark):
         texts += [" ".join(base), " ".join([*base[: 60 - n], *(rng.choice(words) for _ in range(n))])]
     rows = {i + 10: t for i, t in enumerate(texts)}
     docs = spark.createDataFrame([(d, t, 0) for d, t in rows.items()], "doc_id long, text string, component_id long").repartition(3)
-    assert {r.doc_id: r.component_id for r in resemblance.groups(docs).collect()} == jaccard_groups(rows)
+    made, exact = {r.doc_id: r.component_id for r in resemblance.groups(docs).collect()}, jaccard_groups(rows)
+    assert made.keys() == exact.keys()
+    for doc_id, component in made.items():  # no group joins what brute force keeps apart
+        assert exact[doc_id] == exact[component]
+    missed = [d for d in made if made[d] != exact[d]]
+    assert len(missed) <= 0.1 * sum(exact[d] != d for d in exact)
     assert resemblance.groups(docs.where("false")).count() == 0
     bare = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (None, "other words")], "doc_id long, text string")
     assert sorted(r.component_id or 0 for r in resemblance.groups(bare).collect()) == [0, 7, 7, 7]
