@@ -1,27 +1,35 @@
 """Main text of web pages by tag-path ratios.
 
-A page's text is cut into blocks; each has a tag path from the root to its block element (inline elements
-add nothing to it, classes and ids do). Over the blocks of each path the length of text and the punctuation
-are averaged and multiplied: prose scores high, menus and notices low. Scores are smoothed over paths with a
-Gaussian in the paths' distance (steps from one to the other in the tree), so that a heading shares in the
-score of the paragraphs beside it; fused with where the path stands (inside an article or main element, if
-the page has one); and thresholded against the page's best path. Lists, tables and quotes inside the element
-that holds the best path's blocks belong to the article whatever their own ratio.
-
-Elements that are no running text by their kind or by the words of their class or id (menus, headers,
-footers, sidebars, notices, adverts, forms, reader comments) take no part, nor do scripts, styles, heads.
+1. A page's text is cut into blocks; each has a tag path from the root to its block element (inline elements
+   add nothing to it, classes and ids do). Paths are nodes of a tree; many blocks may share one.
+2. Ratio: over the blocks of a path, the mean length of text times one plus the mean number of punctuation
+   marks. Prose scores high, menus and notices low.
+3. Smoothing over the tree: a path's score is the sum of all paths' ratios, each weighted by a decay to the
+   power of the steps between the two, so that a heading or a table cell shares in the score of the paragraphs
+   beside it. Two passes over the tree's edges give all of them.
+4. Fusing: scores fall with the share of a path's text that is inside links (headings apart), and with classes,
+   ids and roles that name boilerplate on the way to it: much if that is all that a name says (`ad-box`), by half
+   if it says something else too (`ad-hoc`).
+5. Threshold, as a share of the page's best score: low within the article, which is the article or main element
+   if these hold a fair share of the page's prose, else the element around the best path's blocks; higher
+   outside, where scores also count less if the page has such an element.
+
+Elements that are no running text by their kind (menus, headers, footers, sidebars, forms, and what browsers do
+not show as text) take no part; a header inside an article does.
 
 Blocks of the chosen paths are joined in page order. Inside a block, white space and line-break elements are
-one space; character references are decoded; nothing else is changed or cut.
+one space; character references are decoded; nothing else is changed or cut. Time and memory grow in proportion
+to the page, however deep it nests and however many paths it has.
 
-Defined results: null, empty or textless html gives an empty text; broken markup is read as far as it goes,
-unclosed elements end with their parent; repeated rows give repeated results; other columns play no part.
+Defined results: null, empty or textless html gives an empty text, and so does a page whose names all tell of
+boilerplate; broken markup is read as far as it goes, unclosed elements end with their parent; repeated rows
+give repeated results; other columns play no part.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -31,45 +39,98 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import map_rows
 
-#: Element kinds and the words in classes, ids and roles that name boilerplate.
+#: Element kinds, words of classes, ids and roles that name boilerplate, and words that say no more beside them.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style title template noscript iframe svg math object canvas audio video textarea select option datalist".split())
-BOILERPLATE = frozenset("nav header footer aside form menu dialog button fieldset".split())
+HIDDEN = frozenset("head script style title template noscript iframe svg canvas audio video textarea select option datalist".split())
+BOILERPLATE = frozenset("nav header footer aside form menu dialog button".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus "
     "dialog footer form header masthead menu menubar modal nav navbar navigation newsletter notice notices pagination popup promo promotion promoted "
     "related respond replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+PARTS = frozenset(
+    "area article articles bar block body bottom box button buttons center col container content entry footer global head icon icons inner item items label "
+    "left link links list main media message mobile more news outer page panel policy post posts primary right row secondary section site slot space "
+    "stories story tag text thread title top unit wrap wrapper".split()
+)
 CONTENT = frozenset(("article", "main"))
 #: Words that a content element may have without being boilerplate, and words beside which a header belongs to the article.
 LAYOUT = frozenset("header menu nav sidebar footer share social".split())
 ARTICLE_WORDS = frozenset("article content entry headline post story".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Spread of the smoothing in steps between paths, weight of paths outside the content element, and the share of the best score that a path needs.
-SPREAD, OUTSIDE, SHARE = 1.0, 0.25, 0.05
+#: Decay of a ratio with each step, inside and outside the article; the shares of the best score that a path needs there.
+NEAR, FAR, LOW, HIGH = 0.5, 0.2, 0.01, 0.05
+#: Weights of names that say boilerplate and of names that say it among other things, of text in links, and of paths outside
+#: a content element; and the share of the page's prose that makes an element one.
+TELLING, HINTING, LINKED, OUTSIDE, FAIR = 0.001, 0.5, 0.02, 0.05, 0.2
 _names = re.compile(r"[a-z]+")
 _having = re.compile(r"\b(?:has|no|with|without)[-_]+\w+")  # what an element merely has beside it
 _marks = re.compile(r"[.,;:!?…。，、；：！？¡¿]")
 
 
-@dataclass
+def name_weight(tag: str, named: str) -> float:
+    """What the class, id and role of an element leave of its score."""
+    if not named or tag in ("html", "body", "main"):
+        return 1.0
+    allowed = LAYOUT if tag in CONTENT else frozenset()
+    weight = 1.0
+    for name in _having.sub(" ", named).split():
+        words = set(_names.findall(name))
+        telling = words & NAMES - allowed
+        if words & ARTICLE_WORDS:
+            telling -= {"header"}
+        if telling:
+            weight = min(weight, TELLING if words <= NAMES | PARTS else HINTING)
+    return weight
+
+
+@dataclass(slots=True)
+class Block:
+    path: int
+    parts: list[str] = field(default_factory=list)
+    linked: int = 0
+    text: str = ""
+
+
+@dataclass(slots=True)
 class Element:
     tag: str
-    path: str
+    path: int
     skipped: bool
-    content: bool
+    inline: bool
+    block: Block | None = None
 
 
-@dataclass
-class Block:
-    path: tuple[str, ...]
-    content: bool
-    parts: list[str] = field(default_factory=list)
+class PathTree:
+    """Paths by number, each behind its parent: parent, label, heading or not, inside a content element or not, names' weight."""
 
-    @property
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split())
+    def __init__(self):
+        self.parent, self.heading, self.content, self.weight = [-1], [False], [False], [1.0]
+        self.number: dict[tuple[int, str], int] = {}
+        self.root = [True]  # html and body, which no article ends with
+
+    def child(self, parent: int, tag: str, label: str, weight: float) -> int:
+        key = (parent, label)
+        if key not in self.number:
+            self.number[key] = len(self.parent)
+            self.parent.append(parent)
+            self.heading.append(tag in HEADINGS)
+            self.content.append(self.content[parent] or tag in CONTENT)
+            self.weight.append(weight if tag == "main" else weight * self.weight[parent])
+            self.root.append(tag in ("html", "body"))
+        return self.number[key]
+
+    def smoothed(self, values: list[float], decay: float) -> list[float]:
+        """For each path the sum of all values, each times decay to the power of the steps to it."""
+        below = list(values)
+        for i in range(len(below) - 1, 0, -1):
+            below[self.parent[i]] += decay * below[i]
+        whole = below[:]
+        for i in range(1, len(whole)):
+            whole[i] += decay * (whole[self.parent[i]] - decay * below[i])
+        return whole
 
 
 class PageReader(HTMLParser):
@@ -77,93 +138,116 @@ class PageReader(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[Element] = []
+        self.paths = PathTree()
+        self.stack = [Element("", 0, False, False)]
+        self.open_tags: Counter[str] = Counter()
+        self.links = 0
         self.blocks: list[Block] = []
-        self.open: Block | None = None
 
     def _close_to(self, at: int) -> None:
+        ended = self.stack[at:]
         del self.stack[at:]
-        self.open = None
+        self.open_tags.subtract(e.tag for e in ended)
+        if not all(e.inline for e in ended):
+            self._end_block()
+
+    def _end_block(self) -> None:
+        """What follows starts a new block, in the inline elements that are open and in the block element around them."""
+        for element in reversed(self.stack):
+            element.block = None
+            if not element.inline:
+                break
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
             self.handle_data(" ")
             return
-        named = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role"))
-        words = set(_names.findall(_having.sub(" ", named)))
-        telling = words & NAMES
-        if tag in ("html", "body", "main"):
-            telling = set()
-        elif tag in CONTENT or words & ARTICLE_WORDS:
-            telling -= LAYOUT if tag in CONTENT else {"header"}
-        odd = bool(telling) or any(k == "hidden" for k, _ in attrs)
-        if tag in INLINE and not odd:
+        named, weight, hidden, label = "", 1.0, False, tag
+        if attrs:
+            named = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role"))
+            weight = name_weight(tag, named)
+            hidden = any(k == "hidden" for k, _ in attrs)
+            label = f"{tag}.{'.'.join(sorted(set(_names.findall(named))))}" if named else tag
+        inline = tag in INLINE
+        if tag == "a":
+            self.links += 1
+        if inline and weight > TELLING and not hidden:
             return
         if tag in VOID:
             if tag == "hr":
-                self.open = None
+                self._end_block()
             return
-        if tag not in INLINE:
-            for i in range(len(self.stack) - 1, -1, -1):
+        if not inline:
+            for i in range(len(self.stack) - 1, 0, -1):
                 held = self.stack[i].tag
                 if held == "p" or held in CLOSES.get(tag, ()):
                     self._close_to(i)
                 elif held not in ("td", "th"):
                     break
-        above = self.stack[-1] if self.stack else None
-        boilerplate = tag in HIDDEN or odd or tag in BOILERPLATE and not (tag == "header" and above is not None and above.content)
-        self.stack.append(Element(tag, f"{tag}.{'.'.join(sorted(words))}", boilerplate or (above is not None and above.skipped), tag in CONTENT or (above is not None and above.content)))
-        self.open = None
+            self._end_block()
+        above = self.stack[-1]
+        kind = tag in HIDDEN or tag in BOILERPLATE and not (tag == "header" and self.paths.content[above.path])
+        path = self.paths.child(above.path, tag, label, weight)
+        self.stack.append(Element(tag, path, kind or hidden or above.skipped, inline))
+        self.open_tags[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # in HTML the slash of <div/> means nothing
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
+        if tag == "a" and self.links:
+            self.links -= 1
+        if not self.open_tags[tag]:
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
                 self._close_to(i)
                 return
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1].skipped:
+        top = self.stack[-1]
+        if top.skipped:
             return
-        if self.open is None:
+        if top.block is None:
             if not data.strip():
                 return
-            self.open = Block(tuple(e.path for e in self.stack), bool(self.stack) and self.stack[-1].content)
-            self.blocks.append(self.open)
-        self.open.parts.append(data)
-
-
-def _steps(a: tuple[str, ...], b: tuple[str, ...]) -> int:
-    shared = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        shared += 1
-    return len(a) + len(b) - 2 * shared
-
-
-def content_paths(blocks: list[tuple[tuple[str, ...], bool, str]]) -> set[tuple[str, ...]]:
-    """The paths whose smoothed and fused ratio reaches the threshold."""
-    totals: dict[tuple[str, ...], list[float]] = {}
-    for path, content, text in blocks:
-        held = totals.setdefault(path, [0, 0, 0, content])
-        held[0] += 1
-        held[1] += len(text)
-        held[2] += len(_marks.findall(text))
-    ratio = {p: (chars / n) * (1 + marks / n) for p, (n, chars, marks, _) in totals.items()}
-    near = {d: math.exp(-d * d / (2 * SPREAD * SPREAD)) for d in range(8)}
-    smooth = {p: sum(r * near.get(_steps(p, q), 0.0) for q, r in ratio.items()) for p in ratio}
-    placed = any(t[3] for t in totals.values())
-    fused = {p: s * (OUTSIDE if placed and not totals[p][3] else 1.0) for p, s in smooth.items()}
-    if not fused:
+            top.block = Block(top.path)
+            self.blocks.append(top.block)
+        top.block.parts.append(data)
+        if self.links:
+            top.block.linked += len(" ".join(data.split()))
+
+
+def content_paths(paths: PathTree, blocks: list[Block]) -> set[int]:
+    """The paths whose smoothed and fused ratio reaches its threshold."""
+    size = len(paths.parent)
+    n, chars, marks, linked = ([0] * size for _ in range(4))
+    for block in blocks:
+        n[block.path] += 1
+        chars[block.path] += len(block.text)
+        marks[block.path] += len(_marks.findall(block.text))
+        linked[block.path] += block.linked
+    used = [p for p in range(size) if n[p]]
+    ratio = [chars[p] / n[p] * (1 + marks[p] / n[p]) if n[p] else 0.0 for p in range(size)]
+    weight = [paths.weight[p] * (1.0 if paths.heading[p] or not n[p] else max(LINKED, 1 - linked[p] / chars[p])) for p in range(size)]
+    ratio = [r * w for r, w in zip(ratio, weight, strict=True)]
+    if not any(paths.weight[p] > TELLING for p in used):
         return set()
-    best = max(fused, key=lambda p: (fused[p], -len(p)))
-    around = best[:-1]  # the element that holds the best path's blocks; what stands in it is of the article too
-    whole = len(around) > 0 and around[-1].split(".")[0] not in ("html", "body")
-    inside = lambda p: totals[p][3] if placed and totals[best][3] else whole and p[: len(around)] == around
-    return {p for p, s in fused.items() if s >= SHARE * fused[best] or inside(p)}
+    prose = lambda own: sum(ratio[p] * n[p] for p in own)
+    placed = prose(p for p in used if paths.content[p]) >= FAIR * prose(used) > 0
+    near, far = ([s * w for s, w in zip(paths.smoothed(ratio, decay), weight, strict=True)] for decay in (NEAR, FAR))
+    inside = paths.content
+    if not placed:
+        around = paths.parent[max(used, key=lambda p: (far[p], -p))]
+        inside = [False] * size
+        if around > 0 and not paths.root[around]:
+            inside[around] = True
+            for p in range(around + 1, size):
+                inside[p] = inside[paths.parent[p]]
+    outside = OUTSIDE if placed else 1.0
+    best_near = max((near[p] for p in used if inside[p]), default=0.0)
+    best_far = max(far[p] * (1.0 if inside[p] else outside) for p in used)
+    return {p for p in used if (near[p] >= LOW * best_near if inside[p] else far[p] * outside >= HIGH * best_far)}
 
 
 def main_text(html: str | None) -> str:
@@ -172,10 +256,11 @@ def main_text(html: str | None) -> str:
     reader = PageReader()
     reader.feed(html)
     reader.close()
-    blocks = [(b.path, b.content, b.text) for b in reader.blocks]
-    blocks = [b for b in blocks if b[2]]
-    chosen = content_paths(blocks)
-    return "\n".join(text for path, _, text in blocks if path in chosen)
+    for block in reader.blocks:
+        block.text = " ".join("".join(block.parts).split())
+    blocks = [b for b in reader.blocks if b.text]
+    chosen = content_paths(reader.paths, blocks)
+    return "\n".join(b.text for b in blocks if b.path in chosen)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -248,3 +249,46 @@ LAYOUTS = [
 @pytest.mark.parametrize(("html", "text"), LAYOUTS)
 def test_layout_words_do_not_hide_the_article(html, text):
     assert html_extract.main_text(html.format(ARTICLE)) == text.format("", ARTICLE.strip())
+
+
+def test_smoothing_matches_brute_force():
+    rng = random.Random(1)
+    for _ in range(30):
+        tree = html_extract.PathTree()
+        for i in range(rng.randrange(1, 40)):
+            tree.child(rng.randrange(i + 1), "div", str(i), 1.0)
+        above = lambda p: [p] if p == 0 else [p, *above(tree.parent[p])]
+        steps = lambda p, q: len(set(above(p)) ^ set(above(q)))
+        values = [rng.random() for _ in tree.parent]
+        got = tree.smoothed(values, 0.3)
+        for p, s in enumerate(got):
+            assert np.isclose(s, sum(v * 0.3 ** steps(p, q) for q, v in enumerate(values)))
+
+
+INSIDE = [
+    ("<p class='ad-hoc'>An ad-hoc rule</p>", "An ad-hoc rule"), ("<div class='widget-table'>cells</div>", "cells"), ("<math><mi>x</mi></math>", "x"), ("<fieldset>set apart</fieldset>", "set apart"),
+    ("<ul><li><a href='/a'>one link</a></li><li><a href='/b'>two link</a></li></ul>", None), ("<div class='ad-slot'><p>Buy it, now. Buy it!</p></div>", None), ("<div class='post-footer'>Filed under: this, that.</div>", None),
+    ("<div><div><ul><li>deep point</li></ul></div></div>", "deep point"), ("<h2><a href='/c'>Linked heading</a></h2>", "Linked heading"), ("<p>with <span class='share'>Share it</span> a gap</p>", "with a gap"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), INSIDE)
+def test_the_ratio_decides_inside_the_article(html, text):
+    got = html_extract.main_text(f"<body><nav><a href='/'>Home</a></nav><article><p>{ARTICLE}</p>{html}<p>{ARTICLE}</p></article></body>")
+    assert got.split("\n") == [x for x in (ARTICLE.strip(), text, ARTICLE.strip()) if x]
+
+
+@pytest.mark.parametrize("html", ["<div>text, a.", "<p class='{0}'>Some text, a.", "<div></span>text <b class=ad>x", "<td><li>text</p>"])
+def test_time_grows_in_proportion(html):
+    """Deep nesting and very many paths; the square of the pages' ratio would be 64."""
+    page = lambda n: "".join(html.replace("{0}", "".join(chr(97 + i // 26**k % 26) for k in range(4))) for i in range(n))
+    seconds = []
+    for n in (2500, 20_000):
+        began = time.process_time()
+        assert html_extract.main_text(page(n))
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 24 * seconds[0]
+
+
+def test_pages_of_boilerplate_only_are_empty():
+    assert html_extract.main_text(f"<div class='ad'>{ARTICLE}</div><nav>{ARTICLE}</nav>") == ""
