@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from newsloom.llm import vocab
 from newsloom.llm.common import bound_batches, kept_in_worker, map_rows
 
-#: Pre-tokens that a worker remembers; when full it forgets all of them.
-MEMO = 300_000
+#: Pre-tokens that a worker remembers (when full it forgets all of them), and the longest of them in characters.
+MEMO, LONGEST = 300_000, 64
 
 
 def _varint(n: int) -> bytes:
@@ -73,9 +73,10 @@ class Codec(dict):
         data = token.encode("utf-8", "surrogatepass")
         whole = self.ranks.get(data)
         ids = (whole,) if whole is not None else tuple(self.model.encode(vocab.spelled(data)))
-        if len(self) >= MEMO:
-            self.clear()
-        self[token] = ids
+        if len(token) <= LONGEST:
+            if len(self) >= MEMO:
+                self.clear()
+            self[token] = ids
         return ids
 
     def encode(self, text: str | None) -> list[int]:

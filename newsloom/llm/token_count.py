@@ -6,10 +6,15 @@ text before it ends with, and by how many tokens that encoding is shorter. A tra
 token that ends here and that may follow the token before it, and is annotated with the change of the
 token count. States are made as texts need them, shared by all words, and forgotten together when too many.
 
-A text is cut into chunks. A chunk's state map is what it does to any state before it: up to its first
-sure boundary (a blank behind a letter, figure or mark: no pre-token crosses it) the result depends on
-that state, behind it no longer. Maps compose associatively, so a prefix scan over the chunks gives the
-count at each chunk's end, in a logarithmic number of steps.
+Text is cut into pre-tokens by the tokenizer's pattern, a regular stage of its own whose cuts leave the transducer in its
+start state; pre-tokens are remembered with their counts. Long texts are cut in pieces where a cut is certain
+whatever stands before and behind (before white space, and where letters, numbers and marks meet).
+
+A pre-token longer than CHUNK bytes (scripts without blanks, encoded data) is counted by chunks. A chunk's map takes
+each state that it is entered in to the state it is left in and the tokens emitted; maps compose associatively, and a
+scan over them by pairs gives the state and count at each chunk's end. Only a bounded number of maps is held.
+
+Tokenizers that are not byte-level, and patterns other than the byte-level one, go to the library whole.
 
 Defined results: a null or empty text has zero tokens; other columns play no part; repeated rows give
 repeated results; a text of any length is counted whole.
@@ -18,22 +23,31 @@ repeated results; a text of any length is counted whole.
 from __future__ import annotations
 
 import hashlib
-import re
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import vocab
 from newsloom.llm.common import kept_in_worker, map_rows
 
-#: Pre-tokens and states that a worker remembers.
-MEMO, STATES = 500_000, 150_000
-CHUNK = 1 << 16
+#: Pre-tokens that a worker remembers, the longest of them in characters, and states.
+MEMO, LONGEST, STATES = 500_000, 64, 150_000
+#: Characters of a piece, bytes of a chunk, and chunk maps that are composed at a time.
+PIECE, CHUNK, MAPS = 1 << 16, 1 << 14, 64
 NEVER = 1 << 60
-_sure = re.compile(r"(?<=[A-Za-z0-9.,;:!?])[ \n]")
+#: Where a cut is certain: before white space, and between letters, numbers and marks, but for what an apostrophe starts.
+_sure = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
+
+#: Transducer states as they are known beyond a worker's memory: places with the token before and how far behind each is.
+State = tuple
+ChunkMap = dict[State, tuple[State, int]]
+
+
+START: State = ((0, None, 0),)
 
 
 class CountTransducer:
@@ -65,8 +79,7 @@ class CountTransducer:
         self.token[node] = token
 
     def forget(self) -> None:
-        start = ((0, None, 0),)
-        self.states, self.number, self.next = [start], {start: 0}, [{}]
+        self.states, self.number, self.next = [START], {START: 0}, [{}]
 
     def _spine(self, token: str, side: int) -> list[tuple[str, int]]:
         """The symbols that stand at one end of token while its merges happen, each with the rank of the merge that ends it."""
@@ -124,39 +137,80 @@ class CountTransducer:
         self.next[state][letter] = step = (self.number[after], change)
         return step
 
-    def count(self, letters: str) -> int:
+    def run(self, entered: State, letters: str) -> tuple[State, int]:
+        """The state after letters and the tokens emitted."""
         if len(self.states) > STATES:
             self.forget()
-        state = total = 0
+        if entered not in self.number:
+            self.number[entered] = len(self.states)
+            self.states.append(entered)
+            self.next.append({})
+        state, total = self.number[entered], 0
         transitions = self.next
         for letter in letters:
             step = transitions[state].get(letter) or self._grow(state, letter)
             state = step[0]
             total += step[1]
-        return total
+        return self.states[state], total
+
+    def count(self, letters: str) -> int:
+        return self.run(START, letters)[1]
 
+    def chunk_map(self, data: bytes, entered: Iterable[State]) -> ChunkMap:
+        letters = vocab.spelled(data)
+        return {state: self.run(state, letters) for state in entered}
 
-@dataclass(frozen=True)
-class ChunkMap:
-    """What a chunk does to the state before it. Without a sure boundary it is all head."""
+    def count_long(self, data: bytes) -> int:
+        """A pre-token of any length, by the composition of its chunks' maps."""
+        whole: ChunkMap = {START: (START, 0)}
+        maps: list[ChunkMap] = []
+        for i in range(0, len(data), CHUNK):
+            entered = {state for state, _ in (maps[-1] if maps else whole).values()}
+            maps.append(self.chunk_map(data[i : i + CHUNK], entered))
+            if len(maps) == MAPS:
+                whole, maps = compose(whole, scan(maps)[-1]), []
+        return compose(whole, scan(maps)[-1])[START][1] if maps else whole[START][1]
 
-    head: str
-    count: int | None = None
-    tail: str = ""
+
+def compose(x: ChunkMap, y: ChunkMap) -> ChunkMap:
+    """What x and then y do; y knows all states that x is left in."""
+    return {state: (y[left][0], emitted + y[left][1]) for state, (left, emitted) in x.items()}
+
+
+def scan(maps: list[ChunkMap]) -> list[ChunkMap]:
+    """Inclusive prefix compositions, in a logarithmic number of steps: pairs first, then the odd places from the pairs' prefixes."""
+    if len(maps) < 2:
+        return maps
+    pairs = scan([compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)])
+    return [maps[0], *(pairs[i // 2] if i % 2 else compose(pairs[i // 2 - 1], maps[i]) for i in range(1, len(maps)))]
 
 
 class Counter(dict):
-    """Counts of pre-tokens, remembered; whole texts by chunks."""
+    """Counts of pre-tokens, remembered; whole texts by pieces."""
 
     def __init__(self, data: bytes, pattern: str):
-        _, merges = vocab.parse_merges(data)
-        self.transducer = CountTransducer(merges)
-        self.split = vocab.splitter(pattern)
+        self.data, self.held = data, None
+        self.by_library = not vocab.is_byte_level(data) or pattern != vocab.BYTE_LEVEL_PATTERN
         special = vocab.special_strings(data)
-        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.data, self.library = data, None
+        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        if not self.by_library:
+            _, merges = vocab.parse_merges(data)
+            self.transducer = CountTransducer(merges)
+            self.split = vocab.splitter(pattern)
+
+    @property
+    def library(self):
+        if self.held is None:
+            from tokenizers import Tokenizer
+
+            self.held = Tokenizer.from_str(self.data.decode())
+            self.held.no_truncation()
+            self.held.no_padding()
+        return self.held
 
     def __missing__(self, token: str) -> int:
+        if len(token) > LONGEST:
+            return self.transducer.count_long(token.encode())
         if len(self) >= MEMO:
             self.clear()
         self[token] = n = self.transducer.count(vocab.spelled(token.encode()))
@@ -165,47 +219,29 @@ class Counter(dict):
     def _cut(self, text: str) -> list[str]:
         if vocab.cuts_alike(text):
             return self.split(text)
-        if self.library is None:
-            from tokenizers import Tokenizer
-
-            self.library = Tokenizer.from_str(self.data.decode()).pre_tokenizer
-        return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
-
-    def between(self, text: str) -> int:
-        """Tokens of a stretch between sure boundaries."""
-        if self.special is None or self.special.search(text) is None:
-            return sum(map(self.__getitem__, self._cut(text)))
-        plain = self.special.split(text)
-        return len(plain) - 1 + sum(sum(map(self.__getitem__, self._cut(x))) for x in plain)
-
-    def chunk_map(self, chunk: str) -> ChunkMap:
-        first = _sure.search(chunk)
-        if first is None:
-            return ChunkMap(chunk)
-        a = b = first.start()
-        for later in _sure.finditer(chunk, max(a + 1, len(chunk) - 256)):
-            b = later.start()
-        return ChunkMap(chunk[:a], self.between(chunk[a:b]), chunk[b:])
-
-    def compose(self, x: ChunkMap, y: ChunkMap) -> ChunkMap:
-        if x.count is None:
-            return ChunkMap(x.head + y.head, y.count, y.tail)
-        if y.count is None:
-            return ChunkMap(x.head, x.count, x.tail + y.head)
-        return ChunkMap(x.head, x.count + self.between(x.tail + y.head) + y.count, y.tail)
-
-    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
-        """Inclusive prefix compositions: pairs first, then the odd places from the pairs' prefixes."""
-        if len(maps) < 2:
-            return maps
-        pairs = self.scan([self.compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)])
-        return [maps[0], *(pairs[i // 2] if i % 2 else self.compose(pairs[i // 2 - 1], maps[i]) for i in range(1, len(maps)))]
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def pieces(self, text: str) -> Iterator[str]:
+        """text in pieces of about PIECE characters, parted where a cut is certain."""
+        start = 0
+        while len(text) - start > PIECE:
+            for cut in _sure.finditer(text, start + PIECE):
+                at = cut.start()
+                if vocab.cuts_alike(text[at - 1 : at + 1]):
+                    break
+            else:
+                break
+            yield text[start:at]
+            start = at
+        yield text[start:]
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        whole = self.scan([self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])[-1]
-        return self.between(whole.head) + (whole.count or 0) + self.between(whole.tail)
+        if self.by_library:
+            return len(self.library.encode(text, add_special_tokens=False).ids)
+        plain = [text] if self.special is None else self.special.split(text)
+        return len(plain) - 1 + sum(sum(map(self.__getitem__, self._cut(piece))) for part in plain for piece in self.pieces(part))
 
 
 def counter(data: bytes, pattern: str) -> Counter:

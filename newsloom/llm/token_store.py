@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from newsloom.llm import vocab
 from newsloom.llm.common import kept_in_worker, map_rows
 
-MEMO = 500_000
+#: Pre-tokens that a worker remembers, and the longest of them in characters.
+MEMO, LONGEST = 500_000, 64
 #: Documents in a shard, as long as this makes at most MOST_SHARDS of them.
 SHARD_DOCS = 20_000
 MOST_SHARDS = 10_000
@@ -59,7 +60,7 @@ class LibraryCodec(dict):
         self.by_line = Tokenizer.from_str(data.decode())  # takes spelled pre-tokens, a line each
         self.by_line.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.split = vocab.splitter(pattern)
-        self.byte_level = vocab.is_byte_level(data)
+        self.byte_level = vocab.is_byte_level(data) and pattern == vocab.BYTE_LEVEL_PATTERN
         special = vocab.special_strings(data)
         self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
         ids = self.library.get_vocab()
@@ -89,7 +90,11 @@ class LibraryCodec(dict):
         if missing := set(chain.from_iterable(filter(None, cut))).difference(self):
             self._learn(missing)
         look = self.__getitem__
-        return [b"".join(map(look, tokens)) if tokens is not None else self._by_library([text])[0].tobytes() for text, tokens in zip(texts, cut, strict=True)]
+        made = [b"".join(map(look, tokens)) if tokens is not None else self._by_library([text])[0].tobytes() for text, tokens in zip(texts, cut, strict=True)]
+        for token in missing:
+            if len(token) > LONGEST:
+                del self[token]
+        return made
 
 
 def library_codec(data: bytes, pattern: str) -> LibraryCodec:

@@ -65,10 +65,17 @@ def special_strings(data: bytes) -> dict[str, int]:
     return {t["content"]: t["id"] for t in json.loads(data).get("added_tokens", [])}
 
 
+#: Fixed value: the pattern by which byte-level tokenizers cut text.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 @lru_cache(maxsize=4)
 def splitter(pattern: str) -> Callable[[str], list[str]]:
-    """A function that cuts text by pattern. Texts in Latin-1 take the standard library's faster engine, with the
-    pattern's classes of letters, numbers and white space spelled out for those 256 code points."""
+    """A function that cuts text by pattern. Texts in Latin-1 take the standard library's faster engine if it is the
+    byte-level pattern, with its classes of letters, numbers and white space spelled out for those 256 code points."""
+    if pattern != BYTE_LEVEL_PATTERN:
+        whole = regex.compile(pattern)
+        return lambda text: [m.group() for m in whole.finditer(text)]
     latin = [chr(c) for c in range(256)]
     classes = {name: "".join(re.escape(c) for c in latin if regex.match(name, c)) for name in (r"\p{L}", r"\p{N}", r"\s")}
     own = pattern.replace(r"\S", "[^" + classes[r"\s"] + "]").replace(r"[^\s\p{L}\p{N}]", "[^" + "".join(classes.values()) + "]")

@@ -70,17 +70,42 @@ def test_counts_match_the_library(docs, texts, library, monkeypatch):
 
 
 @pytest.mark.parametrize("size", [1, 3, 7, 50])
-def test_chunk_maps_compose_to_the_whole(texts, library, monkeypatch, size):
-    own = token_count.counter(vocab.read_bytes(JSON), P.PATTERN)
-    monkeypatch.setattr(token_count, "CHUNK", size)
-    for text in texts[2:120]:
+def test_pieces_and_chunk_maps_give_the_whole(texts, library, monkeypatch, size):
+    own = token_count.Counter(vocab.read_bytes(JSON), P.PATTERN)
+    for name in ("PIECE", "CHUNK", "LONGEST"):
+        monkeypatch.setattr(token_count, name, size)
+    monkeypatch.setattr(token_count, "MAPS", 3)
+    for text in texts[2:200]:
         assert own.count(text[:400]) == len(library.encode(text[:400], add_special_tokens=False).ids)
 
 
 def test_composition_is_associative():
-    own = token_count.counter(vocab.read_bytes(JSON), P.PATTERN)
-    a, b, c = (own.chunk_map(t) for t in ("it's one. and", "twothree", " four, five. s"))
-    assert own.compose(own.compose(a, b), c) == own.compose(a, own.compose(b, c))
+    own = token_count.CountTransducer(vocab.parse_merges(vocab.read_bytes(JSON))[1])
+    maps, entered = [], {token_count.START}
+    for part in (b"unbeliev", b"ablyonet", b"wothreef", b"ourfives"):
+        maps.append(own.chunk_map(part, entered))
+        entered = {state for state, _ in maps[-1].values()}
+    a, b, c, d = maps
+    compose = token_count.compose
+    assert compose(compose(a, b), compose(c, d)) == compose(a, compose(compose(b, c), d)) == token_count.scan(maps)[-1]
+    assert compose(compose(a, b), c)[token_count.START][1] == own.count("unbelievablyonetwothreef")
+
+
+def test_long_texts_without_blanks(library):
+    rng = random.Random(6)
+    own = token_count.Counter(vocab.read_bytes(JSON), P.PATTERN)
+    han = "".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(60_000))
+    for text in (han, "ab" * 50_000, "，".join(han[i : i + 50] for i in range(0, 20_000, 50)), "x1" * 40_000, "don't" * 20_000, "ab" * 40_000 + "<|endoftext|>" + "zz" * 40_000):
+        assert own.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    assert max(map(len, own)) <= token_count.LONGEST
+
+
+def test_counts_of_other_tokenizers_and_patterns():
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    for own in (token_count.Counter(vocab.read_bytes(path), P.PATTERN), token_count.Counter(vocab.read_bytes(JSON), r"\S+|\s+")):
+        assert own.by_library
+    assert token_count.Counter(vocab.read_bytes(path), P.PATTERN).count("Hello World, it's 3 pm") == len(library.encode("Hello World, it's 3 pm", add_special_tokens=False).ids)
 
 
 def test_store_reads_back_what_the_library_gives(spark, docs, texts, library, tmp_path):
