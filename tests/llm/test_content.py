@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import time
+import zlib
 
 import duckdb
 import numpy as np
@@ -34,13 +36,51 @@ def test_phrases_match_brute_force():
     for _ in range(60):
         sample = {x: "".join(rng.choice("abc \n") for _ in range(rng.randrange(1, 60))).strip() or "a" for x in "xyz"}
         own = langid.Parser(sample)
+        sparse = langid.Parser(sample)
+        sparse.tables = [langid.DoubleArray(langid.suffix_automaton(sample[x], {c: i + 2 for i, c in enumerate(sorted(set("".join(sample.values())) - {"\n"}))}), sparse.width) for x in "xyz"]
         texts = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 2500))) for _ in range(3)]
         got = own.bits(texts) / own.weights
+        assert (own.bits(texts) == sparse.bits(texts)).all()
         for i, text in enumerate(texts):
             for j, lang in enumerate(own.languages):
                 assert round(got[i, j]) == brute_phrases(text, sample[lang])
 
 
+def test_whole_prediction_matches_brute_force(spark):
+    rng = random.Random(12)
+    texts = {"en": "the cat sat on the mat and the dog ran to a house", "de": "der hund und die katze sind im haus auf der matte", "fr": "le chat et le chien dans la maison sur un tapis"}
+    rows = [(i, " ".join(rng.choice(t.split()) for _ in range(rng.randrange(1, 60))) + rng.choice(["", " 12", "!"]), x) for i in range(120) for x, t in [rng.choice(list(texts.items()))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    sample = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    learned = {(x, t) for i, t, x in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    for lang, part in sample.items():
+        assert set(part.strip("\n").split("\n")) <= {langid.letters_of(t) for x, t in learned if x == lang}
+    for doc_id, text, _ in rows:
+        bits = {x: brute_phrases(langid.letters_of(text), s) * math.log2(len(s) + 1) for x, s in sample.items()}
+        least = min(bits.values())
+        assert got[doc_id].held_out == (zlib.crc32(str(doc_id).encode()) % 3 == 1)
+        assert got[doc_id].lang_pred == min(x for x, b in bits.items() if b <= least + 1e-9)
+        assert abs(got[doc_id].score - 1 / sum(math.exp(-langid.SHARP * (b / least - 1)) for b in bits.values())) < 1e-9
+
+
+def test_letters_and_marks():
+    assert [langid.letters_of(t) for t in ("½ ²", "Ⅷ", "①②", "\u0301 1", "x²y", None)] == ["", "", "", "", "x y", ""]
+    assert langid.letters_of("हिन्दी भाषा") == "हिन्दी भाषा" and langid.letters_of("Äö_1b 中文。") == "äö b 中文"
+
+
+def test_large_alphabets_stay_small():
+    rng = random.Random(2)
+    own = langid.Parser({x: "".join(chr(a + rng.randrange(3000)) for _ in range(40_000)) for x, a in (("x", 0x4E00), ("y", 0xAC00))})
+    assert all(isinstance(t, langid.DoubleArray) for t in own.tables)
+    assert sum(v.nbytes for t in own.tables for v in (t.base, t.owner, t.to, t.start)) < 50 << 20
+
+
+def test_a_long_labelled_text_is_cut(spark):
+    docs = spark.createDataFrame([(1, "ab cd " * 100_000, "en"), (2, "ef", "de"), (3, None, "en")], "doc_id long, text string, lang string")
+    assert {x: len(t) for x, t in langid.fit(docs, chars=1000).items()} == {"en": 1000, "de": 3}
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     made = langid.identify(docs.select("doc_id", "text", "lang", F.lit("x").alias("score"))).join(docs.select("doc_id", "lang"), "doc_id")
