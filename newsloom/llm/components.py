@@ -3,7 +3,8 @@
 Each round points every node's larger neighbours, then its smaller ones, at the least node it knows; the
 rounds end when the links no longer change. Minima are taken with partial aggregation; the joins that hand
 them back are on plain exchanges, so that a hub's links can be split over tasks. Each round is a written
-table. Neither links nor labels come to the driver, only a count and a checksum a round.
+table, which is deleted when the next one stands. Neither links nor labels come to the driver, only a count and
+a checksum a round.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import written
+from newsloom.llm.common import discard, written
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
-    """One step over links (a, b) with a > b."""
+    """One step over links (a, b) with a > b, as a written table in place of links."""
     if large:
         seen = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
@@ -25,7 +26,9 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     moved = joined.join(least, "u").select(F.col("v").alias("a"), F.col("low").alias("b"))
     if not large:
         moved = moved.unionByName(least.select(F.col("u").alias("a"), F.col("low").alias("b")))
-    return moved.where("a > b").distinct()
+    made = written(moved.where("a > b").distinct(), "stars")
+    discard(least, links)
+    return made
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -38,7 +41,7 @@ def components(links: DataFrame) -> DataFrame:
     now = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links")
     mark = _mark(now)
     while mark[0]:
-        now = written(_stars(written(_stars(now, large=True), "stars"), large=False), "stars")
+        now = _stars(_stars(now, large=True), large=False)
         before, mark = mark, _mark(now)
         if before == mark:
             break

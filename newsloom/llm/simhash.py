@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import map_rows, written
+from newsloom.llm.common import discard, map_rows, written
 from newsloom.llm.components import components
 
 WORDS, BITS, NEAR, SEED = 4, 64, 4, 42
@@ -196,4 +196,5 @@ def near_duplicates(docs: DataFrame, near: int = NEAR) -> DataFrame:
     rooted = written(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     named = written(rooted.join(least, "root").select("fp", "component_id"), "named")
+    discard(classes, rooted, least)
     return made.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import duckdb
@@ -142,7 +143,7 @@ def kept(index, docs):
 
 def test_lines_match_brute_force_and_are_reversible(spark):
     docs = spark.createDataFrame([(d, t, "k") for d, t in LINES], "doc_id long, text string, key string")
-    index = LineIndex(spark, shards=4).insert(docs)
+    index = LineIndex(spark).insert(docs)
     assert kept(index, docs) == brute_lines(LINES)
     smaller = index.delete(spark.createDataFrame([(3,)], "doc_id long"))
     rest = [r for r in LINES if r[0] != 3]
@@ -150,6 +151,50 @@ def test_lines_match_brute_force_and_are_reversible(spark):
     again = smaller.insert(docs.where("doc_id = 3"))
     assert kept(again, docs) == brute_lines(LINES)
     assert kept(index, docs) == brute_lines(LINES)  # the first version is still there
+    assert kept(again.compact(), docs) == brute_lines(LINES)
+    assert kept(LineIndex(spark, again.folder, again.version), docs) == brute_lines(LINES)
+
+
+def test_documents_that_come_again_are_replaced(spark):
+    line = "a line that is long enough to count"
+    one = spark.createDataFrame([(1, line)], "doc_id long, text string")
+    index = LineIndex(spark).insert(one).insert(one).insert(one)
+    assert index.repeated.count() == 0 and index.refs.count() == 1
+    others = spark.createDataFrame([(2, line), (3, line)], "doc_id long, text string")
+    index = index.insert(others)
+    assert [(r.n_docs, r.keeper) for r in index.repeated.collect()] == [(3, 3)]
+    index = index.insert(spark.createDataFrame([(3, "another text")], "doc_id long, text string"))
+    assert index.repeated.count() == 0
+
+
+def test_a_lost_filter_is_an_error(spark, tmp_path):
+    docs = spark.createDataFrame([(d, t) for d, t in LINES], "doc_id long, text string")
+    index = LineIndex(spark, f"file://{tmp_path}/index").insert(docs)
+    assert index.apply(docs).count() == len(LINES)
+    for path in (tmp_path / "index/v1/filters").glob("*.cuckoo"):
+        path.unlink()
+    with pytest.raises(Exception):  # noqa: B017
+        index.apply(docs).collect()
+
+
+def test_clashing_names_pass_through(spark):
+    names = ["_kept", "_lines", "_dropped", "_drop_id", "_drop_keys", "dropped", "row"]
+    line = "a line that is long enough to count"
+    docs = spark.createDataFrame([(i, line, *names) for i in range(4)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    made = LineIndex(spark).insert(docs).apply(docs)
+    assert made.columns == [*docs.columns, "_lines_", "_dropped_"]
+    for row in made.collect():
+        assert [row[n] for n in names] == names and row["_lines_"] == 1 and row["_dropped_"] == (row.doc_id < 3)
+    passed = corpus_pipeline.lines(spark, docs, "")
+    assert passed.columns == docs.columns and sorted(r.text for r in passed.collect()) == ["", "", "", line]
+
+
+def test_many_lines_and_keys_in_one_document(spark):
+    many = "\n".join(f"line number {i} is long enough to count" for i in range(20_000))
+    docs = spark.createDataFrame([(i, many) for i in range(3)] + [(9, "short")], "doc_id long, text string")
+    began = time.monotonic()
+    assert {r.doc_id: r._dropped for r in LineIndex(spark).insert(docs).apply(docs).collect()} == {0: 20_000, 1: 20_000, 2: 0, 9: 0}
+    assert time.monotonic() - began < 100
 
 
 def test_line_sql_agrees(spark):
