@@ -149,3 +149,15 @@ def nested(enriched: DataFrame) -> DataFrame:
     source = F.struct(F.col("source_id").alias("id"), F.col("source_name").alias("name"), F.col("source_category").alias("category"), F.col("source_label").alias("allsides_label"), F.col("source_score").alias("allsides_score"))
     parsed = F.from_json("emotion_breakdown", "map<string,double>")
     return enriched.withColumn("source", source).withColumn("emotion_breakdown", parsed).drop("source_name", "source_category", "source_label", "source_score")
+
+
+#: What a page shows of an article that no model has scored.
+UNSCORED_CONFIDENCE = 0.3
+
+
+def shown_scores(articles: DataFrame) -> DataFrame:
+    """articles with the scores a page shows: bias falls back to the source's, confidence to a fixed one, tone to none."""
+    return articles.withColumns({
+        "shown_score": F.coalesce("bias_score", "source_score"), "shown_confidence": F.coalesce("confidence", F.lit(UNSCORED_CONFIDENCE)),
+        "shown_sentiment": F.coalesce("sentiment_score", F.lit(0.0)), "shown_intensity": F.coalesce("intensity_score", F.lit(0.0)),
+    })

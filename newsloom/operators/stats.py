@@ -22,6 +22,11 @@ def latest_version(versions: DataFrame) -> DataFrame:
     return versions.orderBy(F.col("version").desc()).limit(1)
 
 
+def has_version(versions: DataFrame) -> DataFrame:
+    """has_version: whether there is one."""
+    return versions.limit(1).agg((F.count("*") > 0).alias("has_version"))
+
+
 def overrides(feedback: DataFrame) -> DataFrame:
     """article_key, user_score: of the last feedback by id."""
     return feedback.groupBy("article_key").agg(F.max_by("user_score", "id").alias("user_score"))

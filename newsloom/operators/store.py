@@ -11,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def lookup(table: DataFrame, key: str, value: str) -> DataFrame:
+    """The rows of one key; the test reaches the scan."""
+    return table.where(F.col(key) == value)
+
+
 def insert_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old, and of new the rows (the first by order of columns on ties) whose key it lacks: first write wins."""
     fresh = new.join(old.select(key), key, "left_anti").select(new.columns)

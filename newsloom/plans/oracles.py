@@ -65,6 +65,11 @@ oracle("j1_enrich", V.SOURCES, V.ARTICLES, query="""SELECT a.id, coalesce(s.name
         coalesce(s.allsides_label, 'center') AS source_label, coalesce(s.allsides_score, 0.0) AS source_score,
         coalesce(a.bias_score, s.allsides_score, 0.0) AS shown_score, coalesce(a.confidence, 0.3) AS shown_confidence
     FROM articles a LEFT JOIN sources s ON a.source_id = s.id AND s.active""")
+oracle("f20_shown_scores", V.SOURCES, V.ARTICLES, query="""SELECT a.id, round(coalesce(a.bias_score, s.allsides_score, 0.0), 6) AS shown_score, round(coalesce(a.confidence, 0.3), 6) AS shown_confidence,
+        round(coalesce(a.sentiment_score, 0.0), 6) AS shown_sentiment, round(coalesce(a.intensity_score, 0.0), 6) AS shown_intensity
+    FROM articles a LEFT JOIN sources s ON a.source_id = s.id""")
+oracle("s11_lookup", V.ARTICLES, query="SELECT id, source_id, title FROM articles WHERE doc_id = 7")
+oracle("a5_has_version", query="SELECT true AS has_version")
 oracle("j2_source_stats", V.SOURCES, query="""SELECT s.id, s.name, f.article_count, f.error_count FROM sources s LEFT JOIN (
         SELECT source, count(*) AS article_count, count(*) FILTER (doc_id % 5 = 0) AS error_count FROM documents WHERE source <> 'src3' GROUP BY 1) f ON f.source = s.id""")
 MEMBERS = "SELECT group_id, len(article_ids) AS group_size, unnest(article_ids) AS id, unnest(range(len(article_ids))) AS pos FROM story_groups"

@@ -124,7 +124,25 @@ def f18_excerpt(spark, sf):
 @query
 def j1_enrich(spark, sf):
     known = S.sources(spark, sf).where("active")
-    return feed.enrich(S.articles(spark, sf), known).select("id", "source_name", "source_category", "source_label", "source_score", F.coalesce("bias_score", "source_score").alias("shown_score"), F.coalesce("confidence", F.lit(0.3)).alias("shown_confidence"))
+    rows = feed.shown_scores(feed.enrich(S.articles(spark, sf), known))
+    return rows.select("id", "source_name", "source_category", "source_label", "source_score", "shown_score", "shown_confidence")
+
+
+@query
+def f20_shown_scores(spark, sf):
+    rows = feed.shown_scores(feed.enrich(S.articles(spark, sf), S.sources(spark, sf)))
+    return rows.select("id", *[six(F.col(c)).alias(c) for c in ("shown_score", "shown_confidence", "shown_sentiment", "shown_intensity")])
+
+
+@query
+def s11_lookup(spark, sf):
+    one = read_table(spark, sf, "documents").where("doc_id = 7").select(F.substring(F.sha2(F.concat_ws(":", "source", F.col("doc_id").cast("string")), 256), 1, 16).alias("id")).first()
+    return store.lookup(S.articles(spark, sf), "id", one["id"] if one else "").select("id", "source_id", "title")
+
+
+@query
+def a5_has_version(spark, sf):
+    return stats.has_version(_versions(spark))
 
 
 @query
@@ -441,13 +459,12 @@ def d25_reading_time(spark, sf):
 
 @query
 def d21_summary(spark, sf):
-    rows = S.articles(spark, sf)
-    return rows.select("doc_id", summarize.summary_column(F.col("title"), F.col("body")).alias("summary"))
+    return summarize.summaries(S.articles(spark, sf), "doc_id", "title", "body").select("doc_id", "summary")
 
 
 @query
 def d24_pull_quote(spark, sf):
-    return S.articles(spark, sf).select("doc_id", summarize.pull_quote_column(F.col("title"), F.col("body")).alias("quote"))
+    return S.articles(spark, sf).select("doc_id", summarize.pull_quote(F.col("title"), F.col("body")).alias("quote"))
 
 
 @query

@@ -15,7 +15,7 @@ from newsloom.functions import features as X
 from newsloom.functions import text as T
 from newsloom.functions import weather as W
 from newsloom.operators import cluster, feed, markets, models, signals, stats, store, stories
-from newsloom.operators.summarize import pull_quote, summarize
+from newsloom.operators.summarize import pull_quote, summaries
 from newsloom.operators import tfidf
 from newsloom.plans import queries
 from newsloom.sources import fixtures as S
@@ -72,7 +72,7 @@ def test_blindspot_needs_four_outlets_and_a_share(spark):
 
 def test_union_is_greedy_ordered_and_capped():
     links = pd.DataFrame({"a": [0, 1, 2, 3], "b": [1, 2, 3, 4]})
-    got = cluster.capped_union(links, 3)
+    got = cluster.capped_groups(links, 3)
     groups = got.groupby("root")["rank"].apply(lambda r: sorted(r)).tolist()
     assert sorted(groups) == [[0, 1, 2], [3, 4]]
 
@@ -153,17 +153,78 @@ def test_html_strip_and_low_signal(spark):
     assert one(spark, T.low_signal(F.lit("The NFL season"))) and one(spark, T.low_signal(F.lit(None).cast("string")))
 
 
-@pytest.mark.parametrize("budget", [60])
-def test_summary_properties(budget):
-    body = " ".join(f"Sentence number {i} speaks of trade, ports and tariff rule {i % 7} today." for i in range(40))
-    out = summarize("Trade and tariff", body, budget)
-    assert 45 <= len(out.rstrip("…").split()) <= 62
-    assert summarize("t", "Short body.") == "Short body." and summarize("Only a title", None) == "Only a title"
+BREAK = re.compile(r"(?<=[.!?])\s+(?=[A-Z\"'])")
+
+
+def brute_summary(title, body, budget):
+    """The rule word by word: rank by centrality, take until full, put in order, cut."""
+    count = lambda t: len(re.findall(r"\b\w+\b", t))
+    cut = lambda t: t if len(t.split()) <= budget else " ".join(t.split()[:budget]).rstrip(",;:") + "…"
+    title, body = " ".join((title or "").split()), " ".join((body or "").split())
+    if not body:
+        return cut(title)
+    if count(body) <= budget:
+        return body
+    parts = [p for p in BREAK.split(body) if count(p) >= 4]
+    stop = set(tfidf.stop_words())
+    bags = [Counter(w for w in re.findall(r"\b\w\w+\b", p.lower()) if w not in stop) for p in [*parts, title]]
+    df = Counter(w for bag in bags[:-1] for w in bag)
+    if len(parts) < 3 or count(body) < 40 or not df:
+        return cut(body)
+    raw = [{w: n * (math.log((1 + len(parts)) / (1 + df[w])) + 1) for w, n in bag.items() if w in df} for bag in bags]
+    unit = [{w: x / math.sqrt(sum(y * y for y in r.values())) for w, x in r.items()} for r in raw]
+    dot = lambda x, y: sum(v * y.get(w, 0) for w, v in x.items())
+    scores = [round(sum(dot(x, y) for j, y in enumerate(unit[:-1]) if j != i) + 0.5 * dot(x, unit[-1]), 9) for i, x in enumerate(unit[:-1])]
+    taken, words = [], 0
+    for i in sorted(range(len(parts)), key=lambda i: (-scores[i], i)):
+        if words >= budget or words >= max(int(0.75 * budget), 30) and words + count(parts[i]) > 1.4 * budget:
+            break
+        taken.append(i)
+        words += count(parts[i])
+    out = " ".join(parts[i] for i in sorted(taken))
+    return cut(out) if count(out) > budget else out
+
+
+@pytest.mark.parametrize("budget", [20, 39, 60, 100])
+def test_summaries_match_brute_force(spark, budget):
+    rows = [(r.doc_id, r.title, r.body) for r in S.articles(spark, SF).select("doc_id", "title", "body").collect()]
+    rows += [(90_001, "Only a title", None), (90_002, None, "Short body."), (90_003, "t", "the and of to. " * 30), (90_004, "T", "The and of it is. " * 30), (90_005, None, None)]
+    rows += [(90_010, "Trade and tariff", " ".join(f"Sentence number {i} speaks of trade, ports and tariff rule {i % 7} today." for i in range(40)))]
+    made = summaries(spark.createDataFrame(rows, "doc_id long, title string, body string"), "doc_id", "title", "body", budget)
+    got = {r.doc_id: r.summary for r in made.collect()}
+    assert len(got) == len(rows)
+    wrong = [d for d, t, b in rows if got[d] != brute_summary(t, b, budget)]
+    assert wrong == []
+
+
+def brute_quote(title, body):
+    paragraphs = [" ".join(p.split()) for p in (body or "").split("\n") if p.strip()]
+    if len(paragraphs) < 6:
+        return None
+    head, opening = " ".join((title or "").split()).lower(), " ".join(paragraphs[:2]).lower()
+    parts = [" ".join(s.split()) for s in BREAK.split(" ".join(paragraphs))]
+    able = [s for s in parts if len(s) >= 30 and not (head and s.lower().startswith(head)) and s.lower()[:40] not in opening]
+    return min(able, key=lambda s: abs(len(s) - 120), default=None)
+
+
+def test_pull_quotes_match_brute_force(spark):
+    body = "\n".join(f"Paragraph {i} holds one long sentence about the harbour and its ships number {i}." for i in range(6))
+    rows = [(r.title, r.body) for r in S.articles(spark, SF).select("title", "body").collect()] + [("Title", body), ("Paragraph 3 holds", body), (None, body), ("Title", "one\ntwo"), ("t", None)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, title string, body string")
+    got = {r.i: r.q for r in frame.select("i", pull_quote(F.col("title"), F.col("body")).alias("q")).collect()}
+    assert [got[i] for i in range(len(rows))] == [brute_quote(*r) for r in rows]
 
 
-def test_pull_quote_needs_six_paragraphs():
-    body = "\n".join(f"Paragraph {i} holds one long sentence about the harbour and its ships number {i}." for i in range(6))
-    assert pull_quote("Title", body).startswith("Paragraph") and pull_quote("Title", "one\ntwo") is None
+def test_raw_text_and_references_in_stripping(spark):
+    pages = ["<p>a</p><script>var t='</p>&amp;';</script>&lt;b&gt;<!-- <p>no</p> -->x<br/>y", "a < b and 1<2", "<P CLASS='x>y'>q"]
+    frame = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i long, h string")
+    got = [r.t for r in frame.select("i", T.strip_html("h").alias("t")).orderBy("i").collect()]
+    assert got[0] == "a var t='</p>&amp;'; <b> x y" and got[1] == "a < b and 1<2"
+
+
+def test_components_of_links_are_folded_apart(spark):
+    links = spark.createDataFrame([(0, 4), (4, 7), (2, 7), (10, 11), (11, 12)], "a long, b long")
+    assert {r["rank"]: r.component for r in cluster.component_of(links).collect()} == {0: 0, 4: 0, 7: 0, 2: 0, 10: 10, 11: 10, 12: 10}
 
 
 def test_payloads(spark, tmp_path):
