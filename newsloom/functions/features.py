@@ -83,6 +83,12 @@ def override_intensity_class(score: Column) -> Column:
     return F.when(score < 0.33, 0).when(score > 0.66, 2).otherwise(1)
 
 
+def sentiment_classes(rows, t33: float, t66: float):
+    """rows (polarity, raw, tone_vote, heat_vote) with p_class and i_class; a vote decides where there is one."""
+    heat = F.when(F.col("heat_vote").isNotNull(), override_intensity_class(F.col("heat_vote"))).otherwise(intensity_class(F.col("raw"), t33, t66))
+    return rows.withColumns({"p_class": polarity_class(F.coalesce("tone_vote", "polarity")), "i_class": heat})
+
+
 def bias_class(score: Column) -> Column:
     return F.when(score < -4, 0).when(score < -2, 1).when(score < 2, 2).when(score < 4, 3).otherwise(4)
 

@@ -9,7 +9,7 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BIAS_VALUES, POLARITY_VALUES, INTENSITY_VALUES = [-5.0, -2.5, 0.0, 2.5, 5.0], [-1.0, 0.0, 1.0], [0.0, 0.5, 1.0]
@@ -97,16 +97,24 @@ def predict(trained: Trained, rows: DataFrame, fallback: Column) -> DataFrame:
     return scored.withColumn("score", F.round(expected(F.col("probability"), trained.values), 2)).withColumn("confidence", F.round(F.array_max(vector_to_array("probability")), 3)).drop("rawPrediction", "probability", "prediction")
 
 
-def save(trained: Trained, path: str, version: int) -> str:
-    """Writes the model of a version; the latest version is the largest number, not the last name."""
+ABOUT = "values array<double>, accuracy double, mae double, fitted boolean"
+
+
+def save(spark: SparkSession, trained: Trained, path: str, version: int) -> str:
+    """Writes the model of a version and, beside it, its classes' values and quality; the latest version is the largest number, not the last name."""
     place = f"{path}/version={version:08d}"
     if trained.model is not None:
-        trained.model.write().overwrite().save(place)
+        trained.model.write().overwrite().save(f"{place}/model")
+    about = [(trained.values, trained.accuracy, trained.mae, trained.model is not None)]
+    spark.createDataFrame(about, ABOUT).coalesce(1).write.mode("overwrite").parquet(f"{place}/about")
     return place
 
 
-def load(path: str, version: int) -> LogisticRegressionModel:
-    return LogisticRegressionModel.load(f"{path}/version={version:08d}")
+def load(spark: SparkSession, path: str, version: int) -> Trained:
+    place = f"{path}/version={version:08d}"
+    about = spark.read.schema(ABOUT).parquet(f"{place}/about").first()
+    model = LogisticRegressionModel.load(f"{place}/model") if about["fitted"] else None
+    return Trained(model, list(about["values"]), about["accuracy"], about["mae"])
 
 
 def intensity_thresholds(raw: DataFrame, column: str) -> tuple[float, float]:

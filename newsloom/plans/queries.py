@@ -491,11 +491,16 @@ def _text_weights(docs: DataFrame, key: str, text: str, most_terms: int) -> Data
     return tfidf.weights(counts, tfidf.vocabulary(counts, 2, most_terms), key, docs.count(), sublinear=True)
 
 
+def _votes(spark, sf, dimension: str, name: str) -> DataFrame:
+    """doc_id and, as `name`, the score of its last feedback of a dimension."""
+    own = stats.overrides(S.feedback(spark, sf).where(F.col("dimension") == dimension))
+    return own.withColumnRenamed("article_key", "doc_id").withColumnRenamed("user_score", name)
+
+
 def _bias_rows(spark, sf) -> DataFrame:
     rows = feed.enrich(_features(spark, sf), S.sources(spark, sf))
-    votes = stats.overrides(S.feedback(spark, sf).where("dimension = 'bias'")).withColumnRenamed("article_key", "doc_id").withColumnRenamed("user_score", "vote")
     vector = X.bias_vector(F.col("full_text"), F.col("tokens"), F.col("source_score"), LEXICON["negative"])
-    made = rows.join(votes, "doc_id", "left").select("id", "source_score", X.bias_class(F.coalesce("vote", "source_score")).alias("label"), *[c.alias(n) for n, c in vector.items()])
+    made = rows.join(_votes(spark, sf, "bias", "vote"), "doc_id", "left").select("id", "source_score", X.bias_class(F.coalesce("vote", "source_score")).alias("label"), *[c.alias(n) for n, c in vector.items()])
     return models.assemble_text(made, list(vector), _text_weights(_features(spark, sf).select("id", "full_text"), "id", "full_text", 5000), "id")
 
 
@@ -506,12 +511,11 @@ def d13_bias_scores(spark, sf):
 
 
 def _sentiment_rows(spark, sf) -> DataFrame:
-    rows = _features(spark, sf)
+    """Features and classes; feedback of a dimension overrides the class that the lexicon gives."""
+    rows = _features(spark, sf).join(_votes(spark, sf, "sentiment", "tone_vote"), "doc_id", "left").join(_votes(spark, sf, "intensity", "heat_vote"), "doc_id", "left")
     vector = X.sentiment_vector(F.col("full_text"), F.col("tokens"), LEXICON)
-    made = rows.select("id", X.bootstrap_polarity(F.col("tokens"), LEXICON).alias("polarity"), X.bootstrap_intensity(F.col("full_text"), F.col("tokens"), LEXICON).alias("raw"), *[c.alias(n) for n, c in vector.items()])
-    t33, t66 = models.intensity_thresholds(made, "raw")
-    classed = made.withColumn("p_class", X.polarity_class(F.col("polarity"))).withColumn("i_class", X.intensity_class(F.col("raw"), t33, t66))
-    return models.assemble(classed, list(vector))
+    made = rows.select("id", "tone_vote", "heat_vote", X.bootstrap_polarity(F.col("tokens"), LEXICON).alias("polarity"), X.bootstrap_intensity(F.col("full_text"), F.col("tokens"), LEXICON).alias("raw"), *[c.alias(n) for n, c in vector.items()])
+    return models.assemble(X.sentiment_classes(made, *models.intensity_thresholds(made, "raw")), list(vector))
 
 
 @query

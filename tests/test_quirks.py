@@ -222,6 +222,23 @@ def test_raw_text_and_references_in_stripping(spark):
     assert got[0] == "a var t='</p>&amp;'; <b> x y" and got[1] == "a < b and 1<2"
 
 
+def test_votes_override_the_sentiment_classes(spark):
+    rows = spark.createDataFrame([(0.9, 0.0, None, None), (0.9, 0.0, -0.9, 0.9), (0.0, 0.9, None, 0.5), (-0.9, 0.5, 0.0, 0.1)], "polarity double, raw double, tone_vote double, heat_vote double")
+    got = [(r.p_class, r.i_class) for r in X.sentiment_classes(rows, 0.3, 0.6).collect()]
+    assert got == [(2, 0), (0, 2), (1, 1), (1, 0)]
+
+
+def test_models_come_back_with_their_classes(spark, tmp_path):
+    rows = models.assemble(spark.createDataFrame([(str(i), i % 2, float(i % 2) + i / 100) for i in range(40)], "id string, label int, x double"), ["x"])
+    one = models.train(rows.withColumn("label", F.lit(1)), models.POLARITY_VALUES)
+    for version, made in enumerate((models.train(rows, models.POLARITY_VALUES), one)):
+        models.save(spark, made, f"file://{tmp_path}/m", version)
+        back = models.load(spark, f"file://{tmp_path}/m", version)
+        assert (back.values, back.accuracy, back.mae, back.model is None) == (made.values, made.accuracy, made.mae, made.model is None)
+        same = [models.predict(m, rows, F.lit(0.0)).select("id", "score").orderBy("id").collect() for m in (made, back)]
+        assert same[0] == same[1]
+
+
 def test_components_of_links_are_folded_apart(spark):
     links = spark.createDataFrame([(0, 4), (4, 7), (2, 7), (10, 11), (11, 12)], "a long, b long")
     assert {r["rank"]: r.component for r in cluster.component_of(links).collect()} == {0: 0, 4: 0, 7: 0, 2: 0, 10: 10, 11: 10, 12: 10}
