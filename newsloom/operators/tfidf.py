@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN = r"(?U)\b\w\w+\b"
+#: Cells of dense vectors and vectors of a block.
+CELLS, BLOCK = 64, 2048
 
 
 def stop_words() -> list[str]:
@@ -54,10 +58,67 @@ def cosine_pairs(weighted: DataFrame, key: str, least: float) -> DataFrame:
     return met.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") > least)
 
 
-def dense_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """a, b, cosine of dense vectors (vec_id, embedding), by a join over their coordinates, which all vectors share."""
-    long = vectors.select("vec_id", F.posexplode("embedding").alias("term", "w")).withColumn("w", F.col("w").cast("double"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("vec_id")))
-    unit = long.withColumn("w", F.col("w") / length)
-    a, b = (unit.select(F.col("vec_id").alias(side), "term", F.col("w").alias(f"w{side}")) for side in ("a", "b"))
-    return a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") > least)
+def dense_pairs(vectors: DataFrame, least: float, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
+    """a, b (a < b), cosine above `least` of dense vectors (vec_id, embedding); null, empty and zero
+    vectors have none, and all have one length.
+
+    Vectors are dealt to the cell of their nearest pivot, cells to blocks of about `block` vectors. Two blocks are one
+    unit of work, compared as matrices, unless the pivots' angle and the cells' radii rule out that any two of their
+    vectors are near: angles obey the triangle inequality, so no pair is lost. Only pivots and a figure a cell come
+    to the driver; a task holds two blocks, and emits near pairs only."""
+    spark = vectors.sparkSession
+    held = vectors.where("vec_id is not null and size(embedding) > 0").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    unit = held.withColumn("n", length).where("n > 0").select("vec_id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
+    pivots = np.array([r["v"] for r in unit.orderBy(F.xxhash64("vec_id"), "vec_id").limit(cells).collect()])  # `cells` rows at most
+    if not len(pivots):
+        return spark.createDataFrame([], "a long, b long, cosine double")
+
+    def matrix(column) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), pivots.shape[1])
+
+    def deal(batches):
+        for batch in batches:
+            cosines = matrix(batch.column(1)) @ pivots.T
+            cell = cosines.argmax(axis=1).astype(np.int32)
+            angle = np.arccos(np.clip(cosines[np.arange(len(cell)), cell], -1, 1))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(cell), pa.array(angle)], names=["vec_id", "v", "cell", "angle"])
+
+    dealt = unit.mapInArrow(deal, "vec_id long, v array<double>, cell int, angle double")
+    figures = {r["cell"]: (r["n"], r["radius"]) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}  # a row a cell
+    apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    reach, blocks = float(np.arccos(least)), {c: -(-n // block) for c, (n, _) in figures.items()}
+    met = {(i, j) for i in figures for j in figures if i <= j and apart[i, j] <= figures[i][1] + figures[j][1] + reach + 1e-6}
+    partners = spark.createDataFrame([(i, blocks[i], j, blocks[j]) for i, j in sorted(met | {(j, i) for i, j in met})], "cell int, own_blocks int, other int, other_blocks int")
+    own = F.struct("cell", F.pmod(F.xxhash64("vec_id"), "own_blocks").cast("int").alias("block")).alias("own")
+    there = dealt.join(F.broadcast(partners), "cell").select("vec_id", "v", own, "other", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("block"))
+    there = there.withColumn("there", F.struct(F.col("other").alias("cell"), "block"))
+    units = there.select(F.least("own", "there").alias("low"), F.greatest("own", "there").alias("high"), F.when(F.col("own") == F.col("there"), 2).when(F.col("own") < F.col("there"), 0).otherwise(1).alias("side"), "vec_id", "v")
+    units = units.select(F.xxhash64("low", "high").alias("unit"), F.col("low.cell").alias("i"), F.col("low.block").alias("s"), F.col("high.cell").alias("j"), F.col("high.block").alias("t"), "side", "vec_id", "v")
+
+    def pairs(ids: np.ndarray, sides: np.ndarray, v: np.ndarray):
+        left, right = (np.flatnonzero(sides != 1), np.flatnonzero(sides != 0))
+        cosine = v[left] @ v[right].T
+        x, y = np.nonzero(cosine > least)
+        a, b, c = ids[left[x]], ids[right[y]], cosine[x, y]
+        keep = a < b if (sides == 2).all() else a != b
+        a, b, c = a[keep], b[keep], c[keep]
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(c)], names=["a", "b", "cosine"])
+
+    def compare(batches):
+        key, parts = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)], axis=1)
+            ids, sides, v = batch.column(6).to_numpy(zero_copy_only=False), batch.column(5).to_numpy(zero_copy_only=False), matrix(batch.column(7))
+            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else np.array([], np.int64)
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+                now = tuple(keys[start].tolist())
+                if key is not None and now != key:
+                    yield pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                    parts = []
+                key = now
+                parts.append((ids[start:end], sides[start:end], v[start:end]))
+        if parts:
+            yield pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    return units.repartition("unit").sortWithinPartitions("unit", "i", "s", "j", "t").mapInArrow(compare, "a long, b long, cosine double")

@@ -36,6 +36,8 @@ WORDS = "'[\\p{L}\\p{N}_]+'"
 PARTS = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> '')"
 
 oracle("s8_active_sources", V.SOURCES, query="SELECT id, name, category, allsides_label, allsides_score FROM sources WHERE active")
+oracle("s1_feed_xml", V.ARTICLES, query=f"""SELECT substr(sha256(source_id || ':' || url), 1, 16) AS id, source_id, 'Report ' || doc_id || ' & more' AS title, url, strftime(published, {TS}) AS published
+    FROM (SELECT *, row_number() OVER (PARTITION BY source_id, doc_id // 96 ORDER BY doc_id) AS pos FROM articles WHERE source_id IS NOT NULL) WHERE pos <= 30""")
 oracle("a21_sources_by_category", V.SOURCES, query="SELECT category, string_agg(name, '|' ORDER BY name) AS names FROM sources GROUP BY category")
 oracle("f1_feed_filter", V.ARTICLES, query=f"""SELECT id, source_id, title, strftime(published, {TS}) AS published, bias_score FROM articles
     WHERE source_id IN {FINANCE} AND (bias_score IS NULL OR bias_score BETWEEN -2 AND 3) AND published >= TIMESTAMP '2024-01-29 00:00:00'""")

@@ -12,11 +12,12 @@ from newsloom.functions import features as X
 from newsloom.functions import labels as L
 from newsloom.functions import text as T
 from newsloom.functions import weather as W
-from newsloom.operators import cluster, feed, markets, models, signals, stats, store, stories, summarize, tfidf
+from newsloom.operators import cluster, feed, markets, models, retrain, signals, stats, store, stories, summarize, tfidf
 from newsloom.operators import weather as hourly
 from newsloom.session import read_table
 from newsloom.sources import fixtures as S
-from newsloom.sources import payloads
+from newsloom.sources import feed_xml, payloads
+from newsloom.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LEXICON = C.SMALL_LEXICON
@@ -44,6 +45,12 @@ def s8_active_sources(spark, sf):
     return S.sources(spark, sf).where("active").select("id", "name", "category", "allsides_label", "allsides_score")
 
 
+@query
+def s1_feed_xml(spark, sf):
+    """Feeds as XML, parsed: 30 entries of each at most, as a poll takes them."""
+    return ingest.feed_articles(feed_xml.feed_rows(S.feed_documents(spark, sf))).select("id", "source_id", "title", "url", stamp("published").alias("published"))
+
+
 @query
 def a21_sources_by_category(spark, sf):
     return S.sources(spark, sf).groupBy("category").agg(F.array_join(F.sort_array(F.collect_list("name")), "|").alias("names"))
@@ -533,6 +540,16 @@ def a23_metrics(spark, sf):
     return spark.createDataFrame([("bias", got.accuracy, got.mae)], "model string, accuracy double, mae double")
 
 
+@query
+def d15_retrain(spark, sf):
+    """Articles after both retraining jobs, whose feedback is enough since the versions at hand."""
+    articles = S.articles(spark, sf).select("id", "title", "bias_score", "confidence", "sentiment_score", "intensity_score")
+    given, none = S.feedback(spark, sf), spark.createDataFrame([], retrain.BIAS_VERSION)
+    first = retrain.bias(articles, _bias_rows(spark, sf), given, none, S.NOW)
+    both = retrain.tone(first.articles, _sentiment_rows(spark, sf), given, spark.createDataFrame([], retrain.TONE_VERSION), S.NOW, X.fallback_intensity(F.col("raw")))
+    return both.articles.select("id", *retrain.BIAS_COLUMNS, *retrain.TONE_COLUMNS)
+
+
 # Tables after a change
 
 

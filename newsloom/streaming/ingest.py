@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from newsloom.functions.text import low_signal, stable_id, strip_html
 from newsloom.operators import signals
 from newsloom.operators.store import VersionedTable, insert_absent, upsert_latest
+from newsloom.sources import feed_xml
 
 LINK = "struct<href:string,url:string,type:string>"
 FEED = f"""source_id string, entries array<struct<link:string,title:string,content:array<struct<value:string>>,summary:string,
@@ -43,9 +44,12 @@ def _start(source: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int]
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def ingest_feeds(spark: SparkSession, landing: str, table: VersionedTable, checkpoint: str, every: str | None = None, files_a_batch: int = 100) -> StreamingQuery:
-    """Feed files from `landing` into `table`; the first write of an id wins. every: as '15 minutes'; None: what is there now."""
-    feeds = spark.readStream.schema(FEED).option("maxFilesPerTrigger", files_a_batch).json(landing)
+def ingest_feeds(spark: SparkSession, landing: str, table: VersionedTable, checkpoint: str, every: str | None = None, files_a_batch: int = 100, kind: str = "json") -> StreamingQuery:
+    """Feed files from `landing` into `table`; the first write of an id wins. every: as '15 minutes'; None: what is there now.
+
+    kind: json rows as FEED has them, or xml for RSS and Atom documents as feed_xml.documents finds them."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_a_batch)
+    feeds = feed_xml.feed_rows(feed_xml.documents(reader, landing)) if kind == "xml" else reader.schema(FEED).json(landing)
     return _start(feeds, checkpoint, lambda batch, number: table.change(lambda old: insert_absent(old, feed_articles(batch), "id")), every)
 
 

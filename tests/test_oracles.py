@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 NAMES = [n for n in entry.oracle_sql() if n.startswith("q_")]
-SLOW = {"q_d13_bias_scores", "q_d14_sentiment_scores", "q_a23_metrics"}
+SLOW = {"q_d13_bias_scores", "q_d14_sentiment_scores", "q_a23_metrics", "q_d15_retrain"}
 
 
 @pytest.fixture(scope="module")

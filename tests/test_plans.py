@@ -11,8 +11,8 @@ import pytest
 from newsloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-PYTHON = {"q_d1_html_strip", "q_s3_main_text", "q_d21_summary", "q_d24_pull_quote", "q_d16_story_groups"}
-TRAINED = {"q_d13_bias_scores", "q_d14_sentiment_scores", "q_a23_metrics"}
+PYTHON = {"q_d1_html_strip", "q_s3_main_text", "q_d21_summary", "q_d24_pull_quote", "q_d16_story_groups", "q_j10_dense_pairs", "q_s1_feed_xml"}
+TRAINED = {"q_d13_bias_scores", "q_d14_sentiment_scores", "q_a23_metrics", "q_d15_retrain"}
 
 
 def plan(frame) -> str:
