@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import constants as C
 
+#: Fixed value: hPa at sea level.
+STANDARD_PRESSURE = 1013.25
+
 
 def ladder(value: Column, steps: list[tuple[float, str]], above: str, inclusive: bool = False, missing: str | None = None) -> Column:
     """The label of the first step that value is under (or at, if inclusive); `above` past the last."""

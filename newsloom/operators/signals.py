@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import constants as C
@@ -39,6 +39,12 @@ def yes_price(outcomes: Column, prices: Column) -> Column:
     return F.when((F.size(o) == 2) & (F.size(p) == 2) & (place > 0), F.get(p, (place - 1).cast("int")).try_cast("double"))
 
 
+def most_traded(raw: DataFrame, poll: str, most: int = 200) -> DataFrame:
+    """Payload rows as the market source gives them: of each poll the `most` with the largest volume, by condition_id on ties."""
+    rank = F.row_number().over(Window.partitionBy(poll).orderBy(F.col("volume_24hr").desc_nulls_last(), "condition_id"))
+    return raw.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
 def normalize(raw: DataFrame) -> DataFrame:
     """Markets worth keeping, from payload rows (condition_id, market_id, question, outcomes, outcome_prices, ...)."""
     question = F.trim(F.coalesce("question", F.lit("")))

@@ -41,6 +41,4 @@ def summary(feedback: DataFrame, versions: DataFrame) -> DataFrame:
 
 def should_retrain(pending: int, has_version: bool, articles: int, training: bool = False, after: int = RETRAIN_AFTER, bootstrap: int = 10) -> bool:
     """Whether to train now: not while training; on enough feedback, or for a first version on enough articles."""
-    if training:
-        return False
-    return pending >= after if has_version else articles >= bootstrap
+    return not training and (pending >= after or not has_version and articles >= bootstrap)

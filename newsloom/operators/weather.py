@@ -101,6 +101,23 @@ def day_strips(days: DataFrame) -> DataFrame:
     return days.select("day", F.date_format("day", "E").alias("weekday"), "gust", "uv", W.uv_band(F.col("uv")).alias("uv_band"), "sun_hours", (F.ceil(F.col("gust") / 5) * 5).alias("gust_axis"))
 
 
+def value_axes(hours: DataFrame) -> DataFrame:
+    """day, dew_low, dew_range, pressure_low, pressure_range: the extents of the day's charts, null where fewer than two
+    values are finite. Dew points (°F) go by fives within 20 to 85; the pressure's axis holds the standard pressure."""
+    finite = lambda c: F.when(F.abs(c) < float("inf"), F.col(c))
+    by = with_day(hours).groupBy("day").agg(*[f(finite(c)).alias(f"{c}_{n}") for c in ("dew_point", "pressure") for n, f in (("n", F.count), ("min", F.min), ("max", F.max))])
+    dew_low = F.greatest(F.lit(20), F.floor((F.col("dew_point_min") - 4) / 5) * 5)
+    dew_high = F.least(F.lit(85), F.ceil((F.col("dew_point_max") + 4) / 5) * 5)
+    pad = F.greatest(F.lit(1.0), (F.col("pressure_max") - F.col("pressure_min")) * 0.25)
+    low = F.least(F.col("pressure_min") - pad, F.lit(W.STANDARD_PRESSURE - 1))
+    high = F.greatest(F.col("pressure_max") + pad, F.lit(W.STANDARD_PRESSURE + 1))
+    dew, pressure = F.col("dew_point_n") > 1, F.col("pressure_n") > 1
+    return by.select(
+        "day", F.when(dew, dew_low).alias("dew_low"), F.when(dew, F.greatest(F.lit(10), dew_high - dew_low)).alias("dew_range"),
+        F.when(pressure, low).alias("pressure_low"), F.when(pressure, high - low).alias("pressure_range"),
+    )
+
+
 def daylight(days: DataFrame) -> DataFrame:
     """day, started, ended, seconds of light, change to the next day; fraction of it passed at noon, between 0 and 1."""
     lit = days.withColumn("seconds", F.unix_timestamp("ended") - F.unix_timestamp("started"))

@@ -191,6 +191,8 @@ oracle("d6_tfidf", V.ARTICLES, query="""SELECT doc_id, term, round(w / sqrt(sum(
     grams AS (SELECT doc_id, unnest(ws) AS term FROM words UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM words),
     counts AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY 1, 2), vocab AS (SELECT term, count(*) AS df FROM counts GROUP BY 1 HAVING count(*) >= 2)
     SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1) AS w FROM counts JOIN vocab USING (term))""")
+MARKED = "regexp_replace(" + space("body") + """, '([.!?])\\s+([A-Z"''])', '\\1' || chr(1) || '\\2', 'g')"""
+oracle("d22_sentences", V.ARTICLES, query=f"""SELECT doc_id, len(list_filter(string_split({MARKED}, chr(1)), lambda s: len(regexp_extract_all(s, {WORDS})) >= 4))::BIGINT AS n_sentences FROM articles""")
 oracle("d23_truncate", V.ARTICLES, query=f"""SELECT doc_id, CASE WHEN len(p) <= 12 THEN b ELSE regexp_replace(array_to_string(p[1:12], ' '), '[,;:]+$', '') || '…' END AS short
     FROM (SELECT doc_id, b, {PARTS.format("b")} AS p FROM (SELECT doc_id, {space("body")} AS b FROM articles))""")
 oracle("d25_reading_time", V.ARTICLES, query=f"""SELECT doc_id, greatest(1, floor(len({PARTS.format("coalesce(body, '')")}) / 230 + 0.5))::BIGINT AS minutes,
@@ -292,6 +294,13 @@ oracle("e15_day_tags", V.WEATHER, DAYS, query="""SELECT day::VARCHAR AS day, CAS
 oracle("a16_peaks", V.WEATHER, query=f"""SELECT day::VARCHAR AS day, strftime(d, {TS}) AS dew_peak, CASE WHEN u > 0 THEN strftime(uv_time, {TS}) END AS uv_peak, strftime(v, {TS}) AS visibility_low FROM (
     SELECT time::DATE AS day, arg_max(time, (dew_point, -epoch(time))) AS d, max(uv) AS u, arg_max(time, (uv, -epoch(time))) AS uv_time, arg_min(time, (visibility, epoch(time))) AS v FROM weather GROUP BY 1)""")
 oracle("e16_day_strips", V.WEATHER, DAYS, query=f"""SELECT day::VARCHAR AS day, strftime(days.day, '%a') AS weekday, gust, uv, {steps("uv", [(3, "Low"), (6, "Moderate"), (8, "High"), (11, "Very high")], "Extreme")} AS uv_band, sun_hours, (ceil(gust / 5) * 5)::BIGINT AS gust_axis FROM days""")
+oracle("e18_chart_extents", V.WEATHER, query="""SELECT day, CASE WHEN n > 1 THEN dl END AS dew_low, CASE WHEN n > 1 THEN greatest(10.0, dh - dl) END AS dew_range,
+    CASE WHEN n > 1 THEN round(pl, 6) END AS pressure_low, CASE WHEN n > 1 THEN round(ph - pl, 6) END AS pressure_range FROM (
+    SELECT day, n, greatest(20.0, floor((d0 - 4) / 5) * 5)::DOUBLE AS dl, least(85.0, ceil((d1 + 4) / 5) * 5)::DOUBLE AS dh, least(p0 - pad, 1012.25) AS pl, greatest(p1 + pad, 1014.25) AS ph FROM (
+        SELECT time::DATE::VARCHAR AS day, count(*) AS n, min(dew_point) AS d0, max(dew_point) AS d1, min(pressure) AS p0, max(pressure) AS p1,
+            greatest(1.0, (max(pressure) - min(pressure)) / 4)::DOUBLE AS pad FROM weather GROUP BY 1))""")
+oracle("s4_market_source", V.RAW_MARKETS, query="""SELECT condition_id, condition_id::BIGINT % 40 AS poll, round(volume_24h, 6) AS volume FROM (
+    SELECT *, row_number() OVER (PARTITION BY condition_id::BIGINT % 40 ORDER BY volume_24h DESC NULLS LAST, condition_id) AS rank FROM raw_markets) WHERE rank <= 200""")
 oracle("s5_weather_payload", V.WEATHER, query=f"""SELECT time::DATE::VARCHAR AS place, row_number() OVER (PARTITION BY time::DATE ORDER BY weather.time) - 1 AS pos, strftime(weather.time, {TS}) AS time,
     round(temperature, 4) AS temperature, code::BIGINT AS code, CASE WHEN day(weather.time) % 5 <> 0 THEN (s % 300)::DOUBLE END AS aqi FROM weather""")
 oracle("s7_chart_requests", query="SELECT * FROM (VALUES " + ", ".join(f"('{v}', '{r}', '{i}')" for v, (r, i) in C.CHART_RANGES.items()) + ") t(view, range, interval)")

@@ -788,9 +788,22 @@ def e16_day_strips(spark, sf):
     return hourly.day_strips(hourly.day_extremes(S.weather(spark, sf))).select(F.col("day").cast("string").alias("day"), "weekday", "gust", "uv", "uv_band", "sun_hours", F.col("gust_axis").cast("long").alias("gust_axis"))
 
 
+@query
+def e18_chart_extents(spark, sf):
+    axes = hourly.value_axes(S.weather(spark, sf))
+    return axes.select(F.col("day").cast("string").alias("day"), *[six(F.col(c).cast("double")).alias(c) for c in axes.columns[1:]])
+
+
 # Payloads, views and small tables
 
 
+@query
+def s4_market_source(spark, sf):
+    """The markets that each of 40 polls gives."""
+    raw = S.raw_markets(spark, sf).withColumn("poll", F.col("condition_id").cast("long") % 40)
+    return signals.most_traded(raw, "poll").select("condition_id", "poll", six(F.col("volume_24hr")).alias("volume"))
+
+
 @query
 def s5_weather_payload(spark, sf):
     """A day's hours as one payload and back; the air-quality call of some days has failed."""

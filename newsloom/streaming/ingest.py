@@ -54,11 +54,11 @@ def ingest_feeds(spark: SparkSession, landing: str, table: VersionedTable, check
 
 
 def ingest_signals(spark: SparkSession, landing: str, table: VersionedTable, checkpoint: str, every: str | None = None, files_a_batch: int = 100) -> StreamingQuery:
-    """Market files from `landing` into `table`; the latest batch of an id wins."""
-    raw = spark.readStream.schema(MARKET).option("maxFilesPerTrigger", files_a_batch).json(landing)
+    """Market files, a file a poll, from `landing` into `table`; the latest batch of an id wins."""
+    raw = spark.readStream.schema(MARKET).option("maxFilesPerTrigger", files_a_batch).json(landing).select("*", F.col("_metadata.file_path").alias("poll"))
 
     def handle(batch: DataFrame, number: int) -> None:
-        new = signals.normalize(batch).withColumn("batch", F.lit(number).cast("long"))
+        new = signals.normalize(signals.most_traded(batch, "poll")).withColumn("batch", F.lit(number).cast("long"))
         table.change(lambda old: upsert_latest(old, new, ["id"], "batch"))
 
     return _start(raw, checkpoint, handle, every)

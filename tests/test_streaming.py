@@ -42,3 +42,16 @@ def test_signals_keep_the_latest(spark, tmp_path):
     write(landing, "2.json", [market | {"outcome_prices": '["0.5","0.5"]'}])
     ingest.ingest_signals(spark, f"file://{landing}", table, f"file://{tmp_path}/state").awaitTermination()
     assert [(r.id, r.question, r.yes_price) for r in table.read().collect()] == [("m", "Will it rain?", 0.5)]
+
+
+def test_a_poll_gives_the_most_traded(spark, tmp_path):
+    landing = tmp_path / "in"
+    markets = [{"condition_id": f"m{i:03}", "question": f"Will it rain {i}?", "outcomes": '["Yes","No"]', "outcome_prices": '["0.25","0.75"]', "slug": "rain", "volume_24hr": float(i // 2)} for i in range(205)]
+    write(landing, "1.json", markets)
+    write(landing, "2.json", [markets[0] | {"condition_id": "other"}])
+    seen = []
+    for name, files in (("a", 10), ("b", 1)):
+        table = VersionedTable(spark, f"file://{tmp_path}/{name}", ingest.SIGNAL)
+        ingest.ingest_signals(spark, f"file://{landing}", table, f"file://{tmp_path}/{name}-state", files_a_batch=files).awaitTermination()
+        seen.append({r["id"] for r in table.read().collect()})
+    assert seen[0] == seen[1] == {f"m{i:03}" for i in range(4, 205)} - {"m005"} | {"m004", "other"}
