@@ -1,5 +1,7 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
+from newsloom.llm.url_filter import TWO_LABEL_SUFFIXES
+
 LINE_DEDUP = """
 WITH lines AS (
     SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS i
@@ -30,6 +32,8 @@ _LEVEL = """
     )
 """
 
+_SUFFIXES = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+
 URL_FILTER = f"""
 WITH parts AS (
     SELECT page_id,
@@ -40,12 +44,13 @@ WITH parts AS (
     SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels
     WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id
 ), hosts AS (
-    SELECT host, CASE WHEN two IN ('ac.uk', 'co.jp', 'co.uk', 'com.au', 'com.br', 'org.uk') THEN array_to_string(list_slice(labels_, -3, -1), '.') ELSE two END AS domain,
-        CASE WHEN two IN ('ac.uk', 'co.jp', 'co.uk', 'com.au', 'com.br', 'org.uk') THEN two ELSE labels_[-1] END AS suffix, n, bad
+    SELECT host, CASE WHEN ip THEN name WHEN two IN ({_SUFFIXES}) THEN array_to_string(list_slice(labels_, -3, -1), '.') ELSE two END AS domain,
+        CASE WHEN ip THEN name WHEN two IN ({_SUFFIXES}) THEN two ELSE labels_[-1] END AS suffix, n, bad
     FROM (
-        SELECT host, string_split(host, '.') AS labels_, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS two,
+        SELECT host, any_value(name) AS name, string_split(any_value(name), '.') AS labels_, array_to_string(list_slice(string_split(any_value(name), '.'), -2, -1), '.') AS two,
+            regexp_matches(any_value(name), '^(\\[.*|[0-9]+([.][0-9]+){{3}})$') AS ip,
             count(k.bad)::DOUBLE AS n, coalesce(sum(k.bad), 0)::DOUBLE AS bad
-        FROM parts LEFT JOIN known k ON k.doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:[./]|$)', 1) AS BIGINT)
+        FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM parts) LEFT JOIN known k ON k.doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:[./]|$)', 1) AS BIGINT)
         GROUP BY host
     )
 ), domains AS (
@@ -61,8 +66,20 @@ WITH parts AS (
 ), reputation AS (
     SELECT host, n + k AS weight, (bad + k * prior) / (n + k) AS mean
     FROM hosts JOIN by_domain USING (domain), (SELECT ({_LEVEL.format(level="hosts")}) AS k)
+), posterior AS (
+    SELECT host, a, b, 0.5 > (a + 1) / (a + b + 2) AS swapped, CASE WHEN swapped THEN b ELSE a END AS p, CASE WHEN swapped THEN a ELSE b END AS q
+    FROM (SELECT host, mean * weight AS a, (1 - mean) * weight AS b FROM reputation)
+), areas AS (
+    SELECT *, exp((p + q) * ln(0.5) - lgamma(p) - lgamma(q) + lgamma(p + q)) / (p * list_reduce(
+        list_prepend(1.0::DOUBLE, list_transform(range(500, 0, -1), lambda m: m::DOUBLE)),
+        lambda f, m: 1 - (p + m - 1) * (p + q + m - 1) * 0.5 / ((p + 2 * m - 2) * (p + 2 * m - 1))
+            / (1 + m * (q - m) * 0.5 / ((p + 2 * m - 1) * (p + 2 * m)) / f))) AS area
+    FROM posterior WHERE a > 0 AND b > 0
+), verdicts AS (
+    SELECT host, CASE WHEN a <= 0 THEN 1 WHEN b <= 0 THEN 0 WHEN o.swapped THEN 1 - area ELSE area END < 0.05 AS blocked
+    FROM posterior o LEFT JOIN (SELECT host, area FROM areas) USING (host)
 ), judged AS (
-    SELECT page_id, host, path, mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) > 0.5 AS blocked,
+    SELECT page_id, host, path, blocked,
         CASE
             WHEN ('.' || host) LIKE '%.www.example.com' AND path LIKE '/en/%' THEN 'www.example.com/en/'
             WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/en/%' THEN 'example.com/en/'
@@ -70,7 +87,7 @@ WITH parts AS (
             WHEN ('.' || host) LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/'
             WHEN ('.' || host) LIKE '%.com' AND path LIKE '/%' THEN 'com/'
         END AS rule
-    FROM parts JOIN reputation USING (host)
+    FROM parts JOIN verdicts USING (host)
 )
 SELECT page_id, host, path, rule,
     CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'

@@ -76,7 +76,7 @@ RULES = [
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's outcome is the label of the document that its url's path ends with; low quality or toxic is bad."""
+    """A page's outcome is the label of the document that the first number among its url's path parts names; low quality or toxic is bad."""
     number = F.regexp_extract(url_filter.path_of(F.col("url")), "/([0-9]{1,18})(?:[./]|$)", 1)
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.when(number != "", number.cast("long")).alias("outcome_key"))
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("outcome_key"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))

@@ -160,6 +160,28 @@ def test_reputation_shrinks(spark):
     assert got["b.x.com"].mean < got["new.y.com"].mean
 
 
+def test_shares_below_by_integration():
+    """The posterior's share below a point against the midpoint rule over its density."""
+    at = (np.arange(4_000_000) + 0.5) / 4_000_000
+    for a, b in ((1.5, 2.5), (3.0, 40.0), (90.0, 12.0), (600.0, 580.0), (2.0, 2000.0)):
+        density = np.exp((a - 1) * np.log(at) + (b - 1) * np.log1p(-at) - math.lgamma(a) - math.lgamma(b) + math.lgamma(a + b))
+        for x in (0.1, 0.5, 0.85):
+            assert url_filter._below(np.array([a]), np.array([b]), x)[0] == pytest.approx(density[at < x].mean() * (at < x).mean() if (at < x).any() else 0, abs=1e-6)
+    assert np.isfinite(url_filter._below(np.array([4e6, 1e-3]), np.array([4.001e6, 1e3]), 0.5)).all()
+
+
+def test_hosts_with_ports_users_and_addresses(spark):
+    cases = [
+        ("a.b.gov.uk", "b.gov.uk", "gov.uk"), ("a.b.org:8080", "b.org", "org"), ("me:pw@x.com.cn:1", "x.com.cn", "com.cn"), ("10.0.0.1:80", "10.0.0.1", "10.0.0.1"),
+        ("[::1]", "[::1]", "[::1]"), ("", "", ""), ("local", "local", "local"), ("co.uk", "co.uk", "co.uk"),
+    ]
+    hosts = spark.createDataFrame([(h,) for h, *_ in cases], "host string")
+    got = {r.host: (r.domain, r.suffix) for r in hosts.select("host", url_filter.domain_of(F.col("host")).alias("domain"), url_filter.suffix_of(F.col("host")).alias("suffix")).collect()}
+    assert got == {h: tuple(rest) for h, *rest in cases}
+    own = hosts.limit(0).select(url_filter.domain_of(F.col("host"), ["b.c"]))
+    assert own.count() == 0
+
+
 def test_url_sql_agrees(spark):
     duck = duckdb.connect()
     for name in ("pages", "labels"):
