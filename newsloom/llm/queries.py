@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, decontam, html_extract, langid, minhash, oracles, simhash, token_count, token_store, url_filter
+from newsloom.llm import bpe, decontam, hard_negatives, html_extract, langid, minhash, oracles, packing, simhash, token_count, token_store, url_filter
 from newsloom.llm.common import fresh_path
 from newsloom.llm.line_dedup import LineIndex
 
 END_ID = 2
+SEPARATOR_ID = 0
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +84,17 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, labels, RULES)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, SEPARATOR_ID)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is shifted; every hundredth row is an anchor."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", shifted.alias("label"), "embedding")
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -94,9 +106,12 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_url_filter": op9_url_filter,
     "op10_token_count": op10_token_count,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": oracles.LINE_DEDUP,
     "op9_url_filter": oracles.URL_FILTER,
+    "op12_hard_negatives": oracles.HARD_NEGATIVES,
 }
