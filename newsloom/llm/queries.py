@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, decontam, hard_negatives, html_extract, langid, minhash, oracles, packing, simhash, token_count, token_store, url_filter
+from newsloom.llm import bpe, decontam, hard_negatives, html_extract, langid, minhash, oracles, packing, simhash, token_alignment, token_count, token_store, url_filter
 from newsloom.llm.common import fresh_path
 from newsloom.llm.line_dedup import LineIndex
 
@@ -95,6 +95,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -108,6 +112,7 @@ QUERIES = {
     "op10_token_count": op10_token_count,
     "op11_best_fit_packing": op11_best_fit_packing,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
