@@ -1,122 +1,124 @@
-"""Bias and sentiment models: balanced multinomial logistic regression, expected scores, quality, versions."""
+"""Bias and sentiment models: features, balanced multinomial logistic regression, expected scores, quality, versions."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from newsloom.operators import logistic, tfidf
+from newsloom.operators.logistic import Logistic
+from newsloom.session import settled
+
 BIAS_VALUES, POLARITY_VALUES, INTENSITY_VALUES = [-5.0, -2.5, 0.0, 2.5, 5.0], [-1.0, 0.0, 1.0], [0.0, 0.5, 1.0]
 UNTRAINED_CONFIDENCE = 0.3
+MOST_TERMS = 5000
 
 
 @dataclass
 class Trained:
     """A model, the values of its classes and its quality; model is None where there is but one class."""
 
-    model: LogisticRegressionModel | None
+    model: Logistic | None
     values: list[float]
     accuracy: float | None = None
     mae: float | None = None
 
 
-def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows)
+@dataclass
+class TextSpace:
+    """The terms that a text model knows: a table (term, df, at) of at most as many rows as it was fitted with, and its documents."""
 
+    terms: DataFrame
+    documents: int
 
-def assemble_text(rows: DataFrame, features: list[str], weighted: DataFrame, key: str) -> DataFrame:
-    """rows with the columns `features` and behind them a sparse place for each term of weighted (key, term, w), by name."""
-    first = len(features)
-    vocab = [r["term"] for r in weighted.select("term").distinct().orderBy("term").collect()]  # the vocabulary's bound
-    places = rows.sparkSession.createDataFrame(list(zip(vocab, range(first, first + len(vocab)), strict=True)), "term string, at int")
-    held = weighted.join(F.broadcast(places), "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("_terms"))
 
-    @F.udf(VectorUDT())
-    def vector(plain, terms):
-        pairs = [(i, float("nan") if x is None else x) for i, x in enumerate(plain)] + [(t["at"], t["w"]) for t in terms or ()]
-        return Vectors.sparse(first + len(vocab), pairs)
+def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
+    """rows with `features`: a place for each of the columns."""
+    at = F.lit(list(range(len(features)))).cast("array<int>")
+    return rows.withColumn("features", F.struct(at.alias("at"), F.array(*[F.col(c).cast("double") for c in features]).alias("w")))
+
 
-    plain = F.array(*[F.col(c).cast("double") for c in features])
-    return rows.join(held, key, "left").withColumn("features", vector(plain, "_terms")).drop("_terms")
+def fit_text(docs: DataFrame, key: str, text: str, most_terms: int = MOST_TERMS) -> TextSpace:
+    """The most frequent words and pairs without stop words in two documents at least."""
+    counts = tfidf.terms(docs, key, text, tfidf.stop_words(), bigrams=True)
+    vocab = tfidf.vocabulary(counts, 2, most_terms)
+    placed = vocab.select("term", "df", (F.row_number().over(Window.orderBy("term")) - 1).alias("at"))  # one task, most_terms rows
+    return TextSpace(settled(placed), docs.count())
 
 
-def _fit(rows: DataFrame, classes: int) -> LogisticRegressionModel:
-    """C = 1 of a summed loss is a penalty of 1/n of the mean one; weights make classes count alike."""
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row a class
-    n = sum(counts.values())
-    weight = F.lit(0.0)
-    for label, own in counts.items():
-        weight = F.when(F.col("label") == label, n / (len(counts) * own)).otherwise(weight)
-    learner = LogisticRegression(family="multinomial", maxIter=1000, tol=1e-4, regParam=1.0 / n, standardization=False, weightCol="weight")
-    return learner.fit(rows.withColumn("weight", weight))
+def assemble_text(rows: DataFrame, features: list[str], docs: DataFrame, key: str, text: str, space: TextSpace) -> DataFrame:
+    """rows with `features`: a place for each of the columns, and behind them one for each term that docs (key, text) holds,
+    by sublinear weight; of unit length together."""
+    found = tfidf.terms(docs, key, text, tfidf.stop_words(), bigrams=True, known=space.terms)
+    weighted = tfidf.weigh(found, key, space.documents, sublinear=True)
+    held = weighted.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((F.col("at") + len(features)).alias("at"), "w"))).alias("_t"))
+    plain = F.array(*[F.struct(F.lit(i).alias("at"), F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("w")) for i, c in enumerate(features)])
+    both = F.concat(plain, F.coalesce("_t", F.array().cast("array<struct<at:int,w:double>>")))
+    return rows.join(held, key, "left").withColumn("_f", both).withColumn("features", F.struct(F.col("_f.at").alias("at"), F.col("_f.w").alias("w"))).drop("_t", "_f")
 
 
 def train(rows: DataFrame, values: list[float], folds: int = 3, fold_key: str = "id") -> Trained:
     """From rows (features, label, and a key that deals them into folds). One class: no model, no figures."""
-    rows = rows.select(fold_key, "features", F.col("label").cast("double").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _train(rows, values, folds, fold_key)
-    finally:
-        rows.unpersist()
-
-
-def _train(rows: DataFrame, values: list[float], folds: int, fold_key: str) -> Trained:
-    classes = rows.select("label").distinct().count()
+    held = logistic.blocks(rows, "label", fold_key)
+    classes = int((logistic.class_counts(held, len(values)) > 0).sum())
     if classes < 2:
         return Trained(None, values)
-    model = _fit(rows, len(values))
-    k = min(folds, classes)
-    fold = F.pmod(F.xxhash64(fold_key), F.lit(k))
-    shares = []
-    for i in range(k):
-        rest = rows.where(fold != i)
-        if rest.select("label").distinct().count() > 1:
-            hit = _fit(rest, len(values)).transform(rows.where(fold == i)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).first()["a"]
-            shares += [] if hit is None else [hit]
-    value = lambda c: F.get(F.lit(values), F.col(c).cast("int"))
-    mae = model.transform(rows).agg(F.avg(F.abs(value("prediction") - value("label"))).alias("m")).first()["m"]
-    return Trained(model, values, sum(shares) / len(shares) if shares else None, mae)
+    made = logistic.fit(held, len(values), min(folds, classes))
+    return Trained(made[0], values, *logistic.quality(held, made, values))
 
 
 def expected(probability: Column, values: list[float]) -> Column:
-    p = vector_to_array(probability)
-    return F.aggregate(F.zip_with(p, F.slice(F.lit(values), 1, F.size(p)), lambda a, v: a * v), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(probability, F.lit(values), lambda a, v: a * v), F.lit(0.0), lambda s, x: s + x)
 
 
 def predict(trained: Trained, rows: DataFrame, fallback: Column) -> DataFrame:
     """rows with score (2 places) and confidence (3 places); without a model the fallback and a fixed confidence."""
     if trained.model is None:
         return rows.withColumn("score", F.round(fallback, 2)).withColumn("confidence", F.lit(UNTRAINED_CONFIDENCE))
-    scored = trained.model.transform(rows)
-    return scored.withColumn("score", F.round(expected(F.col("probability"), trained.values), 2)).withColumn("confidence", F.round(F.array_max(vector_to_array("probability")), 3)).drop("rawPrediction", "probability", "prediction")
+    scored = rows.withColumn("_p", logistic.probabilities(trained.model, "features"))
+    return scored.withColumn("score", F.round(expected(F.col("_p"), trained.values), 2)).withColumn("confidence", F.round(F.array_max("_p"), 3)).drop("_p")
 
 
 ABOUT = "values array<double>, accuracy double, mae double, fitted boolean"
+MODEL = "class int, intercept double, known boolean, coefficients array<double>"
+SPACE = "term string, df long, at int, documents long"
+
+
+def _place(path: str, version: int) -> str:
+    return f"{path}/version={version:08d}"
 
 
-def save(spark: SparkSession, trained: Trained, path: str, version: int) -> str:
-    """Writes the model of a version and, beside it, its classes' values and quality; the latest version is the largest number, not the last name."""
-    place = f"{path}/version={version:08d}"
-    if trained.model is not None:
-        trained.model.write().overwrite().save(f"{place}/model")
-    about = [(trained.values, trained.accuracy, trained.mae, trained.model is not None)]
-    spark.createDataFrame(about, ABOUT).coalesce(1).write.mode("overwrite").parquet(f"{place}/about")
+def save(spark: SparkSession, trained: Trained, path: str, version: int, space: TextSpace | None = None) -> str:
+    """Writes the model of a version and, beside it, its classes' values and quality and the terms that it knows; the latest
+    version is the largest number, not the last name."""
+    place = _place(path, version)
+    put = lambda rows, schema, name: spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{place}/{name}")
+    if (model := trained.model) is not None:
+        put([(i, float(model.intercepts[i]), bool(model.known[i]), model.coefficients[i].tolist()) for i in range(len(model.known))], MODEL, "model")
+    if space is not None:
+        space.terms.select("term", F.col("df").cast("long").alias("df"), F.col("at").cast("int").alias("at"), F.lit(space.documents).cast("long").alias("documents")).coalesce(1).write.mode("overwrite").parquet(f"{place}/terms")
+    put([(trained.values, trained.accuracy, trained.mae, model is not None)], ABOUT, "about")
     return place
 
 
 def load(spark: SparkSession, path: str, version: int) -> Trained:
-    place = f"{path}/version={version:08d}"
+    place = _place(path, version)
     about = spark.read.schema(ABOUT).parquet(f"{place}/about").first()
-    model = LogisticRegressionModel.load(f"{place}/model") if about["fitted"] else None
+    if not about["fitted"]:
+        return Trained(None, list(about["values"]), about["accuracy"], about["mae"])
+    rows = spark.read.schema(MODEL).parquet(f"{place}/model").orderBy("class").collect()  # a row a class
+    model = Logistic(np.array([r["coefficients"] for r in rows]), np.array([r["intercept"] for r in rows]), np.array([r["known"] for r in rows]))
     return Trained(model, list(about["values"]), about["accuracy"], about["mae"])
 
 
+def load_text(spark: SparkSession, path: str, version: int) -> TextSpace:
+    rows = spark.read.schema(SPACE).parquet(f"{_place(path, version)}/terms")
+    return TextSpace(rows.drop("documents"), rows.agg(F.max("documents")).first()[0] or 0)
+
+
 def intensity_thresholds(raw: DataFrame, column: str) -> tuple[float, float]:
     """33rd and 66th percentile of the non-zero values; fixed ones where fewer than max(20, a tenth) are non-zero."""
     row = raw.agg(F.count(column).alias("n"), F.count_if(F.col(column) > 0).alias("k"), F.percentile(F.when(F.col(column) > 0, F.col(column)), F.array(F.lit(0.33), F.lit(0.66))).alias("p")).first()

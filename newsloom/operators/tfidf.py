@@ -18,14 +18,19 @@ def stop_words() -> list[str]:
     return sorted({part for w in StopWordsRemover.loadDefaultStopWords("english") for part in w.split("'") if len(part) > 1})
 
 
-def terms(docs: DataFrame, key: str, text: str, stop: list[str] = (), bigrams: bool = False) -> DataFrame:
-    """key, term, tf: words of two letters or more, without stop words, and pairs of neighbours among those."""
+def terms(docs: DataFrame, key: str, text: str, stop: list[str] = (), bigrams: bool = False, known: DataFrame | None = None) -> DataFrame:
+    """key, term, tf: words of two letters or more, without stop words, and pairs of neighbours among those.
+
+    known: a vocabulary of bounded size; with it only its terms are counted, with its other columns, and no other term is shuffled."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
     held = docs.select(key, (F.filter(tokens, lambda w: ~w.isin(*stop)) if stop else tokens).alias("w"))
     if bigrams:
         pairs = F.zip_with(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 1)), F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 1)), lambda a, b: F.concat_ws(" ", a, b))
         held = held.select(key, F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>"))).alias("w"))
-    return held.select(key, F.explode("w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    found = held.select(key, F.explode("w").alias("term"))
+    if known is None:
+        return found.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return found.join(F.broadcast(known), "term").groupBy(key, *known.columns).agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, least_docs: int = 2, most_terms: int | None = None) -> DataFrame:
@@ -34,14 +39,19 @@ def vocabulary(counts: DataFrame, least_docs: int = 2, most_terms: int | None =
     return (by if most_terms is None else by.orderBy(F.col("cf").desc(), "term").limit(most_terms)).select("term", "df")
 
 
-def weights(counts: DataFrame, vocab: DataFrame, key: str, documents: int, sublinear: bool = False) -> DataFrame:
-    """key, term, w: tf (or 1 + ln tf) times ln((1 + n) / (1 + df)) + 1, divided by the document's length."""
+def weigh(counts: DataFrame, key: str, documents: int, sublinear: bool = False) -> DataFrame:
+    """counts (key, tf, df, ...) without tf and df, with w: tf (or 1 + ln tf) times ln((1 + n) / (1 + df)) + 1, divided by the document's length."""
     tf = 1 + F.log("tf") if sublinear else F.col("tf")
-    raw = counts.join(vocab, "term").select(key, "term", (tf * (F.log((1 + F.lit(documents)) / (1 + F.col("df"))) + 1)).alias("w"))
+    raw = counts.withColumn("w", tf * (F.log((1 + F.lit(documents)) / (1 + F.col("df"))) + 1)).drop("tf", "df")
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.withColumn("w", F.col("w") / length)
 
 
+def weights(counts: DataFrame, vocab: DataFrame, key: str, documents: int, sublinear: bool = False) -> DataFrame:
+    """key, term, w of counts (key, term, tf)."""
+    return weigh(counts.join(vocab, "term"), key, documents, sublinear).select(key, "term", "w")
+
+
 def cosine_pairs(weighted: DataFrame, key: str, least: float) -> DataFrame:
     """a, b (a < b), cosine above `least` of unit vectors (key, term, w).
 

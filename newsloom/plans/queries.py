@@ -14,7 +14,7 @@ from newsloom.functions import text as T
 from newsloom.functions import weather as W
 from newsloom.operators import cluster, feed, markets, models, signals, stats, store, stories, summarize, tfidf
 from newsloom.operators import weather as hourly
-from newsloom.session import read_table
+from newsloom.session import read_table, settled
 from newsloom.sources import fixtures as S
 from newsloom.sources import feed_xml, payloads
 from newsloom.streaming import ingest
@@ -505,10 +505,13 @@ def _votes(spark, sf, dimension: str, name: str) -> DataFrame:
 
 
 def _bias_rows(spark, sf) -> DataFrame:
-    rows = feed.enrich(_features(spark, sf), S.sources(spark, sf))
+    """id, doc_id, source_score, label and features, computed once."""
+    features = _features(spark, sf)
+    rows = feed.enrich(features, S.sources(spark, sf))
     vector = X.bias_vector(F.col("full_text"), F.col("tokens"), F.col("source_score"), LEXICON["negative"])
-    made = rows.join(_votes(spark, sf, "bias", "vote"), "doc_id", "left").select("id", "source_score", X.bias_class(F.coalesce("vote", "source_score")).alias("label"), *[c.alias(n) for n, c in vector.items()])
-    return models.assemble_text(made, list(vector), _text_weights(_features(spark, sf).select("id", "full_text"), "id", "full_text", 5000), "id")
+    made = rows.join(_votes(spark, sf, "bias", "vote"), "doc_id", "left").select("id", "doc_id", "source_score", X.bias_class(F.coalesce("vote", "source_score")).alias("label"), *[c.alias(n) for n, c in vector.items()])
+    docs = features.select("id", "full_text")
+    return settled(models.assemble_text(made, list(vector), docs, "id", "full_text", models.fit_text(docs, "id", "full_text")).select("id", "doc_id", "source_score", "label", "features"))
 
 
 @query
@@ -522,6 +525,7 @@ def _sentiment_rows(spark, sf) -> DataFrame:
     rows = _features(spark, sf).join(_votes(spark, sf, "sentiment", "tone_vote"), "doc_id", "left").join(_votes(spark, sf, "intensity", "heat_vote"), "doc_id", "left")
     vector = X.sentiment_vector(F.col("full_text"), F.col("tokens"), LEXICON)
     made = rows.select("id", "tone_vote", "heat_vote", X.bootstrap_polarity(F.col("tokens"), LEXICON).alias("polarity"), X.bootstrap_intensity(F.col("full_text"), F.col("tokens"), LEXICON).alias("raw"), *[c.alias(n) for n, c in vector.items()])
+    made = settled(made)
     return models.assemble(X.sentiment_classes(made, *models.intensity_thresholds(made, "raw")), list(vector))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -28,3 +31,15 @@ def local_session(cpus: int = 8, memory: str = "6g", **conf: str) -> SparkSessio
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the folder that spark.checkpoint.dir names, which survives lost executors. Only a local
+    master, as in tests, may go without such a folder; it gets one of its own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-newsloom-"))
+    return df.checkpoint()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from newsloom.operators import models, retrain, tfidf
@@ -18,8 +17,8 @@ FEEDBACK = "id long, dimension string, user_score double, created_at timestamp"
 
 def tables(spark, n=12):
     articles = spark.createDataFrame([(f"a{i}", f"Title {i}", None, None) for i in range(n)], "id string, title string, bias_score double, confidence double")
-    rows = spark.createDataFrame([(f"a{i}", Vectors.dense([1.0 if i % 2 else -1.0, 0.0]), 3 if i % 2 else 1, 0.5) for i in range(n)], ["id", "features", "label", "source_score"])
-    return articles, rows
+    rows = spark.createDataFrame([(f"a{i}", 1.0 if i % 2 else -1.0, 0.0, 3 if i % 2 else 1, 0.5) for i in range(n)], ["id", "x", "y", "label", "source_score"])
+    return articles, models.assemble(rows, ["x", "y"]).drop("x", "y")
 
 
 def feedback(spark, n, dimension="bias", day="2024-01-15"):
