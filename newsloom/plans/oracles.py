@@ -316,3 +316,8 @@ oracle("t9_home_slots", query="SELECT unnest(list_filter([CASE WHEN pos <= 6 THE
        + ORACLES["q_w2_top_stories"] + ")")
 oracle("t10_version_history", query="SELECT * FROM (VALUES (1::BIGINT, '2024-01-12 00:00:00', 0.5::DOUBLE), (2::BIGINT, '2024-01-20 06:00:00', 0.6::DOUBLE)) t(version, trained_at, accuracy)")
 oracle("e17_day_labels", V.WEATHER, query="SELECT day::VARCHAR AS day, CASE date_diff('day', DATE '2024-01-20', day) WHEN 0 THEN 'Today' WHEN 1 THEN 'Tomorrow' ELSE strftime(day, '%a') END AS label FROM (SELECT DISTINCT time::DATE AS day FROM weather)")
+
+oracle("s14_source_counters", V.ARTICLES, query=f"""SELECT source_id, count(*) AS fetch_count, coalesce(sum(n) FILTER (block % 7 <> 3), 0)::BIGINT AS article_count, count(*) FILTER (block % 7 = 3) AS error_count,
+    strftime(max(TIMESTAMP '2024-01-31 00:00:00' + to_seconds(block)), {TS}) AS last_fetched, count(*) FILTER (block % 7 = 3) AS quarantined
+    FROM (SELECT source_id, doc_id // 96 AS block, least(count(*), 30) AS n FROM articles WHERE source_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1""")
+oracle("s12_keyed_store", V.ARTICLES, query="""SELECT id, source_id, CASE WHEN doc_id % 3 = 2 THEN 'new ' || title ELSE title END AS title, CASE WHEN doc_id % 5 = 0 THEN 4.5 ELSE bias_score END AS bias_score FROM articles""")

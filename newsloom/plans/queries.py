@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,9 +13,9 @@ from newsloom.functions import features as X
 from newsloom.functions import labels as L
 from newsloom.functions import text as T
 from newsloom.functions import weather as W
-from newsloom.operators import cluster, feed, markets, models, signals, stats, store, stories, summarize, tfidf
+from newsloom.operators import cluster, feed, markets, models, retrain, scoring, signals, stats, store, stories, summarize, tfidf
 from newsloom.operators import weather as hourly
-from newsloom.session import read_table, settled
+from newsloom.session import read_table, settled, shared_folder
 from newsloom.sources import fixtures as S
 from newsloom.sources import feed_xml, payloads
 from newsloom.streaming import ingest
@@ -504,19 +505,16 @@ def _votes(spark, sf, dimension: str, name: str) -> DataFrame:
     return own.withColumnRenamed("article_key", "doc_id").withColumnRenamed("user_score", name)
 
 
-def _bias_rows(spark, sf) -> DataFrame:
-    """id, doc_id, source_score, label and features, computed once."""
-    features = _features(spark, sf)
-    rows = feed.enrich(features, S.sources(spark, sf))
-    vector = X.bias_vector(F.col("full_text"), F.col("tokens"), F.col("source_score"), LEXICON["negative"])
-    made = rows.join(_votes(spark, sf, "bias", "vote"), "doc_id", "left").select("id", "doc_id", "source_score", X.bias_class(F.coalesce("vote", "source_score")).alias("label"), *[c.alias(n) for n, c in vector.items()])
-    docs = features.select("id", "full_text")
-    return settled(models.assemble_text(made, list(vector), docs, "id", "full_text", models.fit_text(docs, "id", "full_text")).select("id", "doc_id", "source_score", "label", "features"))
+def _bias_rows(spark, sf) -> tuple[DataFrame, models.TextSpace]:
+    """id, source_score, label and features, computed once, and the terms behind them."""
+    articles = feed.enrich(S.articles(spark, sf), S.sources(spark, sf)).join(_votes(spark, sf, "bias", "vote"), "doc_id", "left")
+    rows, space = scoring.bias_rows(articles, LEXICON["negative"], columns=("vote",))
+    return settled(rows.select("id", "source_score", X.bias_class(F.coalesce("vote", "source_score")).alias("label"), "features")), space
 
 
 @query
 def d13_bias_scores(spark, sf):
-    rows = _bias_rows(spark, sf)
+    rows, _ = _bias_rows(spark, sf)
     return models.predict(models.train(rows, models.BIAS_VALUES), rows, F.col("source_score")).select("id", "score", "confidence")
 
 
@@ -540,10 +538,23 @@ def d14_sentiment_scores(spark, sf):
 
 @query
 def a23_metrics(spark, sf):
-    got = models.train(_bias_rows(spark, sf), models.BIAS_VALUES)
+    got = models.train(_bias_rows(spark, sf)[0], models.BIAS_VALUES)
     return spark.createDataFrame([("bias", got.accuracy, got.mae)], "model string, accuracy double, mae double")
 
 
+@query
+def d15_retrain(spark, sf):
+    """A store of all articles; the bias job's first version and its scores as one commit; the same job again finds nothing to do."""
+    held = ingest.open_store(spark, f"{shared_folder(spark)}/retrain-{uuid.uuid4().hex}")
+    held.commit({"articles": S.articles(spark, sf).select("id", "source_id", "title", "body", "url", "published")})
+    rows, space = _bias_rows(spark, sf)
+    feedback = S.feedback(spark, sf)
+    made = [retrain.run_bias(held, rows, feedback, S.NOW, f"{held.root}/models", space) for _ in range(2)]
+    counted = held.read("bias_versions").where(F.col("version") == F.lit(made[0])).select("version", "feedback_count")
+    scored = held.read("articles").select("id", "bias_score", "confidence", "model_version")
+    return scored.join(F.broadcast(counted), F.col("version") == F.col("model_version"), "left").drop("version").withColumn("again", F.lit(made[1]).cast("int"))
+
+
 # Tables after a change
 
 
@@ -574,6 +585,34 @@ def s14_upsert_accumulate(spark, sf):
     return store.upsert_accumulate(old, new, "source_id", ["article_count", "error_count"], ["last_fetched"])
 
 
+@query
+def s14_source_counters(spark, sf):
+    """Feeds in three batches, every seventh cut off, into a keyed store; the first batch is sent again. Counters of each source, and what stands in quarantine."""
+    held = ingest.open_store(spark, f"{shared_folder(spark)}/feeds-{uuid.uuid4().hex}")
+    feeds = S.feed_documents(spark, sf)
+    broken = F.col("block") % 7 == 3
+    landed = feeds.withColumn("xml", F.when(broken, F.substring("xml", 1, 60)).otherwise(F.col("xml"))).withColumn("landed", F.timestamp_seconds(F.unix_timestamp(F.lit(S.ANCHOR)) + F.col("block")))
+    read = settled(feed_xml.feed_rows(landed))
+    for number in (0, 1, 2, 0):
+        held.commit(ingest.feed_changes(read.where(F.col("block") % 3 == number), number), batch=("feeds", number))
+    kept = held.read("quarantine").groupBy("source_id").agg(F.count("*").alias("quarantined"))
+    return held.read("sources").join(kept, "source_id", "left").select("source_id", "fetch_count", "article_count", "error_count", stamp("last_fetched").alias("last_fetched"), F.coalesce("quarantined", F.lit(0)).alias("quarantined"))
+
+
+@query
+def s12_keyed_store(spark, sf):
+    """Articles into a keyed store in two commits that share a third of them, titles of the second changed; then scores as an update, folded."""
+    held = ingest.open_store(spark, f"{shared_folder(spark)}/articles-{uuid.uuid4().hex}")
+    rows = S.articles(spark, sf)
+    first, second = rows.where("doc_id % 3 < 2"), rows.where("doc_id % 3 > 0").withColumn("title", F.concat(F.lit("new "), "title"))
+    columns = ["id", "source_id", "title", "url", "published"]
+    held.commit({"articles": first.select(columns)})
+    held.commit({"articles": second.select(columns)}, {"articles": rows.where("bias_score is not null").select("id", "bias_score")})
+    held.compact("articles")
+    held.commit(updates={"articles": rows.where("doc_id % 5 = 0").select("id", F.lit(4.5).alias("bias_score"))})
+    return held.read("articles").select("id", "source_id", "title", "bias_score")
+
+
 @query
 def s15_partial_update(spark, sf):
     rows = S.articles(spark, sf).select("id", "bias_score", F.lit("old").alias("summary"), "sentiment_score", "intensity_score")

@@ -33,13 +33,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder that spark.checkpoint.dir names, which survives lost executors. Only a local
-    master, as in tests, may go without such a folder; it gets one of its own."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Only a local master, as in tests, may go
+    without; it gets one of its own."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-newsloom-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder, which survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -1,7 +1,7 @@
 """RSS and Atom documents as the feed rows that ingest reads.
 
 One schema serves the three layouts: entries are channel/item (RSS 2), item (RSS 1) or entry (Atom) below the root.
-A document that is not well-formed, or has no entries, gives a row without entries."""
+A document that is not well-formed or no feed gives a row without entries that says so."""
 
 from __future__ import annotations
 
@@ -17,9 +17,9 @@ LAYOUTS = ["d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss xx", "d MMM yyyy HH:mm
 
 
 def documents(reader, landing: str) -> DataFrame:
-    """source_id, xml of the files <landing>/<source_id>/<name>, by spark.read or spark.readStream."""
+    """source_id, xml and landed (a time) of the files <landing>/<source_id>/<name>, by spark.read or spark.readStream."""
     files = reader.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(landing)
-    return files.select(F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1).alias("source_id"), F.col("value").alias("xml"))
+    return files.select(F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1).alias("source_id"), F.col("value").alias("xml"), F.col("_metadata.file_modification_time").alias("landed"))
 
 
 def moment(text: Column) -> Column:
@@ -42,6 +42,9 @@ def _entry(e: Column) -> Column:
 
 
 def feed_rows(landed: DataFrame) -> DataFrame:
-    """source_id, entries of documents (source_id, xml), in their order."""
-    parsed = landed.select("source_id", F.from_xml("xml", DOCUMENT).alias("d"))
-    return parsed.select("source_id", F.transform(F.coalesce("d.channel.item", "d.item", "d.entry"), _entry).alias("entries"))
+    """source_id, entries, in their order, and problem of documents (source_id, xml, ...); other columns stay. problem is null for a feed, if one without entries."""
+    parsed = landed.withColumn("_d", F.from_xml("xml", f"{DOCUMENT}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    rooted = F.regexp_like("xml", F.lit(r"<(?:\w+:)?(?:rss|feed|RDF)[\s>]"))
+    problem = F.when(F.coalesce(F.trim("xml"), F.lit("")) == "", "empty").when(F.col("_d._corrupt_record").isNotNull(), "not well-formed").when(~rooted, "no feed")
+    entries = F.when(F.col("problem").isNull(), F.transform(F.coalesce("_d.channel.item", "_d.item", "_d.entry"), _entry))
+    return parsed.withColumn("problem", problem).withColumn("entries", entries).drop("_d")

@@ -54,7 +54,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_id, xml: a feed for each source and 96 neighbouring documents, RSS and Atom by turns, entries by doc_id."""
+    """source_id, block, xml: a feed for each source and block of 96 neighbouring documents, RSS and Atom by turns, entries by doc_id."""
     block, title = F.floor(F.col("doc_id") / 96), F.concat(F.lit("Report "), "doc_id", F.lit(" &amp; more"))
     timed = lambda before, layout, after: F.coalesce(F.concat(F.lit(before), F.date_format("published", layout), F.lit(after)), F.lit(""))
     rss = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), "url", F.lit("</link>"), timed("<pubDate>", "EEE, dd MMM yyyy HH:mm:ss", " GMT</pubDate>"), F.lit("</item>"))
@@ -63,7 +63,7 @@ def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = rows.groupBy("source_id", "block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "entry"))).alias("e"))
     entries = F.array_join("e.entry", "")
     whole = F.when(F.col("block") % 2 == 0, F.concat(F.lit('<rss version="2.0"><channel><title>Feed</title>'), entries, F.lit("</channel></rss>")))
-    return held.select("source_id", whole.otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>Feed</title>'), entries, F.lit("</feed>"))).alias("xml"))
+    return held.select("source_id", "block", whole.otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>Feed</title>'), entries, F.lit("</feed>"))).alias("xml"))
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Micro-batch ingest: landed feed and market files, cleaned, scored on arrival and written by identity."""
+"""Micro-batch ingest into a keyed store: landed feed and market files, cleaned, written by identity, and scored on arrival.
+
+A batch is one commit: new articles with their scores, the counters of their sources, and the feeds that could not be read, by
+the batch's number, so that a batch that is run again changes nothing. A broken feed never stops a batch or other sources; it is
+kept in `quarantine` with what is wrong with it and counts as an error of its source."""
 
 from __future__ import annotations
 
@@ -10,7 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsloom.functions.text import low_signal, stable_id, strip_html
 from newsloom.operators import signals
-from newsloom.operators.store import VersionedTable, insert_absent, upsert_latest
+from newsloom.operators.keyed import KeyedStore, Table
+from newsloom.operators.retrain import BIAS_COLUMNS, VERSIONS
+from newsloom.operators.scoring import Scorer
 from newsloom.sources import feed_xml
 
 LINK = "struct<href:string,url:string,type:string>"
@@ -19,8 +25,19 @@ FEED = f"""source_id string, entries array<struct<link:string,title:string,conte
 ARTICLE = "id string, source_id string, title string, body string, url string, image_url string, published timestamp"
 MARKET = """condition_id string, market_id string, question string, outcomes string, outcome_prices string, fee_type string,
     sports_market_type string, slug string, one_day_price_change double, volume_24hr double"""
+SCORED = ", ".join(f"{c} {t}" for c, t in BIAS_COLUMNS.items())
+SOURCE = "source_id string, fetch_count long, article_count long, error_count long, last_fetched timestamp"
+QUARANTINE = "id string, source_id string, problem string, content string, landed timestamp, batch long"
 SIGNAL = "id string, question string, category string, yes_price double, yes_change_24h double, volume_24h double, url string, batch long"
 
+TABLES = {
+    "articles": Table(f"{ARTICLE}, {SCORED}", ("id",)),
+    "sources": Table(SOURCE, ("source_id",), "sum", counters=("fetch_count", "article_count", "error_count")),
+    "quarantine": Table(QUARANTINE, ("id",)),
+    "signals": Table(SIGNAL, ("id",), "latest", order="batch"),
+    **VERSIONS,
+}
+
 
 def feed_articles(feeds: DataFrame, most_entries: int = 30, most_chars: int = 3000) -> DataFrame:
     """Articles of feeds (source_id, entries): the first entries that have a link and a title worth keeping.
@@ -44,21 +61,53 @@ def _start(source: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int]
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def ingest_feeds(spark: SparkSession, landing: str, table: VersionedTable, checkpoint: str, every: str | None = None, files_a_batch: int = 100, kind: str = "json") -> StreamingQuery:
-    """Feed files from `landing` into `table`; the first write of an id wins. every: as '15 minutes'; None: what is there now.
+def feed_changes(feeds: DataFrame, number: int) -> dict[str, DataFrame]:
+    """The inserts that a batch of feeds (source_id, entries, and if they may be broken problem, xml, landed) makes in a store's tables."""
+    lacks = {c: t for c, t in (("problem", "string"), ("xml", "string"), ("landed", "timestamp")) if c not in feeds.columns}
+    rows = feeds.withColumns({c: F.lit(None).cast(t) for c, t in lacks.items()})
+    good, broken = rows.where("problem is null"), rows.where("problem is not null")
+    articles = feed_articles(good.select("source_id", "entries"))
+    read = articles.groupBy("source_id").agg(F.count("*").alias("article_count"))
+    polled = rows.groupBy("source_id").agg(F.count("*").alias("fetch_count"), F.count("problem").alias("error_count"), F.max("landed").alias("last_fetched"))
+    sources = polled.join(read, "source_id", "left").withColumn("article_count", F.coalesce("article_count", F.lit(0)))
+    identity = F.sha2(F.concat_ws("|", F.coalesce("source_id", F.lit("")), F.coalesce(F.col("landed").cast("string"), F.lit("")), F.coalesce("xml", F.lit(""))), 256)
+    kept = broken.select(identity.alias("id"), "source_id", "problem", F.col("xml").alias("content"), "landed", F.lit(number).cast("long").alias("batch"))
+    return {"articles": articles, "sources": sources, "quarantine": kept}
+
 
-    kind: json rows as FEED has them, or xml for RSS and Atom documents as feed_xml.documents finds them."""
+def ingest_feeds(spark: SparkSession, landing: str, held: KeyedStore, checkpoint: str, every: str | None = None, files_a_batch: int = 100, kind: str = "json", scorer: Scorer | None = None, source_scores: DataFrame | None = None) -> StreamingQuery:
+    """Feed files from `landing` into a store; the first write of an id wins. every: as '15 minutes'; None: what is there now.
+
+    kind: json rows as FEED has them, or xml for RSS and Atom documents as feed_xml.documents finds them. scorer: scores what
+    arrives by the latest version that the store lists at that moment; source_scores (source_id, source_score) are the sources' own."""
     reader = spark.readStream.option("maxFilesPerTrigger", files_a_batch)
-    feeds = feed_xml.feed_rows(feed_xml.documents(reader, landing)) if kind == "xml" else reader.schema(FEED).json(landing)
-    return _start(feeds, checkpoint, lambda batch, number: table.change(lambda old: insert_absent(old, feed_articles(batch), "id")), every)
+    if kind == "xml":
+        feeds = feed_xml.feed_rows(feed_xml.documents(reader, landing))
+    else:
+        feeds = reader.schema(f"{FEED}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(landing).select("source_id", "entries", F.when(F.col("_broken").isNotNull(), "not well-formed").alias("problem"), F.col("_broken").alias("xml"), F.col("_metadata.file_modification_time").alias("landed"))
 
+    def handle(batch: DataFrame, number: int) -> None:
+        rows = batch.persist()  # three tables are made of it
+        changes = feed_changes(rows, number)
+        if scorer is not None:
+            priors = changes["articles"].withColumn("source_score", F.lit(0.0)) if source_scores is None else changes["articles"].join(source_scores, "source_id", "left").withColumn("source_score", F.coalesce("source_score", F.lit(0.0)))
+            changes["articles"] = scorer.score(priors).drop("source_score")
+        held.commit(inserts=changes, batch=("feeds", number))
+        rows.unpersist()
 
-def ingest_signals(spark: SparkSession, landing: str, table: VersionedTable, checkpoint: str, every: str | None = None, files_a_batch: int = 100) -> StreamingQuery:
-    """Market files, a file a poll, from `landing` into `table`; the latest batch of an id wins."""
+    return _start(feeds, checkpoint, handle, every)
+
+
+def ingest_signals(spark: SparkSession, landing: str, held: KeyedStore, checkpoint: str, every: str | None = None, files_a_batch: int = 100) -> StreamingQuery:
+    """Market files, a file a poll, from `landing` into a store; the latest batch of an id wins."""
     raw = spark.readStream.schema(MARKET).option("maxFilesPerTrigger", files_a_batch).json(landing).select("*", F.col("_metadata.file_path").alias("poll"))
 
     def handle(batch: DataFrame, number: int) -> None:
         new = signals.normalize(signals.most_traded(batch, "poll")).withColumn("batch", F.lit(number).cast("long"))
-        table.change(lambda old: upsert_latest(old, new, ["id"], "batch"))
+        held.commit(inserts={"signals": new}, batch=("signals", number))
 
     return _start(raw, checkpoint, handle, every)
+
+
+def open_store(spark: SparkSession, root: str) -> KeyedStore:
+    return KeyedStore(spark, root, TABLES)

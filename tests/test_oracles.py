@@ -12,7 +12,6 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 NAMES = [n for n in entry.oracle_sql() if n.startswith("q_")]
-SLOW = {"q_d13_bias_scores", "q_d14_sentiment_scores", "q_a23_metrics"}
 
 
 @pytest.fixture(scope="module")
@@ -41,9 +40,9 @@ def test_matches_duckdb(spark, duck, name):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n.startswith("q_") and n not in NAMES and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in entry.queries() if n.startswith("q_") and n not in NAMES])
 def test_runs_without_oracle(spark, name):
-    assert entry.queries()[name](spark, SF).count() >= 0
+    assert entry.queries()[name](spark, SF).count() > 0
 
 
 def test_entry(spark):

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import models, retrain, tfidf
-from newsloom.operators.store import VersionedTable
 from newsloom.sources import feed_xml
 from newsloom.streaming import ingest
 
@@ -93,11 +92,11 @@ def test_xml_feeds(spark, tmp_path):
 
 def test_xml_stream_writes_each_article_once(spark, tmp_path):
     land(tmp_path / "in")
-    table = VersionedTable(spark, f"file://{tmp_path}/t", ingest.ARTICLE)
+    table = ingest.open_store(spark, f"file://{tmp_path}/t")
     for name in ("1", "2"):  # a poll lands the same entries again
         (tmp_path / "in" / "r" / f"again{name}.xml").write_text(RSS)
         ingest.ingest_feeds(spark, f"file://{tmp_path}/in", table, f"file://{tmp_path}/state", kind="xml").awaitTermination()
-    assert sorted(r["url"] for r in table.read().collect()) == ["https://x/1", "https://x/2", "https://y/1"]
+    assert sorted(r["url"] for r in table.read("articles").collect()) == ["https://x/1", "https://x/2", "https://y/1"]
 
 
 @pytest.mark.parametrize(("cells", "block"), [(64, 2048), (5, 7), (1, 3)])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-from newsloom.operators.store import VersionedTable
 from newsloom.streaming import ingest
 
 
@@ -18,9 +17,9 @@ def entry(n, title="A long headline", **more):
 
 
 def run(spark, tmp_path, landing, name, files):
-    table = VersionedTable(spark, f"file://{tmp_path}/{name}", ingest.ARTICLE)
+    table = ingest.open_store(spark, f"file://{tmp_path}/{name}")
     ingest.ingest_feeds(spark, f"file://{landing}", table, f"file://{tmp_path}/{name}-state", files_a_batch=files).awaitTermination()
-    return {tuple(r) for r in table.read().select("id", "title", "body", "image_url").collect()}
+    return {tuple(r) for r in table.read("articles").select("id", "title", "body", "image_url").collect()}
 
 
 def test_feed_batches_agree(spark, tmp_path):
@@ -37,11 +36,11 @@ def test_signals_keep_the_latest(spark, tmp_path):
     landing = tmp_path / "in"
     market = {"condition_id": "m", "question": " Will it rain? ", "outcomes": '["Yes","No"]', "outcome_prices": '["0.25","0.75"]', "slug": "rain"}
     write(landing, "1.json", [market, market | {"condition_id": "n", "fee_type": "sports_x"}])
-    table = VersionedTable(spark, f"file://{tmp_path}/t", ingest.SIGNAL)
+    table = ingest.open_store(spark, f"file://{tmp_path}/t")
     ingest.ingest_signals(spark, f"file://{landing}", table, f"file://{tmp_path}/state").awaitTermination()
     write(landing, "2.json", [market | {"outcome_prices": '["0.5","0.5"]'}])
     ingest.ingest_signals(spark, f"file://{landing}", table, f"file://{tmp_path}/state").awaitTermination()
-    assert [(r.id, r.question, r.yes_price) for r in table.read().collect()] == [("m", "Will it rain?", 0.5)]
+    assert [(r.id, r.question, r.yes_price) for r in table.read("signals").collect()] == [("m", "Will it rain?", 0.5)]
 
 
 def test_a_poll_gives_the_most_traded(spark, tmp_path):
@@ -51,7 +50,7 @@ def test_a_poll_gives_the_most_traded(spark, tmp_path):
     write(landing, "2.json", [markets[0] | {"condition_id": "other"}])
     seen = []
     for name, files in (("a", 10), ("b", 1)):
-        table = VersionedTable(spark, f"file://{tmp_path}/{name}", ingest.SIGNAL)
+        table = ingest.open_store(spark, f"file://{tmp_path}/{name}")
         ingest.ingest_signals(spark, f"file://{landing}", table, f"file://{tmp_path}/{name}-state", files_a_batch=files).awaitTermination()
-        seen.append({r["id"] for r in table.read().collect()})
+        seen.append({r["id"] for r in table.read("signals").collect()})
     assert seen[0] == seen[1] == {f"m{i:03}" for i in range(4, 205)} - {"m005"} | {"m004", "other"}
