@@ -41,8 +41,10 @@ from newsloom.llm.token_store import LibraryCodec
 PIECE_ENDS = 1 << 17
 #: Bytes of text in a chunk, about; a longer text is a chunk alone.
 CHUNK_BYTES = 16 << 20
+#: Bytes of text that are aligned at once; a step's arrays have some hundred times as many.
+STEP_BYTES = 3 << 19
 #: Units that a worker remembers, and the longest of them in characters.
-MEMO, LONGEST = 400_000, 64
+MEMO, LONGEST = 250_000, 64
 #: More than any vocabulary's ids.
 IDS = 1 << 31
 CHUNK = "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, n_pairs array<int>, places binary, times binary, pair array<long>, docs array<int>"
@@ -228,7 +230,7 @@ def aligned_chunks(docs: DataFrame, json_path: str, model_path: str, pattern: st
         number = TaskContext.get().partitionId() << 32
         chunk = _Chunk(number)
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP_BYTES):
                 chunk.add(part.column(0).to_pylist(), part.column(1).to_pylist(), *sides)
                 if chunk.bytes >= CHUNK_BYTES:
                     yield chunk.row()
