@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.operators import logistic, tfidf
+from newsloom.operators import logistic, stats, tfidf
 from newsloom.operators.logistic import Logistic
 from newsloom.session import settled
 
@@ -121,5 +121,6 @@ def load_text(spark: SparkSession, path: str, version: int) -> TextSpace:
 
 def intensity_thresholds(raw: DataFrame, column: str) -> tuple[float, float]:
     """33rd and 66th percentile of the non-zero values; fixed ones where fewer than max(20, a tenth) are non-zero."""
-    row = raw.agg(F.count(column).alias("n"), F.count_if(F.col(column) > 0).alias("k"), F.percentile(F.when(F.col(column) > 0, F.col(column)), F.array(F.lit(0.33), F.lit(0.66))).alias("p")).first()
-    return (0.005, 0.02) if row["k"] < max(20, row["n"] * 0.1) else tuple(row["p"])
+    some = raw.select(F.col(column).alias("v"))
+    row = some.agg(F.count("v").alias("n"), F.count_if(F.col("v") > 0).alias("k")).first()
+    return (0.005, 0.02) if row["k"] < max(20, row["n"] * 0.1) else tuple(stats.exact_percentiles(some.where("v > 0"), [], "v", [0.33, 0.66]).first()["p"])

@@ -415,8 +415,9 @@ def d11_fallback(spark, sf):
 
 @query
 def a22_percentiles(spark, sf):
-    v = F.when(F.col("value") > 0, F.col("value"))
-    return read_table(spark, sf, "events").groupBy("event_type").agg(F.percentile(v, 0.33).alias("p33"), F.percentile(v, 0.66).alias("p66")).select("event_type", F.round("p33", 4).alias("p33"), F.round("p66", 4).alias("p66"))
+    events = read_table(spark, sf, "events").select("event_type", F.when(F.col("value") > 0, F.col("value")).alias("v"))
+    p = stats.exact_percentiles(events, ["event_type"], "v", [0.33, 0.66])
+    return p.select("event_type", F.round(F.get("p", F.lit(0)), 4).alias("p33"), F.round(F.get("p", F.lit(1)), 4).alias("p66"))
 
 
 @query
