@@ -17,11 +17,14 @@ def _share(hits: Column, total: Column) -> Column:
     return hits / F.greatest(total, F.lit(1))
 
 
-def hits(tokens: Column, lexicon: list[str]) -> Column:
-    return F.size(F.filter(tokens, lambda w: w.isin(*lexicon))) if lexicon else F.lit(0)
+def hits(tokens: Column, lexicon: list[str] | Column) -> Column:
+    """Words of a list among the tokens; a column is their number as counted before (see newsloom.operators.emotions)."""
+    if isinstance(lexicon, Column):
+        return lexicon
+    return F.size(F.filter(tokens, lambda w: w.isin(*lexicon))) if len(lexicon) else F.lit(0)
 
 
-def density(tokens: Column, lexicon: list[str]) -> Column:
+def density(tokens: Column, lexicon: list[str] | Column) -> Column:
     return _share(hits(tokens, lexicon), F.size(tokens))
 
 
@@ -33,19 +36,19 @@ def caps_ratio(text: Column, tokens: Column) -> Column:
     return _share(F.regexp_count(text, F.lit(r"(?U)\b[A-Z]{3,}\b")), F.size(tokens))
 
 
-def bias_vector(text: Column, tokens: Column, source_score: Column, emotion_words: list[str] = ()) -> dict[str, Column]:
+def bias_vector(text: Column, tokens: Column, source_score: Column, emotion_words: list[str] | Column = ()) -> dict[str, Column]:
     """Source prior, emotion share, hedging share, share of quoted characters, exclamations a sentence."""
     quoted = F.aggregate(F.regexp_extract_all(text, F.lit('"[^"]{10,}"'), F.lit(0)), F.lit(0), lambda n, q: n + F.char_length(q))
     return {
         "source_prior": source_score / 5.0,
-        "emotional": density(tokens, list(emotion_words)),
+        "emotional": density(tokens, emotion_words),
         "hedging": density(tokens, C.HEDGING_WORDS),
         "quoted": _share(quoted, F.char_length(text)),
         "exclaim": F.regexp_count(text, F.lit("!")) / sentence_marks(text),
     }
 
 
-def sentiment_vector(text: Column, tokens: Column, lexicon: dict[str, list[str]]) -> dict[str, Column]:
+def sentiment_vector(text: Column, tokens: Column, lexicon: dict[str, list[str] | Column]) -> dict[str, Column]:
     """The 14 sentiment features, in order."""
     found = {c: density(tokens, lexicon.get(c, [])) for c in ("positive", "negative", *C.EMOTIONS)}
     return found | {
@@ -56,16 +59,16 @@ def sentiment_vector(text: Column, tokens: Column, lexicon: dict[str, list[str]]
     }
 
 
-def emotion_breakdown(tokens: Column, lexicon: dict[str, list[str]]) -> dict[str, Column]:
+def emotion_breakdown(tokens: Column, lexicon: dict[str, list[str] | Column]) -> dict[str, Column]:
     return {c: F.least(F.lit(1.0), density(tokens, lexicon.get(c, [])) * 100) for c in C.EMOTIONS}
 
 
-def bootstrap_polarity(tokens: Column, lexicon: dict[str, list[str]]) -> Column:
+def bootstrap_polarity(tokens: Column, lexicon: dict[str, list[str] | Column]) -> Column:
     p, n = hits(tokens, lexicon.get("positive", [])), hits(tokens, lexicon.get("negative", []))
     return (p - n) / (p + n + 1.0)
 
 
-def bootstrap_intensity(text: Column, tokens: Column, lexicon: dict[str, list[str]]) -> Column:
+def bootstrap_intensity(text: Column, tokens: Column, lexicon: dict[str, list[str] | Column]) -> Column:
     d = {c: density(tokens, lexicon.get(c, [])) for c in ("anger", "fear", "disgust")}
     exclaim = F.regexp_count(text, F.lit("!")) / sentence_marks(text)
     return 0.30 * d["anger"] + 0.20 * d["fear"] + 0.20 * d["disgust"] + 0.15 * caps_ratio(text, tokens) + 0.15 * exclaim

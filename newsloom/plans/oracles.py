@@ -164,24 +164,32 @@ TEXTS = f"""texts AS (SELECT doc_id, source_id, bias_score, coalesce(title, '')
 
 
 def share(words: list[str]) -> str:
-    return f"len(list_filter(w, lambda x: list_contains({quoted(words)}, x))) / n" if words else "0.0::DOUBLE"
+    return f"len(list_filter(w, lambda x: list_contains({quoted(words)}, x))) / n"
 
 
-LEX = C.SMALL_LEXICON
-FEATURES = (V.ARTICLES, TEXTS)
-INTENSITY = f"0.30::DOUBLE * ({share(LEX['anger'])}) + 0.20::DOUBLE * ({share(LEX['fear'])}) + 0.20::DOUBLE * ({share(LEX['disgust'])}) + 0.15::DOUBLE * caps / n + 0.15::DOUBLE * bangs / marks"
-POSITIVE, NEGATIVE = (f"len(list_filter(w, lambda x: list_contains({quoted(LEX[c])}, x)))" for c in ("positive", "negative"))
-POLARITY = f"({POSITIVE} - {NEGATIVE}) / ({POSITIVE} + {NEGATIVE} + 1.0::DOUBLE)"
-oracle("a10_lexicon_density", *FEATURES, query="SELECT doc_id, " + ", ".join(f"round({share(w)}, 6) AS {c}" for c, w in LEX.items()) + " FROM sized")
-oracle("d5_linguistic", V.SOURCES, *FEATURES, query=f"""SELECT doc_id, round(allsides_score / 5, 6) AS source_prior, 0.0::DOUBLE AS emotional, round({share(C.HEDGING_WORDS)}, 6) AS hedging,
-    round(coalesce(list_sum(list_transform(regexp_extract_all(t, '"[^"]{{10,}}"'), lambda q: length(q))), 0) / greatest(length(t), 1), 6) AS quoted, round(bangs / marks, 6) AS exclaim FROM sized JOIN sources ON sources.id = source_id""")
-oracle("d7_sentiment_vec", *FEATURES, query="SELECT doc_id, " + ", ".join(f"round({share(LEX[c])}, 6) AS {c}" for c in ("positive", "negative", *C.EMOTIONS))
-       + f", round(caps / n, 6) AS caps, round(bangs / marks, 6) AS exclaim, round(asks / marks, 6) AS question, round({share(LEX['loaded_language'])} * 100, 6) AS loaded FROM sized")
-oracle("d8_emotions", *FEATURES, query="SELECT doc_id, " + ", ".join(f"round(least(1.0::DOUBLE, {share(LEX[c])} * 100), 6) AS {c}" for c in C.EMOTIONS) + " FROM sized")
-oracle("d9_bootstrap", *FEATURES, query=f"SELECT doc_id, round({POLARITY}, 6) AS polarity, round({INTENSITY}, 6) AS intensity FROM sized")
-oracle("d10_classes", *FEATURES, query=f"""SELECT doc_id, (CASE WHEN p < -0.15 THEN 0 WHEN p > 0.15 THEN 2 ELSE 1 END)::BIGINT AS polarity_class, (CASE WHEN i <= 0.005 THEN 0 WHEN i > 0.02 THEN 2 ELSE 1 END)::BIGINT AS intensity_class,
-    (CASE WHEN bias_score < -4 THEN 0 WHEN bias_score < -2 THEN 1 WHEN bias_score < 2 THEN 2 WHEN bias_score < 4 THEN 3 ELSE 4 END)::BIGINT AS bias_class FROM (SELECT doc_id, bias_score, {POLARITY} AS p, round({INTENSITY}, 6) AS i FROM sized)""")
-oracle("d11_fallback", *FEATURES, query=f"SELECT doc_id, round(least(1.0::DOUBLE, i / 0.03::DOUBLE), 3) AS intensity FROM (SELECT doc_id, round({INTENSITY}, 6) AS i FROM sized)")
+#: The derived lexicon: its words with their digests, the words of each category, and each article's hits.
+CATEGORIES = ["positive", "negative", *C.EMOTIONS, "loaded_language"]
+HITS = """used AS (SELECT w, count(*) AS k FROM (SELECT unnest(w) AS w FROM tokens) GROUP BY 1 ORDER BY k DESC, w LIMIT 50000
+), digests AS (SELECT w, sha256(w) AS s FROM used
+), members AS (SELECT DISTINCT w, category FROM (
+    SELECT w, """ + quoted(CATEGORIES) + """[strpos('0123456789abcdef', substr(s, 2, 1))] AS category FROM digests WHERE s < '3'
+    UNION ALL SELECT w, CASE WHEN substr(s, 3, 1) < '4' THEN 'positive' WHEN substr(s, 3, 1) < '8' THEN 'negative' END FROM digests WHERE s < '3') WHERE category IS NOT NULL
+), hits AS (SELECT doc_id, """ + ", ".join(f"count(*) FILTER (category = '{c}') AS h_{c}" for c in CATEGORIES) + """ FROM (SELECT doc_id, unnest(w) AS w FROM tokens) JOIN members USING (w) GROUP BY 1
+), scored AS (SELECT sized.*, """ + ", ".join(f"coalesce(h_{c}, 0)::DOUBLE AS {c}" for c in CATEGORIES) + """ FROM sized LEFT JOIN hits USING (doc_id))"""
+FEATURES = (V.ARTICLES, TEXTS, HITS)
+INTENSITY = "0.30::DOUBLE * anger / n + 0.20::DOUBLE * fear / n + 0.20::DOUBLE * disgust / n + 0.15::DOUBLE * caps / n + 0.15::DOUBLE * bangs / marks"
+POLARITY = "(positive - negative) / (positive + negative + 1.0::DOUBLE)"
+oracle("s9_lexicon", *FEATURES, query="SELECT category, count(*) AS n, min(w) AS first, max(w) AS last FROM members GROUP BY 1")
+oracle("a10_lexicon_density", *FEATURES, query="SELECT doc_id, " + ", ".join(f"round({c} / n, 6) AS {c}" for c in CATEGORIES) + " FROM scored")
+oracle("d5_linguistic", V.SOURCES, *FEATURES, query=f"""SELECT doc_id, round(allsides_score / 5, 6) AS source_prior, round(negative / n, 6) AS emotional, round({share(C.HEDGING_WORDS)}, 6) AS hedging,
+    round(coalesce(list_sum(list_transform(regexp_extract_all(t, '"[^"]{{10,}}"'), lambda q: length(q))), 0) / greatest(length(t), 1), 6) AS quoted, round(bangs / marks, 6) AS exclaim FROM scored JOIN sources ON sources.id = source_id""")
+oracle("d7_sentiment_vec", *FEATURES, query="SELECT doc_id, " + ", ".join(f"round({c} / n, 6) AS {c}" for c in CATEGORIES[:-1])
+       + ", round(caps / n, 6) AS caps, round(bangs / marks, 6) AS exclaim, round(asks / marks, 6) AS question, round(loaded_language / n * 100, 6) AS loaded FROM scored")
+oracle("d8_emotions", *FEATURES, query="SELECT doc_id, " + ", ".join(f"round(least(1.0::DOUBLE, {c} / n * 100), 6) AS {c}" for c in C.EMOTIONS) + " FROM scored")
+oracle("d9_bootstrap", *FEATURES, query=f"SELECT doc_id, round({POLARITY}, 6) AS polarity, round({INTENSITY}, 6) AS intensity FROM scored")
+oracle("d10_classes", *FEATURES, query=f"""SELECT doc_id, (CASE WHEN p < -0.15 THEN 0 WHEN p > 0.15 THEN 2 ELSE 1 END)::BIGINT AS polarity_class, (CASE WHEN i <= 0.02 THEN 0 WHEN i > 0.03 THEN 2 ELSE 1 END)::BIGINT AS intensity_class,
+    (CASE WHEN bias_score < -4 THEN 0 WHEN bias_score < -2 THEN 1 WHEN bias_score < 2 THEN 2 WHEN bias_score < 4 THEN 3 ELSE 4 END)::BIGINT AS bias_class FROM (SELECT doc_id, bias_score, {POLARITY} AS p, round({INTENSITY}, 6) AS i FROM scored)""")
+oracle("d11_fallback", *FEATURES, query=f"SELECT doc_id, round(least(1.0::DOUBLE, i / 0.03::DOUBLE), 3) AS intensity FROM (SELECT doc_id, round({INTENSITY}, 6) AS i FROM scored)")
 oracle("a22_percentiles", query="SELECT event_type, round(quantile_cont(value, 0.33) FILTER (value > 0), 4) AS p33, round(quantile_cont(value, 0.66) FILTER (value > 0), 4) AS p66 FROM events GROUP BY 1")
 oracle("d2_norm_title", V.ARTICLES, query=f"SELECT doc_id, {norm('title')} AS title_key FROM articles")
 oracle("d3_ids", V.ARTICLES, query="SELECT doc_id, substr(sha256(source_id || ':' || url), 1, 16) AS article_id FROM articles")

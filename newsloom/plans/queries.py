@@ -13,11 +13,12 @@ from newsloom.functions import features as X
 from newsloom.functions import labels as L
 from newsloom.functions import text as T
 from newsloom.functions import weather as W
-from newsloom.operators import cluster, feed, markets, models, retrain, scoring, signals, stats, store, stories, summarize, tfidf
+from newsloom.operators import cluster, emotions, feed, markets, models, retrain, scoring, signals, stats, store, stories, summarize, tfidf
 from newsloom.operators import weather as hourly
 from newsloom.session import read_table, settled, shared_folder
 from newsloom.sources import fixtures as S
 from newsloom.sources import feed_xml, payloads
+from newsloom.sources.lexicon import read_tsv_lexicon, write_tsv_lexicon
 from newsloom.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -375,42 +376,63 @@ def _rounded(columns: dict[str, Column]) -> list[Column]:
     return [six(c).alias(name) for name, c in columns.items()]
 
 
+def _lexicon_features(spark, sf) -> tuple[DataFrame, dict[str, Column]]:
+    """Articles with text and tokens and their hits in a lexicon of thousands of words, which goes through its file layout."""
+    rows = _features(spark, sf)
+    path = write_tsv_lexicon(S.lexicon(rows.select("tokens")), f"{shared_folder(spark)}/lexicon-{uuid.uuid4().hex}")
+    return emotions.counted(rows, "doc_id", "tokens", read_tsv_lexicon(spark, path, S.LEXICON_CATEGORIES), S.LEXICON_CATEGORIES)
+
+
 @query
 def a10_lexicon_density(spark, sf):
-    return _features(spark, sf).select("doc_id", *_rounded({c: X.density(F.col("tokens"), w) for c, w in LEXICON.items()}))
+    rows, hits = _lexicon_features(spark, sf)
+    return rows.select("doc_id", *_rounded({c: X.density(F.col("tokens"), w) for c, w in hits.items()}))
+
+
+@query
+def s9_lexicon(spark, sf):
+    """Words of each category, as read from the file."""
+    path = write_tsv_lexicon(S.lexicon(_features(spark, sf).select("tokens")), f"{shared_folder(spark)}/lexicon-{uuid.uuid4().hex}")
+    return read_tsv_lexicon(spark, path, S.LEXICON_CATEGORIES).groupBy("category").agg(F.count("*").alias("n"), F.min("word").alias("first"), F.max("word").alias("last"))
 
 
 @query
 def d5_linguistic(spark, sf):
-    rows = feed.enrich(_features(spark, sf), S.sources(spark, sf))
-    return rows.select("doc_id", *_rounded(X.bias_vector(F.col("full_text"), F.col("tokens"), F.col("source_score"))))
+    rows, hits = _lexicon_features(spark, sf)
+    return feed.enrich(rows, S.sources(spark, sf)).select("doc_id", *_rounded(X.bias_vector(F.col("full_text"), F.col("tokens"), F.col("source_score"), hits["negative"])))
 
 
 @query
 def d7_sentiment_vec(spark, sf):
-    return _features(spark, sf).select("doc_id", *_rounded(X.sentiment_vector(F.col("full_text"), F.col("tokens"), LEXICON)))
+    rows, hits = _lexicon_features(spark, sf)
+    return rows.select("doc_id", *_rounded(X.sentiment_vector(F.col("full_text"), F.col("tokens"), hits)))
 
 
 @query
 def d8_emotions(spark, sf):
-    return _features(spark, sf).select("doc_id", *_rounded(X.emotion_breakdown(F.col("tokens"), LEXICON)))
+    rows, hits = _lexicon_features(spark, sf)
+    return rows.select("doc_id", *_rounded(X.emotion_breakdown(F.col("tokens"), hits)))
+
+
+def _bootstrapped(spark, sf) -> DataFrame:
+    rows, hits = _lexicon_features(spark, sf)
+    return rows.select("doc_id", "bias_score", X.bootstrap_polarity(F.col("tokens"), hits).alias("polarity"), X.bootstrap_intensity(F.col("full_text"), F.col("tokens"), hits).alias("intensity"))
 
 
 @query
 def d9_bootstrap(spark, sf):
-    return _features(spark, sf).select("doc_id", *_rounded({"polarity": X.bootstrap_polarity(F.col("tokens"), LEXICON), "intensity": X.bootstrap_intensity(F.col("full_text"), F.col("tokens"), LEXICON)}))
+    return _bootstrapped(spark, sf).select("doc_id", *_rounded({c: F.col(c) for c in ("polarity", "intensity")}))
 
 
 @query
 def d10_classes(spark, sf):
-    rows = _features(spark, sf).select("doc_id", "bias_score", X.bootstrap_polarity(F.col("tokens"), LEXICON).alias("p"), six(X.bootstrap_intensity(F.col("full_text"), F.col("tokens"), LEXICON)).alias("i"))
     as_long = lambda c: c.cast("long")
-    return rows.select("doc_id", as_long(X.polarity_class(F.col("p"))).alias("polarity_class"), as_long(X.intensity_class(F.col("i"), 0.005, 0.02)).alias("intensity_class"), as_long(X.bias_class(F.col("bias_score"))).alias("bias_class"))
+    return _bootstrapped(spark, sf).select("doc_id", as_long(X.polarity_class(F.col("polarity"))).alias("polarity_class"), as_long(X.intensity_class(six(F.col("intensity")), 0.02, 0.03)).alias("intensity_class"), as_long(X.bias_class(F.col("bias_score"))).alias("bias_class"))
 
 
 @query
 def d11_fallback(spark, sf):
-    return _features(spark, sf).select("doc_id", X.fallback_intensity(six(X.bootstrap_intensity(F.col("full_text"), F.col("tokens"), LEXICON)), 0.02).alias("intensity"))
+    return _bootstrapped(spark, sf).select("doc_id", X.fallback_intensity(six(F.col("intensity")), 0.02).alias("intensity"))
 
 
 @query

@@ -144,3 +144,18 @@ def pollutants(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = events.select(F.col("event_id").alias("reading_id"), "ts", name.alias("pollutant"), "value")
     co = events.where("event_type = 'view' and event_id % 2 = 0").select(F.col("event_id").alias("reading_id"), "ts", F.lit("co").alias("pollutant"), (F.col("value") * 100).alias("value"))
     return first.unionByName(co)
+
+
+#: Categories of the derived lexicon, and the words that it is chosen from: the most frequent ones.
+LEXICON_CATEGORIES = ["positive", "negative", "anger", "fear", "joy", "sadness", "disgust", "trust", "anticipation", "surprise", "loaded_language"]
+LEXICON_WORDS = 50_000
+
+
+def lexicon(tokens: DataFrame) -> DataFrame:
+    """category, word: of the most frequent words of tokens (an array column) those whose digest begins with 0, 1 or 2. The
+    digest's second digit is the word's category, if there are so many; its third makes it positive (0 to 3) or negative (4 to 7) too."""
+    ranked = tokens.select(F.explode(tokens.columns[0]).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(LEXICON_WORDS)
+    digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring(F.sha2("word", 256), i, 1)) - 1
+    more = F.when(digit(3) < 4, "positive").when(digit(3) < 8, "negative")
+    categories = F.array_distinct(F.array_compact(F.array(pick(LEXICON_CATEGORIES, digit(2)), more)))
+    return ranked.where(digit(1) < 3).select(F.explode(categories).alias("category"), "word")

@@ -21,3 +21,9 @@ def read_tsv_lexicon(spark: SparkSession, path: str, categories: list[str]) -> D
 def as_dict(lexicon: DataFrame) -> dict[str, list[str]]:
     """The lexicon for feature expressions; a lexicon is a small table by nature (some thousand words)."""
     return {r["category"]: sorted(r["words"]) for r in lexicon.groupBy("category").agg(F.collect_set("word").alias("words")).collect()}
+
+
+def write_tsv_lexicon(lexicon: DataFrame, path: str) -> str:
+    """A lexicon (category, word) in the layout that read_tsv_lexicon reads."""
+    lexicon.select("word", "category", F.lit(1).alias("flag")).write.csv(path, sep="\t", quote="", escape="")
+    return path
