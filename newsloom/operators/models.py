@@ -41,10 +41,9 @@ def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
     return rows.withColumn("features", F.struct(at.alias("at"), F.array(*[F.col(c).cast("double") for c in features]).alias("w")))
 
 
-def fit_text(docs: DataFrame, key: str, text: str, most_terms: int = MOST_TERMS) -> TextSpace:
+def fit_text(docs: DataFrame, text: str, most_terms: int = MOST_TERMS) -> TextSpace:
     """The most frequent words and pairs without stop words in two documents at least."""
-    counts = tfidf.terms(docs, key, text, tfidf.stop_words(), bigrams=True)
-    vocab = tfidf.vocabulary(counts, 2, most_terms)
+    vocab = tfidf.frequent_terms(docs, text, tfidf.stop_words(), most_terms)
     placed = vocab.select("term", "df", (F.row_number().over(Window.orderBy("term")) - 1).alias("at"))  # one task, most_terms rows
     return TextSpace(settled(placed), docs.count())
 

@@ -16,7 +16,7 @@ def bias_rows(articles: DataFrame, lexicon: list[str], space: TextSpace | None =
     read = X.feature_table(articles)
     vector = X.bias_vector(F.col("full_text"), F.col("tokens"), F.col("source_score"), lexicon)
     docs = read.select("id", "full_text")
-    space = space or models.fit_text(docs, "id", "full_text")
+    space = space or models.fit_text(docs, "full_text")
     made = read.select("id", "source_score", *columns, *[c.alias(n) for n, c in vector.items()])
     return models.assemble_text(made, list(vector), docs, "id", "full_text", space).select("id", "source_score", *columns, "features"), space
 

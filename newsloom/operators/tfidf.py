@@ -5,12 +5,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.session import settled
+
 TOKEN = r"(?U)\b\w\w+\b"
 #: Cells of dense vectors and vectors of a block.
 CELLS, BLOCK = 64, 2048
+#: Rows of a prefix term that meet the others in one group of cosine_pairs.
+PREFIX_ROWS = 2000
+#: Counters of frequent_terms' sketch.
+COUNTERS = 1 << 22
 
 
 def stop_words() -> list[str]:
@@ -18,21 +24,58 @@ def stop_words() -> list[str]:
     return sorted({part for w in StopWordsRemover.loadDefaultStopWords("english") for part in w.split("'") if len(part) > 1})
 
 
+def _tokens(docs: DataFrame, text: str, keep: list[str], stop: list[str]) -> DataFrame:
+    """`keep` columns of docs and w, the words of two letters or more without stop words."""
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
+    return docs.select(*keep, (F.filter(tokens, lambda w: ~w.isin(*stop)) if stop else tokens).alias("w"))
+
+
+def _pairs() -> Column:
+    """Pairs of neighbours in w."""
+    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 1)), F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 1)), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+
 def terms(docs: DataFrame, key: str, text: str, stop: list[str] = (), bigrams: bool = False, known: DataFrame | None = None) -> DataFrame:
     """key, term, tf: words of two letters or more, without stop words, and pairs of neighbours among those.
 
     known: a vocabulary of bounded size; with it only its terms are counted, with its other columns, and no other term is shuffled."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
-    held = docs.select(key, (F.filter(tokens, lambda w: ~w.isin(*stop)) if stop else tokens).alias("w"))
+    held = _tokens(docs, text, [key], stop)
     if bigrams:
-        pairs = F.zip_with(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 1)), F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 1)), lambda a, b: F.concat_ws(" ", a, b))
-        held = held.select(key, F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>"))).alias("w"))
+        held = held.select(key, F.concat("w", _pairs()).alias("w"))
     found = held.select(key, F.explode("w").alias("term"))
     if known is None:
         return found.groupBy(key, "term").agg(F.count("*").alias("tf"))
     return found.join(F.broadcast(known), "term").groupBy(key, *known.columns).agg(F.count("*").alias("tf"))
 
 
+def _frequencies(held: DataFrame, array: Column) -> DataFrame:
+    """term, df, cf of an array column, a row a document; counted where the rows are before terms are shuffled."""
+    every = lambda of, cf, df: F.transform(of, lambda t: F.struct(t.alias("term"), F.lit(cf).alias("cf"), F.lit(df).alias("df")))
+    rows = held.select(F.explode(F.concat(every(array, 1, 0), every(F.array_distinct(array), 0, 1))).alias("r"))
+    return rows.groupBy("r.term").agg(F.sum("r.df").alias("df"), F.sum("r.cf").alias("cf"))
+
+
+def frequent_terms(docs: DataFrame, text: str, stop: list[str] = (), most_terms: int = 5000, least_docs: int = 2, counters: int = COUNTERS) -> DataFrame:
+    """term, df of the most_terms most frequent words and pairs, just as `vocabulary` of `terms` with bigrams gives them.
+
+    Words are counted first; the least frequent of the most_terms best words is a floor for all terms. Pairs are added up by
+    a hash into so many counters, and none whose counter stays below the floor can be among the best. Only the others, a small
+    part of all pairs, are counted by name, exactly."""
+    held = _tokens(docs, text, [], stop)
+    words = _frequencies(held, F.col("w")).where(F.col("df") >= least_docs)
+    best = settled(words.orderBy(F.desc("cf"), "term").limit(most_terms))
+    seen = best.agg(F.count("*").alias("n"), F.min("cf").alias("least")).first()
+    floor = seen["least"] if seen["n"] == most_terms else least_docs
+    pairs = held.select(_pairs().alias("p"))
+    slot = F.pmod(F.xxhash64("term"), F.lit(counters)).cast("int").alias("slot")
+    full = pairs.select(F.explode("p").alias("term")).groupBy(slot).agg(F.count("*").alias("n")).where(F.col("n") >= floor).select("slot")
+    kept = pairs.withColumn("_i", F.monotonically_increasing_id()).select("_i", F.explode("p").alias("term")).withColumn("slot", slot).join(F.broadcast(full), "slot")  # no more rows than counters
+    # a document's pairs are one task's, so its repeats are told apart by counting them there first
+    counted = kept.groupBy("_i", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= least_docs)
+    return best.unionByName(counted).orderBy(F.desc("cf"), "term").limit(most_terms).select("term", "df")
+
+
 def vocabulary(counts: DataFrame, least_docs: int = 2, most_terms: int | None = None) -> DataFrame:
     """term, df: terms of enough documents; the most_terms most frequent, by name on ties."""
     by = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= least_docs)
@@ -57,12 +100,19 @@ def cosine_pairs(weighted: DataFrame, key: str, least: float) -> DataFrame:
 
     Exact prefix filtering: with terms in one order, rarest first, a vector's prefix ends where what follows is
     shorter than `least`. Vectors that share no prefix term have a smaller cosine, so candidates come from an
-    equi-join on prefix terms, which the commonest terms hardly ever are; full cosines follow for candidates."""
+    equi-join on prefix terms, which the commonest terms hardly ever are. From the first term that two vectors share on,
+    their cosine is at most the product of its weights plus that of the lengths of what follows it in both; pairs for which that
+    is too little are dropped in the join. A prefix term of many vectors is dealt to groups of PREFIX_ROWS of
+    them, each of which meets all of them, so no group grows with the term. Full cosines follow for candidates."""
     frequency = weighted.groupBy("term").agg(F.count("*").alias("df"))
     rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key).orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing))
-    prefix = weighted.join(frequency, "term").withColumn("rest", rest).where(F.col("rest") >= (1 - 1e-9) * least * least).select(key, "term")
-    a, b = (prefix.select(F.col(key).alias(side), "term") for side in ("a", "b"))
-    candidates = a.join(b, "term").where("a < b").select("a", "b").distinct()
+    prefix = weighted.join(frequency, "term").withColumn("rest", rest).where(F.col("rest") >= (1 - 1e-9) * least * least).select(key, "term", "w", F.sqrt(F.greatest(F.lit(0.0), F.col("rest") - F.col("w") * F.col("w"))).alias("after"))
+    groups = prefix.groupBy("term").agg(F.ceil(F.count("*") / PREFIX_ROWS).cast("int").alias("groups"))
+    dealt = prefix.join(groups, "term")
+    a = dealt.select(F.col(key).alias("a"), "term", F.pmod(F.xxhash64(key), "groups").cast("int").alias("group"), F.col("w").alias("wa"), F.col("after").alias("after_a"))
+    b = dealt.select(F.col(key).alias("b"), "term", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.col("w").alias("wb"), F.col("after").alias("after_b"))
+    enough = F.col("wa") * F.col("wb") + F.col("after_a") * F.col("after_b") >= least - 1e-9
+    candidates = a.join(b, ["term", "group"]).where((F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
     left, right = (weighted.select(F.col(key).alias(side), "term", F.col("w").alias(f"w{side}")) for side in ("a", "b"))
     met = candidates.join(left, "a").join(right, ["b", "term"])
     return met.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") > least)

@@ -518,8 +518,8 @@ def d16_story_groups(spark, sf):
 
 def _text_weights(docs: DataFrame, key: str, text: str, most_terms: int) -> DataFrame:
     """Sublinear weights of words and pairs without stop words, in two documents at least."""
-    counts = tfidf.terms(docs, key, text, tfidf.stop_words(), bigrams=True)
-    return tfidf.weights(counts, tfidf.vocabulary(counts, 2, most_terms), key, docs.count(), sublinear=True)
+    known = settled(tfidf.frequent_terms(docs, text, tfidf.stop_words(), most_terms))
+    return tfidf.weigh(tfidf.terms(docs, key, text, tfidf.stop_words(), bigrams=True, known=known), key, docs.count(), sublinear=True)
 
 
 def _votes(spark, sf, dimension: str, name: str) -> DataFrame:

@@ -96,7 +96,7 @@ TEXTS = ["Storm warning for the northern coast", "storm warning lifted, northern
 
 def test_text_features(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
-    space = models.fit_text(docs, "id", "text", most_terms=6)
+    space = models.fit_text(docs, "text", most_terms=6)
     stop, held = set(tfidf.stop_words()), {}
     for i, t in enumerate(TEXTS):
         words = [w for w in re.findall(r"\b\w\w+\b", (t or "").lower()) if w not in stop]
@@ -115,7 +115,7 @@ def test_text_features(spark):
 
 def test_saved_models_know_their_terms(spark, tmp_path):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
-    space = models.fit_text(docs, "id", "text")
+    space = models.fit_text(docs, "text")
     rows = models.assemble_text(docs.withColumns({"x": F.lit(1.0), "label": (F.col("id") % 2 * 4).cast("int")}), ["x"], docs, "id", "text", space)
     got = models.train(rows, models.BIAS_VALUES)
     models.save(spark, got, f"file://{tmp_path}", 3, space)
