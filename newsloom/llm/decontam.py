@@ -247,7 +247,7 @@ class Matcher:
     def __init__(self, items: Items, latent: Latent, cosine: float, likely: float, sure: float):
         self.items, self.latent = items, latent
         self.cosine, self.likely, self.sure = cosine, likely, sure
-        self.place = np.full((len(items.ids), len(items.vocabulary) + 1), -1, np.int16)  # a word's place among an item's own words
+        self.place = np.full((len(items.ids), len(items.vocabulary) + 1), -1, np.int16 if max(map(len, items.codes), default=0) < 1 << 15 else np.int32)  # a word's place among an item's own words
         self.needed = np.array([likely * len(codes) - 1e-9 for codes in items.codes])
         self.counts = []
         for k, codes in enumerate(items.codes):
@@ -355,7 +355,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = -1.0, like
 
 
 def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[Items]:
-    answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
+    answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     rows: list[tuple] = []
     for row in benchmark.where("item_id is not null").select("item_id", "text", answer.alias("answer")).orderBy("item_id", "text").toLocalIterator():
         rows.append(tuple(row))

@@ -9,7 +9,9 @@
    beside it. Two passes over the tree's edges give all of them.
 4. Fusing: scores fall with the share of a path's text that is inside links (headings apart), and with classes,
    ids and roles that name boilerplate on the way to it: much if that is all that a name says (`ad-box`), by half
-   if it says something else too (`ad-hoc`).
+   if it says something else too (`ad-hoc`). The article or main element's own names count only where they tell of
+   comments. Names apart, comments are seen by their form: elements of one path, two or more, of which nearly all have an
+   author or a time of their own, and which hold less than half of the page's prose.
 5. Threshold, as a share of the page's best score: low within the article, which is the article or main element
    if these hold a fair share of the page's prose, else the element around the best path's blocks; higher
    outside, where scores also count less if the page has such an element.
@@ -56,9 +58,12 @@ PARTS = frozenset(
     "stories story tag text thread title top unit wrap wrapper".split()
 )
 CONTENT = frozenset(("article", "main"))
-#: Words that a content element may have without being boilerplate, and words beside which a header belongs to the article.
-LAYOUT = frozenset("header menu nav sidebar footer share social".split())
+#: Words that tell even of a content element that it is none, and words beside which a header belongs to the article.
+COMMENTS = frozenset("ad ads advert advertisement comment comments discussion disqus promo promoted promotion related respond replies sponsored".split())
 ARTICLE_WORDS = frozenset("article content entry headline post story".split())
+#: Words of classes and the like that name an author, and the share of a path's elements that have one, or a time, in a list of comments.
+AUTHORS = frozenset("author authors avatar byline commenter poster username user".split())
+SIGNED, MOST_PROSE = 0.8, 0.5
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Decay of a ratio with each step, inside and outside the article; the shares of the best score that a path needs there.
 NEAR, FAR, LOW, HIGH = 0.5, 0.2, 0.01, 0.05
@@ -74,7 +79,7 @@ def name_weight(tag: str, named: str) -> float:
     """What the class, id and role of an element leave of its score."""
     if not named or tag in ("html", "body", "main"):
         return 1.0
-    allowed = LAYOUT if tag in CONTENT else frozenset()
+    allowed = NAMES - COMMENTS if tag in CONTENT else frozenset()
     weight = 1.0
     for name in _having.sub(" ", named).split():
         words = set(_names.findall(name))
@@ -101,6 +106,8 @@ class Element:
     skipped: bool
     inline: bool
     block: Block | None = None
+    turn: int = 0  # in which the block was begun
+    signed: bool = False
 
 
 class PathTree:
@@ -110,6 +117,7 @@ class PathTree:
         self.parent, self.heading, self.content, self.weight = [-1], [False], [False], [1.0]
         self.number: dict[tuple[int, str], int] = {}
         self.root = [True]  # html and body, which no article ends with
+        self.elements, self.signed = [0], [0]  # how many there are of each path, and how many with an author or a time
 
     def child(self, parent: int, tag: str, label: str, weight: float) -> int:
         key = (parent, label)
@@ -120,6 +128,8 @@ class PathTree:
             self.content.append(self.content[parent] or tag in CONTENT)
             self.weight.append(weight if tag == "main" else weight * self.weight[parent])
             self.root.append(tag in ("html", "body"))
+            self.elements.append(0)
+            self.signed.append(0)
         return self.number[key]
 
     def smoothed(self, values: list[float], decay: float) -> list[float]:
@@ -141,22 +151,25 @@ class PageReader(HTMLParser):
         self.paths = PathTree()
         self.stack = [Element("", 0, False, False)]
         self.open_tags: Counter[str] = Counter()
-        self.links = 0
+        self.links = self.turn = 0
         self.blocks: list[Block] = []
 
     def _close_to(self, at: int) -> None:
         ended = self.stack[at:]
         del self.stack[at:]
+        signed = False
+        for element in reversed(ended):
+            signed = signed or element.signed
+            self.paths.elements[element.path] += 1
+            self.paths.signed[element.path] += signed
+        self.stack[-1].signed |= signed
         self.open_tags.subtract(e.tag for e in ended)
         if not all(e.inline for e in ended):
             self._end_block()
 
     def _end_block(self) -> None:
-        """What follows starts a new block, in the inline elements that are open and in the block element around them."""
-        for element in reversed(self.stack):
-            element.block = None
-            if not element.inline:
-                break
+        """What follows starts a new block: one that was begun before this turn is not gone on with."""
+        self.turn += 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -168,6 +181,8 @@ class PageReader(HTMLParser):
             weight = name_weight(tag, named)
             hidden = any(k == "hidden" for k, _ in attrs)
             label = f"{tag}.{'.'.join(sorted(set(_names.findall(named))))}" if named else tag
+        if tag == "time" or named and AUTHORS.intersection(_names.findall(named)):
+            self.stack[-1].signed = True
         inline = tag in INLINE
         if tag == "a":
             self.links += 1
@@ -208,16 +223,28 @@ class PageReader(HTMLParser):
         top = self.stack[-1]
         if top.skipped:
             return
-        if top.block is None:
+        if top.block is None or top.turn != self.turn:
             if not data.strip():
                 return
-            top.block = Block(top.path)
+            top.block, top.turn = Block(top.path), self.turn
             self.blocks.append(top.block)
         top.block.parts.append(data)
         if self.links:
             top.block.linked += len(" ".join(data.split()))
 
 
+def comment_lists(paths: PathTree, prose: list[float]) -> list[bool]:
+    """For each path whether it is one of comments by their form, or below one."""
+    below = list(prose)
+    for p in range(len(below) - 1, 0, -1):
+        below[paths.parent[p]] += below[p]
+    found = [False] * len(below)
+    for p in range(1, len(below)):
+        own = paths.elements[p] > 1 and paths.signed[p] >= SIGNED * paths.elements[p] and below[p] < MOST_PROSE * below[0]
+        found[p] = found[paths.parent[p]] or own
+    return found
+
+
 def content_paths(paths: PathTree, blocks: list[Block]) -> set[int]:
     """The paths whose smoothed and fused ratio reaches its threshold."""
     size = len(paths.parent)
@@ -229,7 +256,8 @@ def content_paths(paths: PathTree, blocks: list[Block]) -> set[int]:
         linked[block.path] += block.linked
     used = [p for p in range(size) if n[p]]
     ratio = [chars[p] / n[p] * (1 + marks[p] / n[p]) if n[p] else 0.0 for p in range(size)]
-    weight = [paths.weight[p] * (1.0 if paths.heading[p] or not n[p] else max(LINKED, 1 - linked[p] / chars[p])) for p in range(size)]
+    comments = comment_lists(paths, [r * k for r, k in zip(ratio, n, strict=True)])
+    weight = [paths.weight[p] * (TELLING if comments[p] else 1.0) * (1.0 if paths.heading[p] or not n[p] else max(LINKED, 1 - linked[p] / chars[p])) for p in range(size)]
     ratio = [r * w for r, w in zip(ratio, weight, strict=True)]
     if not any(paths.weight[p] > TELLING for p in used):
         return set()
@@ -256,6 +284,7 @@ def main_text(html: str | None) -> str:
     reader = PageReader()
     reader.feed(html)
     reader.close()
+    reader._close_to(1)
     for block in reader.blocks:
         block.text = " ".join("".join(block.parts).split())
     blocks = [b for b in reader.blocks if b.text]

@@ -354,3 +354,43 @@ def test_time_grows_in_proportion(html):
 
 def test_pages_of_boilerplate_only_are_empty():
     assert html_extract.main_text(f"<div class='ad'>{ARTICLE}</div><nav>{ARTICLE}</nav>") == ""
+
+
+COMMENT_BODY = "".join(f"<div class=c><span class=author>Reader {i}</span> <time>1 May</time><p>I think, as a reader, that this is so, and that much more could be said, number {i}.</p></div>" for i in range(3))
+STORY = "".join(f"<p>Paragraph {i} of the story, which goes on for a while, tells what happened, and says why it did.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("name", ["responses", "thread-reply", "feedback", "user-posts", "opinions"])
+def test_comments_by_their_form(name):
+    page = f"<html><body><article><h1>Title of it</h1><p class=byline>By <span class=author>A. Writer</span> <time>2 May</time></p>{STORY}<section class='{name}'>{COMMENT_BODY}</section></article></body></html>"
+    text = html_extract.main_text(page)
+    assert "Reader" not in text and "I think" not in text
+    assert text.count("Paragraph") == 6 and "Title of it" in text
+
+
+@pytest.mark.parametrize("name", ["form", "share nav", "sidebar", "newsletter", "banner"])
+def test_a_content_element_is_kept_whatever_its_name(name):
+    assert html_extract.main_text(f"<body><nav>Home</nav><article class='{name}'>{STORY}</article></body>").count("Paragraph") == 6
+
+
+def test_comments_in_articles_of_their_own():
+    text = html_extract.main_text(f"<body><article>{STORY}</article>" + "".join(f"<article class=comment><p>Thanks, good story, number {i}.</p></article>" for i in range(3)) + "</body>")
+    assert text.count("Paragraph") == 6 and "Thanks" not in text
+
+
+def test_a_page_of_signed_sections_is_kept():
+    sections = "".join(f"<section><h2>Part {i}</h2><time>3 May</time><p>Paragraph {i} of the story, which goes on for a while, and says why.</p></section>" for i in range(4))
+    assert html_extract.main_text(f"<body><article>{sections}</article></body>").count("Paragraph") == 4
+
+
+def test_open_named_inline_elements_take_linear_time():
+    began = time.perf_counter()
+    html_extract.main_text("<span class=ad>" * 20_000 + "<hr>x" * 20_000)
+    assert time.perf_counter() - began < 3
+
+
+def test_an_answer_may_be_a_number(spark):
+    words = " ".join(f"word{i}" for i in range(30))
+    items = spark.createDataFrame([(1, words, 17)], "item_id long, text string, answer int")
+    docs = spark.createDataFrame([(5, f"before {words} 17 behind"), (6, "other words")], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontam.find_leaks(docs, items).collect()] == [5]
