@@ -109,6 +109,13 @@ def keywords_of(symbol: str) -> list[str]:
     return [base] if base else []
 
 
+def symbol_keywords(symbol: Column) -> Column:
+    """keywords_of as an expression."""
+    listed = F.create_map(*[x for s, words in C.SYMBOL_KEYWORDS.items() for x in (F.lit(s), F.array(*map(F.lit, words)))])
+    base = F.ltrim(F.split_part(symbol, F.lit("="), F.lit(1)), F.lit("^"))
+    return F.coalesce(F.try_element_at(listed, symbol), F.when(base != "", F.array(base)).otherwise(F.array().cast("array<string>")))
+
+
 def sentiment_summary(articles: DataFrame) -> DataFrame:
     """Counts and averages of tone and bias over articles."""
     s, b = F.col("sentiment_score"), F.col("bias_score")

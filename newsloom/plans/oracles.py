@@ -71,7 +71,7 @@ oracle("f20_shown_scores", V.SOURCES, V.ARTICLES, query="""SELECT a.id, round(co
         round(coalesce(a.sentiment_score, 0.0), 6) AS shown_sentiment, round(coalesce(a.intensity_score, 0.0), 6) AS shown_intensity
     FROM articles a LEFT JOIN sources s ON a.source_id = s.id""")
 oracle("s11_lookup", V.ARTICLES, query="SELECT id, source_id, title FROM articles WHERE doc_id = 7")
-oracle("a5_has_version", query="SELECT true AS has_version")
+oracle("a5_has_version", V.FEEDBACK, V.VERSIONS, query="SELECT count(*) > 0 AS has_version FROM versions")
 oracle("j2_source_stats", V.SOURCES, query="""SELECT s.id, s.name, f.article_count, f.error_count FROM sources s LEFT JOIN (
         SELECT source, count(*) AS article_count, count(*) FILTER (doc_id % 5 = 0) AS error_count FROM documents WHERE source <> 'src3' GROUP BY 1) f ON f.source = s.id""")
 MEMBERS = "SELECT group_id, len(article_ids) AS group_size, unnest(article_ids) AS id, unnest(range(len(article_ids))) AS pos FROM story_groups"
@@ -149,10 +149,10 @@ for _sort, _key in {"movers": "abs(coalesce(yes_change_24h, 0)) DESC", "volume":
         FROM (SELECT * FROM markets m WHERE end_date IS NULL OR end_date >= TIMESTAMP '2024-01-15 00:00:00' ORDER BY {_key}, id LIMIT 40)""")
 oracle("a1_category_counts", V.MARKETS, query="SELECT category, count(*) AS n FROM markets WHERE category IS NOT NULL GROUP BY 1")
 oracle("a2_meta", V.MARKETS, query=f"SELECT count(*) AS total, strftime(max(last_updated), {TS}) AS last_updated FROM markets")
-oracle("a4_since_retrain", V.FEEDBACK, query="SELECT count(*) AS pending FROM feedback WHERE created_at > TIMESTAMP '2024-01-20 06:00:00'")
-oracle("a6_latest_version", query="SELECT 2::BIGINT AS version, 130::BIGINT AS feedback_count, 0.6::DOUBLE AS accuracy")
-oracle("a7_stats", V.FEEDBACK, query="""SELECT count(*) AS total, count(*) FILTER (created_at > TIMESTAMP '2024-01-20 06:00:00') AS pending, 2::BIGINT AS version, 2::BIGINT AS n_versions,
-    round(least(100.0::DOUBLE, count(*) FILTER (created_at > TIMESTAMP '2024-01-20 06:00:00') / 50 * 100), 6) AS progress FROM feedback""")
+oracle("a4_since_retrain", V.FEEDBACK, V.VERSIONS, query="SELECT count(*) AS pending FROM feedback WHERE created_at > (SELECT max(trained_at) FROM versions) OR NOT EXISTS (FROM versions)")
+oracle("a6_latest_version", V.FEEDBACK, V.VERSIONS, query="SELECT version::BIGINT AS version, feedback_count::BIGINT AS feedback_count, accuracy FROM versions ORDER BY version DESC LIMIT 1")
+oracle("a7_stats", V.FEEDBACK, V.VERSIONS, query="""SELECT total, pending, version::BIGINT AS version, n_versions, round(least(100.0::DOUBLE, pending / 50 * 100), 6) AS progress FROM (
+    SELECT count(*) AS total, count(*) FILTER (created_at > coalesce((SELECT max(trained_at) FROM versions), TIMESTAMP '1900-01-01')) AS pending, (SELECT max(version) FROM versions) AS version, (SELECT count(*) FROM versions) AS n_versions FROM feedback)""")
 oracle("a11_sentiment_summary", V.ARTICLES, query="""SELECT *, CASE WHEN avg_sentiment > 0.15 THEN 'Positive' WHEN avg_sentiment < -0.15 THEN 'Negative' ELSE 'Neutral' END AS label FROM (
     SELECT count(sentiment_score) AS n, count(*) FILTER (sentiment_score >= 0.3) AS pos, count(*) FILTER (sentiment_score <= -0.3) AS neg, count(*) FILTER (bias_score <= -0.5) AS left_n,
         count(*) FILTER (bias_score >= 0.5) AS right_n, count(*) FILTER (bias_score > -0.5 AND bias_score < 0.5) AS center_n, round(avg(sentiment_score), 6) AS avg_sentiment, round(avg(bias_score), 6) AS avg_bias FROM articles)""")
@@ -214,7 +214,7 @@ oracle("s13_upsert_latest", V.FEEDBACK, query="""SELECT first_id AS id, article_
 oracle("s14_upsert_accumulate", query="SELECT source AS source_id, count(*) AS article_count, sum(doc_id % 3)::BIGINT AS error_count, max(doc_id) AS last_fetched FROM documents GROUP BY 1")
 oracle("s15_partial_update", V.ARTICLES, query="SELECT id, CASE WHEN intensity_score = 0 THEN 1.5 ELSE bias_score END AS bias_score, CASE WHEN sentiment_score IS NULL THEN 'old' END AS summary FROM articles")
 oracle("s16_full_replace", V.GROUPS, query="SELECT group_id, array_to_string(article_ids, ',') AS article_ids FROM story_groups")
-oracle("s17_append_version", V.FEEDBACK, query="SELECT 1::BIGINT AS version, 60::BIGINT AS feedback_count UNION ALL SELECT 2, 130 UNION ALL SELECT 3, count(*) FROM feedback")
+oracle("s17_append_version", V.FEEDBACK, V.VERSIONS, query="SELECT version::BIGINT AS version, feedback_count::BIGINT AS feedback_count FROM versions UNION ALL SELECT (SELECT coalesce(max(version), 0) + 1 FROM versions), count(*) FROM feedback")
 oracle("s18_orphan_cleanup", V.SOURCES, V.ARTICLES, query="SELECT a.id, a.source_id FROM articles a JOIN sources s ON s.id = a.source_id AND s.active")
 oracle("s19_prune", V.MARKETS, query="SELECT id, category FROM markets WHERE last_updated >= TIMESTAMP '2024-01-29 00:00:00'")
 oracle("s20_schema_evolution", V.FEEDBACK, query="SELECT id, feedback_type, 'bias' AS dimension, NULL::VARCHAR AS note FROM feedback")
@@ -233,7 +233,9 @@ oracle("j12_ohlc_zip", V.OHLC, query="""SELECT symbol, t::VARCHAR AS t, round(c,
     FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM ohlc) WHERE c IS NOT NULL""")
 oracle("m1_compact_quote", V.OHLC, query="""SELECT symbol, 'Name ' || symbol AS name, round(p, 6) AS price, round(q, 6) AS previous_close, round(p - q, 6) AS change, round((p - q) / q * 100, 6) AS change_pct, least(40, n)::BIGINT AS n_spark
     FROM (SELECT symbol, max(h) AS p, min(l) AS q, count(c) AS n FROM ohlc GROUP BY 1)""")
-oracle("m3_buckets", query="SELECT * FROM (VALUES " + ", ".join(f"('{b}', {len(s)}::BIGINT, {len({'AAPL', 'GC=F'} & set(s))}::BIGINT)" for b, s in (C.BUCKETS | {"trending": ["NVDA", "XYZ"]}).items()) + ") t(bucket, n, n_quotes)")
+oracle("m3_buckets", V.QUOTES, query="SELECT bucket, count(*) AS n, count(price) AS n_quotes FROM (SELECT * FROM (VALUES " + ", ".join(f"('{b}', '{x}')" for b, listed in C.BUCKETS.items() for x in listed)
+       + ") t(bucket, symbol) UNION ALL SELECT 'trending', symbol FROM trends) LEFT JOIN quotes USING (symbol) GROUP BY 1")
+oracle("s6_trending", V.QUOTES, query="SELECT pos, symbol, round(price, 6) AS price, trades FROM trends JOIN quotes USING (symbol)")
 oracle("m5_formats", query="""SELECT event_id, CASE WHEN v >= 1e9 THEN printf('%.2fB', v / 1e9) WHEN v >= 1e6 THEN printf('%.2fM', v / 1e6) WHEN v >= 1e3 THEN printf('%.1fK', v / 1e3) ELSE printf('%.0f', v) END AS volume,
     CASE WHEN p >= 0 THEN '+' ELSE '' END || printf('%.2f', p) || '%' AS pct FROM (SELECT event_id, (n * n)::DOUBLE AS v, (n % 2000 - 1000) / 7.0::DOUBLE AS p FROM (SELECT event_id, event_id * 7919 % 100000 AS n FROM events))""")
 oracle("m7_time_ago", V.ARTICLES, query=f"""SELECT doc_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60)::BIGINT || 'm ago' WHEN s < 86400 THEN (s // 3600)::BIGINT || 'h ago' WHEN s IS NOT NULL THEN (s // 86400)::BIGINT || 'd ago' END AS ago
@@ -311,9 +313,9 @@ oracle("s4_market_source", V.RAW_MARKETS, query="""SELECT condition_id, conditio
     SELECT *, row_number() OVER (PARTITION BY condition_id::BIGINT % 40 ORDER BY volume_24h DESC NULLS LAST, condition_id) AS rank FROM raw_markets) WHERE rank <= 200""")
 oracle("s5_weather_payload", V.WEATHER, query=f"""SELECT time::DATE::VARCHAR AS place, row_number() OVER (PARTITION BY time::DATE ORDER BY weather.time) - 1 AS pos, strftime(weather.time, {TS}) AS time,
     round(temperature, 4) AS temperature, code::BIGINT AS code, CASE WHEN day(weather.time) % 5 <> 0 THEN (s % 300)::DOUBLE END AS aqi FROM weather""")
-oracle("s7_chart_requests", query="SELECT * FROM (VALUES " + ", ".join(f"('{v}', '{r}', '{i}')" for v, (r, i) in C.CHART_RANGES.items()) + ") t(view, range, interval)")
-oracle("d20_symbol_keywords", query="SELECT symbol, CASE symbol " + " ".join(f"WHEN '{s}' THEN '{'|'.join(k)}'" for s, k in C.SYMBOL_KEYWORDS.items())
-       + " ELSE ltrim(split_part(symbol, '=', 1), '^') END AS keywords FROM (SELECT unnest(" + quoted(sorted({s for listed in C.BUCKETS.values() for s in listed})) + ") AS symbol)")
+oracle("s7_chart_requests", V.QUOTES, query="SELECT symbol, t.* FROM quotes, (VALUES " + ", ".join(f"('{v}', '{r}', '{i}')" for v, (r, i) in C.CHART_RANGES.items()) + ") t(view, range, interval)")
+oracle("d20_symbol_keywords", V.QUOTES, query="SELECT symbol, CASE symbol " + " ".join(f"WHEN '{s}' THEN '{'|'.join(k)}'" for s, k in C.SYMBOL_KEYWORDS.items())
+       + " ELSE ltrim(split_part(symbol, '=', 1), '^') END AS keywords FROM quotes")
 oracle("f19_nested", V.SOURCES, V.ARTICLES, query="""SELECT a.id, coalesce(s.name, a.source_id) AS source_name, coalesce(s.allsides_label, 'center') AS label,
     CASE WHEN doc_id % 7 <> 0 THEN round((doc_id % 10)::DOUBLE / 10, 6) END AS anger FROM articles a LEFT JOIN sources s ON s.id = a.source_id AND s.active""")
 oracle("a3_counts", V.ARTICLES, query="SELECT source_id, count(*) AS total, count(published) AS dated, count(*) FILTER (title <> '') AS titled FROM articles GROUP BY 1")
@@ -322,7 +324,7 @@ oracle("j3_article_groups", V.ARTICLES, V.GROUPS, query=f"SELECT a.id, m.group_i
 oracle("w4_one_vote", V.ARTICLES, V.GROUPS, query=f"SELECT group_id, source_id, arg_min(m.id, pos) AS id FROM ({MEMBERS}) m JOIN articles a ON a.id = m.id GROUP BY 1, 2")
 oracle("t9_home_slots", query="SELECT unnest(list_filter([CASE WHEN pos <= 6 THEN 'carousel' END, CASE WHEN pos = 1 THEN 'hero' END, CASE WHEN pos BETWEEN 2 AND 5 THEN 'secondary' END, CASE WHEN pos >= 6 THEN 'trending' END], lambda x: x IS NOT NULL)) AS slot, pos, id FROM ("
        + ORACLES["q_w2_top_stories"] + ")")
-oracle("t10_version_history", query="SELECT * FROM (VALUES (1::BIGINT, '2024-01-12 00:00:00', 0.5::DOUBLE), (2::BIGINT, '2024-01-20 06:00:00', 0.6::DOUBLE)) t(version, trained_at, accuracy)")
+oracle("t10_version_history", V.FEEDBACK, V.VERSIONS, query=f"SELECT version::BIGINT AS version, strftime(trained_at, {TS}) AS trained_at, accuracy FROM versions")
 oracle("e17_day_labels", V.WEATHER, query="SELECT day::VARCHAR AS day, CASE date_diff('day', DATE '2024-01-20', day) WHEN 0 THEN 'Today' WHEN 1 THEN 'Tomorrow' ELSE strftime(day, '%a') END AS label FROM (SELECT DISTINCT time::DATE AS day FROM weather)")
 
 oracle("s14_source_counters", V.ARTICLES, query=f"""SELECT source_id, count(*) AS fetch_count, coalesce(sum(n) FILTER (block % 7 <> 3), 0)::BIGINT AS article_count, count(*) FILTER (block % 7 = 3) AS error_count,

@@ -145,13 +145,18 @@ def f20_shown_scores(spark, sf):
 
 @query
 def s11_lookup(spark, sf):
-    one = read_table(spark, sf, "documents").where("doc_id = 7").select(F.substring(F.sha2(F.concat_ws(":", "source", F.col("doc_id").cast("string")), 256), 1, 16).alias("id")).first()
-    return store.lookup(S.articles(spark, sf), "id", one["id"] if one else "").select("id", "source_id", "title")
+    """All articles in a keyed store, and one of them by its id: a bucket, and of its files the row groups that may hold it."""
+    rows = S.articles(spark, sf).select("doc_id", "id", "source_id", "title")
+    one = rows.where("doc_id = 7").first()
+    held = ingest.open_store(spark, f"{shared_folder(spark)}/lookup-{uuid.uuid4().hex}")
+    held.commit({"articles": rows})
+    held.compact("articles")
+    return held.lookup("articles", one["id"] if one else "").select("id", "source_id", "title")
 
 
 @query
 def a5_has_version(spark, sf):
-    return stats.has_version(_versions(spark))
+    return stats.has_version(S.versions(spark, sf))
 
 
 @query
@@ -339,24 +344,19 @@ def a2_meta(spark, sf):
     return signals.meta(S.markets(spark, sf)).select("total", stamp("last_updated").alias("last_updated"))
 
 
-def _versions(spark) -> DataFrame:
-    rows = [(1, "2024-01-12 00:00:00", 60, 0.5), (2, "2024-01-20 06:00:00", 130, 0.6)]
-    return spark.createDataFrame(rows, "version int, trained_at string, feedback_count int, accuracy double").withColumn("trained_at", F.to_timestamp("trained_at"))
-
-
 @query
 def a4_since_retrain(spark, sf):
-    return stats.since_last(S.feedback(spark, sf), _versions(spark))
+    return stats.since_last(S.feedback(spark, sf), S.versions(spark, sf))
 
 
 @query
 def a6_latest_version(spark, sf):
-    return stats.latest_version(_versions(spark)).select(F.col("version").cast("long").alias("version"), F.col("feedback_count").cast("long").alias("feedback_count"), "accuracy")
+    return stats.latest_version(S.versions(spark, sf)).select(F.col("version").cast("long").alias("version"), F.col("feedback_count").cast("long").alias("feedback_count"), "accuracy")
 
 
 @query
 def a7_stats(spark, sf):
-    return stats.summary(S.feedback(spark, sf), _versions(spark)).select("total", "pending", F.col("version").cast("long").alias("version"), "n_versions", six(F.col("progress")).alias("progress"))
+    return stats.summary(S.feedback(spark, sf), S.versions(spark, sf)).select("total", "pending", F.col("version").cast("long").alias("version"), "n_versions", six(F.col("progress")).alias("progress"))
 
 
 @query
@@ -651,7 +651,7 @@ def s16_full_replace(spark, sf):
 @query
 def s17_append_version(spark, sf):
     row = S.feedback(spark, sf).agg(F.count("*").cast("int").alias("feedback_count"))
-    return store.append_version(_versions(spark).select("version", "feedback_count"), row).select(F.col("version").cast("long").alias("version"), F.col("feedback_count").cast("long").alias("feedback_count"))
+    return store.append_version(S.versions(spark, sf).select("version", "feedback_count"), row).select(F.col("version").cast("long").alias("version"), F.col("feedback_count").cast("long").alias("feedback_count"))
 
 
 @query
@@ -725,8 +725,8 @@ def m1_compact_quote(spark, sf):
 
 @query
 def m3_buckets(spark, sf):
-    quotes = spark.createDataFrame([("AAPL", 10.0), ("GC=F", 20.0)], "symbol string, price double")
-    return markets.bucketed(quotes, markets.bucket_table(spark, ["NVDA", "XYZ"])).groupBy("bucket").agg(F.count("*").alias("n"), F.count("price").alias("n_quotes"))
+    trends = payloads.trending_symbols(S.trending_payload(spark, sf)).select(F.lit("trending").alias("bucket"), "pos", "symbol")
+    return markets.bucketed(S.quotes(spark, sf), markets.bucket_table(spark).unionByName(trends)).groupBy("bucket").agg(F.count("*").alias("n"), F.count("price").alias("n_quotes"))
 
 
 @query
@@ -874,13 +874,18 @@ def s5_weather_payload(spark, sf):
 
 @query
 def s7_chart_requests(spark, sf):
-    return payloads.chart_requests(spark)
+    return payloads.chart_requests_of(S.quotes(spark, sf))
+
+
+@query
+def s6_trending(spark, sf):
+    """The first symbols of the trending payload, with their quotes."""
+    return payloads.trending_symbols(S.trending_payload(spark, sf)).join(S.quotes(spark, sf), "symbol").select("pos", "symbol", six(F.col("price")).alias("price"), "trades")
 
 
 @query
 def d20_symbol_keywords(spark, sf):
-    symbols = sorted({s for listed in C.BUCKETS.values() for s in listed})
-    return spark.createDataFrame([(s, "|".join(markets.keywords_of(s))) for s in symbols], "symbol string, keywords string")
+    return S.quotes(spark, sf).select("symbol", F.array_join(markets.symbol_keywords(F.col("symbol")), "|").alias("keywords"))
 
 
 @query
@@ -929,7 +934,7 @@ def t9_home_slots(spark, sf):
 
 @query
 def t10_version_history(spark, sf):
-    return _versions(spark).orderBy(F.col("version").desc()).select(F.col("version").cast("long").alias("version"), stamp("trained_at").alias("trained_at"), "accuracy")
+    return S.versions(spark, sf).orderBy(F.col("version").desc()).select(F.col("version").cast("long").alias("version"), stamp("trained_at").alias("trained_at"), "accuracy")
 
 
 @query

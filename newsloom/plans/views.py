@@ -1,5 +1,7 @@
 """The derived tables again, as DuckDB common table expressions for the oracles."""
 
+from newsloom.functions.constants import BUCKETS
+
 SOURCES = """sources AS (
     SELECT source AS id, 'Outlet ' || n AS name, n % 10 <> 9 AS active,
         ['finance', 'geopolitics', 'science', 'news'][n % 4 + 1] AS category,
@@ -24,6 +26,14 @@ FEEDBACK = """feedback AS (
         TIMESTAMP '2024-01-31 00:00:00' - to_hours(((conv_id * 11 + turn) % 500)::INT) AS created_at
     FROM conversations
 )"""
+VERSIONS = """versions AS (
+    SELECT row_number() OVER (ORDER BY day)::INT AS version, day + INTERVAL 6 HOUR AS trained_at, n::INT AS feedback_count, (n % 7) / 10.0::DOUBLE + 0.3::DOUBLE AS accuracy
+    FROM (SELECT created_at::DATE AS day, count(*) AS n FROM feedback WHERE dimension = 'bias' AND created_at < TIMESTAMP '2024-01-20' GROUP BY 1)
+)"""
+QUOTES = """quotes AS (
+    SELECT symbols[event_id % len(symbols) + 1] AS symbol, arg_max(value, event_id) AS price, count(*) AS trades
+    FROM events, (SELECT """ + str(sorted({s for listed in BUCKETS.values() for s in listed})) + """ AS symbols) WHERE event_id % len(symbols) % 5 <> 3 GROUP BY 1
+), trends AS (SELECT row_number() OVER (ORDER BY price DESC, symbol DESC)::INT - 1 AS pos, symbol FROM quotes QUALIFY pos < 12)"""
 GROUPS = """story_groups AS (
     SELECT (doc_id // 96) || '-' || substr(sha256(doc_id::VARCHAR), 1, 1) AS group_id,
         list(substr(sha256(source || ':' || doc_id), 1, 16) ORDER BY doc_id) AS article_ids

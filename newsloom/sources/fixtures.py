@@ -5,9 +5,10 @@ Every expression is deterministic in the row's key, so the DuckDB views in newsl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.constants import BUCKETS
 from newsloom.session import read_table
 
 #: When the derived times were generated, and the later moment at which feed and ranking queries ask.
@@ -78,6 +79,32 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """version, trained_at, feedback_count, accuracy: a bias model for each day with bias feedback before 20 January, at six."""
+    own = feedback(spark, sf_dir).where("dimension = 'bias' and created_at < '2024-01-20'")
+    days = own.groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").cast("int").alias("feedback_count"))
+    number = F.row_number().over(Window.orderBy("day"))  # a row a day
+    return days.select(number.alias("version"), (F.col("day").cast("timestamp") + F.expr("interval 6 hours")).alias("trained_at"), "feedback_count", (F.col("feedback_count") % 7 / 10.0 + 0.3).alias("accuracy"))
+
+
+#: Symbols of the market page, by name.
+SYMBOLS = sorted({s for listed in BUCKETS.values() for s in listed})
+
+
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, price, trades: of events, dealt to the market page's symbols by number; every fifth symbol has none."""
+    at = F.col("event_id") % len(SYMBOLS)
+    events = read_table(spark, sf_dir, "events").where(at % 5 != 3).select(pick(SYMBOLS, at).alias("symbol"), "event_id", "value")
+    return events.groupBy("symbol").agg(F.max_by("value", "event_id").alias("price"), F.count("*").alias("trades"))
+
+
+def trending_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """payload: the quote service's answer to what trends, the dearest quotes first; one row."""
+    listed = F.reverse(F.array_sort(F.collect_list(F.struct("price", "symbol"))))  # a row a symbol
+    named = F.transform(listed, lambda q: F.struct(q["symbol"].alias("symbol")))
+    return quotes(spark, sf_dir).agg(named.alias("q")).select(F.to_json(F.struct(F.struct(F.array(F.struct(F.col("q").alias("quotes"))).alias("result")).alias("finance"))).alias("payload"))
+
+
 def story_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """group_id, article_ids (by doc_id): groups of two or more from neighbouring documents, fixed by key."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")

@@ -40,6 +40,17 @@ def chart_requests(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(view, *asked) for view, asked in C.CHART_RANGES.items()], "view string, range string, interval string")
 
 
+def trending_symbols(payloads: DataFrame, most: int = 12) -> DataFrame:
+    """pos, symbol of payloads (payload)."""
+    return payloads.select(F.posexplode(trending(F.col("payload"), most)).alias("pos", "symbol"))
+
+
+def chart_requests_of(symbols: DataFrame) -> DataFrame:
+    """symbol, view, range, interval: what the charts of each symbol ask the service for."""
+    asked = F.array(*[F.struct(F.lit(view).alias("view"), F.lit(r).alias("range"), F.lit(i).alias("interval")) for view, (r, i) in C.CHART_RANGES.items()])
+    return symbols.select("symbol", F.explode(asked).alias("a")).select("symbol", "a.view", "a.range", "a.interval")
+
+
 def is_fresh(taken_at: Column, now: Column, seconds: int) -> Column:
     """Whether a snapshot taken then may still be served: ten minutes for weather, one for quotes."""
     return F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(taken_at) < seconds, F.lit(False))
