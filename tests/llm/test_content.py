@@ -253,9 +253,11 @@ def test_copies_far_from_their_item_in_the_latent_space_are_found(spark):
             expected.add((len(docs), k))
             docs.append((len(docs), " ".join([*parts[:at], *part, *parts[at:]])))
     frame = spark.createDataFrame(docs + [(10_000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
-    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(frame, spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")).collect()}
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    got, whole = ({(r.doc_id, r.item_id) for r in decontam.find_leaks(frame, bench, **how).collect()} for how in ({}, {"cosine": None}))
     assert len(expected) == 3 * len(items)
-    assert sorted(expected - got) == []
+    assert sorted(expected - got) == [] == sorted(expected - whole)
+    assert got <= whole and len(got) >= 0.99 * len(whole)  # the scan of all words against all items
 
 
 def test_singular_vectors_match_a_full_decomposition(spark):
