@@ -38,14 +38,13 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import map_rows, written
 
 PASSAGE, SEGMENT = 64, 16
-RANK, EXTRA, SEED = 256, 32, 7
+RANK, EXTRA, SEED = 128, 16, 7
 #: Words that one step inside a task turns into vectors, words of a stream that is searched at once (both so that the
 #: vectors stay in the processor's cache), and terms in a row of summed matrices.
 STEP, STREAM, ROWS = 1 << 13, 1 << 13, 256
 SALTS = 16
-#: The cosine that makes a window a candidate. Of 1,200 planted copies (whole, 80 and 65 % of the words, the others changed or
-#: left out) and 140 leaks of 6,000 given texts it loses none at this rank; at rank 128 it lost 5.
-COSINE = 0.1
+#: The cosine that makes a window a candidate.
+COSINE = 0.2
 #: Words in more than this share of the passages weigh nothing, unless an item would keep fewer words than LEAST_WORDS.
 COMMON, LEAST_WORDS = 0.1, 8
 _words = re.compile(r"\w+").findall
@@ -259,7 +258,8 @@ class Matcher:
             self.place[k, own] = np.arange(len(own))
             self.counts.append(n)
         self.heavy = (latent.vectors != 0).any(axis=1)
-        self.member = np.ascontiguousarray((self.place >= 0).T.astype(np.uint8)) if cosine is None else None  # a row a word
+        self.member = self.place >= 0
+        self.member_of = np.ascontiguousarray(self.member.T.astype(np.uint8))  # a row a word
         self.segments: dict[int, list[int]] = {}  # items by the segments that hold any stretch of theirs, wherever it starts
         for k, codes in enumerate(items.codes):
             self.segments.setdefault(-(-(stretch(codes) + SEGMENT - 1) // SEGMENT), []).append(k)
@@ -273,7 +273,8 @@ class Matcher:
         return starts, np.append(starts[1:], len(k))[: len(starts)] - 1
 
     def candidates(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """Item, first and last word and best cosine of the windows of a stream, which starts and ends with gaps, that are close to the item."""
+        """Item, first and last word and best cosine of the windows of a stream, which starts and ends with gaps, that are close to the
+        item, and that with a segment on either side hold words enough of it for the share asked for."""
         sums = np.zeros((len(codes) // SEGMENT, self.latent.vectors.shape[1]), np.float32)
         known = np.flatnonzero(self.heavy[codes])
         for i in range(0, len(known), STEP):
@@ -289,6 +290,13 @@ class Matcher:
             close = vectors @ windows.T
             close /= np.maximum(np.sqrt(np.einsum("ij,ij->i", windows, windows)), 1e-12)
             k, w = np.nonzero(close >= self.cosine)
+            reach = np.arange(-SEGMENT, (n + 1) * SEGMENT)
+            able = np.zeros(len(k), bool)
+            for i in range(0, len(k), 4096):
+                items, at = own[k[i : i + 4096]], w[i : i + 4096]
+                met = self.member[items[:, None], codes[np.clip(at[:, None] * SEGMENT + reach, 0, len(codes) - 1)]].sum(axis=1)
+                able[i : i + 4096] = met >= self.needed[items]
+            k, w = k[able], w[able]
             starts, ends = self._runs(k, w)
             if len(starts):
                 best = np.maximum.reduceat(close[k, w], starts)
@@ -301,7 +309,7 @@ class Matcher:
         sums = np.zeros((len(codes) // SEGMENT + 1, len(self.items.ids)), np.int32)
         for i in range(0, len(sums) - 1, SEGMENT):
             some = codes[i * SEGMENT : min(i + SEGMENT, len(sums) - 1) * SEGMENT]
-            sums[i + 1 : i + 1 + len(some) // SEGMENT] = self.member[some].reshape(-1, SEGMENT, sums.shape[1]).sum(axis=1, dtype=np.uint8)
+            sums[i + 1 : i + 1 + len(some) // SEGMENT] = self.member_of[some].reshape(-1, SEGMENT, sums.shape[1]).sum(axis=1, dtype=np.uint8)
         np.cumsum(sums, axis=0, out=sums)
         for n, own in sorted(self.segments.items()):
             held = sums[:, own]
