@@ -106,7 +106,8 @@ def _summed(held: DataFrame, size: int, work) -> np.ndarray:
             total += work(*_unpack(block))
         yield total
 
-    return held.rdd.mapPartitions(run).treeReduce(np.add)  # arrays of fixed size: the sums are what DataFrames have no aggregate for
+    total = held.rdd.mapPartitions(run).treeAggregate(0.0, np.add, np.add)  # arrays of fixed size: DataFrames have no aggregate for their sums
+    return total + np.zeros(size)  # where there are no blocks
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> float:

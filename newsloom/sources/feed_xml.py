@@ -45,6 +45,6 @@ def feed_rows(landed: DataFrame) -> DataFrame:
     """source_id, entries, in their order, and problem of documents (source_id, xml, ...); other columns stay. problem is null for a feed, if one without entries."""
     parsed = landed.withColumn("_d", F.from_xml("xml", f"{DOCUMENT}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
     rooted = F.regexp_like("xml", F.lit(r"<(?:\w+:)?(?:rss|feed|RDF)[\s>]"))
-    problem = F.when(F.coalesce(F.trim("xml"), F.lit("")) == "", "empty").when(F.col("_d._corrupt_record").isNotNull(), "not well-formed").when(~rooted, "no feed")
+    problem = F.when(~F.coalesce(F.regexp_like("xml", F.lit(r"\S")), F.lit(False)), "empty").when(F.col("_d._corrupt_record").isNotNull(), "not well-formed").when(~rooted, "no feed")
     entries = F.when(F.col("problem").isNull(), F.transform(F.coalesce("_d.channel.item", "_d.item", "_d.entry"), _entry))
     return parsed.withColumn("problem", problem).withColumn("entries", entries).drop("_d")
