@@ -8,7 +8,6 @@ from collections import Counter
 
 import pandas as pd
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from newsloom.functions import features as X
@@ -300,7 +299,9 @@ def test_story_groups_at_the_production_threshold(spark):
 
 
 def test_bias_model_takes_the_text(spark):
-    rows = queries._bias_rows(spark, SF)
-    sizes = {r.n for r in rows.select(F.size(vector_to_array("features")).alias("n")).distinct().collect()}
-    terms = queries.QUERIES["q_d6_article_tfidf"](spark, SF).select("term").distinct().count()
-    assert sizes == {5 + terms} and terms > 100
+    rows, space = queries._bias_rows(spark, SF)
+    terms = {r["term"] for r in queries.QUERIES["q_d6_article_tfidf"](spark, SF).select("term").distinct().collect()}
+    assert {r["term"] for r in space.terms.collect()} == terms and len(terms) > 100
+    places = [r["at"] for r in rows.select("features.at").collect()]
+    assert all(at[:5] == [0, 1, 2, 3, 4] and at == sorted(set(at)) for at in places)
+    assert {x for at in places for x in at} == set(range(5 + len(terms)))
