@@ -283,6 +283,7 @@ class Matcher:
             starts = np.flatnonzero(np.diff(at, prepend=-1))
             sums[at[starts]] += np.add.reduceat(self.latent.vectors[codes[some]], starts)
         windows, held = sums, 1
+        cells = np.where(codes < 0, self.member.shape[1] - 1, codes).astype(np.int64)
         for n, (own, vectors) in sorted(self.latent.groups.items()):
             for i in range(held, n):
                 windows = windows[: len(sums) - i] + sums[i:]
@@ -294,7 +295,10 @@ class Matcher:
             able = np.zeros(len(k), bool)
             for i in range(0, len(k), 4096):
                 items, at = own[k[i : i + 4096]], w[i : i + 4096]
-                met = self.member[items[:, None], codes[np.clip(at[:, None] * SEGMENT + reach, 0, len(codes) - 1)]].sum(axis=1)
+                # gaps at both ends, which are close to nothing, keep the reach within the stream; code -1 is a row's last cell
+                around = np.take(cells, at[:, None] * SEGMENT + reach)
+                around += (items * self.member.shape[1])[:, None]
+                met = np.take(self.member, around).sum(axis=1, dtype=np.int32)
                 able[i : i + 4096] = met >= self.needed[items]
             k, w = k[able], w[able]
             starts, ends = self._runs(k, w)
