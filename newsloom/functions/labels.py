@@ -40,13 +40,19 @@ def price_text(price: Column, fine_below: float = 1.0) -> Column:
     return F.when(F.abs(price) < fine_below, F.format_number(price, 4)).otherwise(F.format_number(price, 2))
 
 
+def _fixed(value: Column, places: int) -> Column:
+    """So many places of the value as it is held, ties to even, as C prints it; format_string rounds its shortest decimals half up."""
+    return F.call_function("format_number", value, F.lit("0" + "." * (places > 0) + "0" * places))
+
+
 def volume_text(volume: Column) -> Column:
     v = volume.cast("double")
-    return F.when(v >= 1e9, F.format_string("%.2fB", v / 1e9)).when(v >= 1e6, F.format_string("%.2fM", v / 1e6)).when(v >= 1e3, F.format_string("%.1fK", v / 1e3)).otherwise(F.format_string("%.0f", v))
+    scaled = lambda size, places, unit: F.concat(_fixed(v / size, places), F.lit(unit))
+    return F.when(v >= 1e9, scaled(1e9, 2, "B")).when(v >= 1e6, scaled(1e6, 2, "M")).when(v >= 1e3, scaled(1e3, 1, "K")).otherwise(_fixed(v, 0))
 
 
 def signed_percent(pct: Column) -> Column:
-    return F.concat(F.when(pct >= 0, "+").otherwise(""), F.format_string("%.2f", pct), F.lit("%"))
+    return F.concat(F.when(pct >= 0, "+").otherwise(""), _fixed(pct, 2), F.lit("%"))
 
 
 def time_ago(seconds: Column) -> Column:
