@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from newsloom.session import settled
 
-TOKEN = r"(?U)\b\w\w+\b"
+TOKEN = r"(?U)\w\w+"
 #: Cells of dense vectors and vectors of a block.
 CELLS, BLOCK = 64, 2048
 #: Rows of a prefix term that meet the others in one group of cosine_pairs.
