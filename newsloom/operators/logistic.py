@@ -1,6 +1,7 @@
 """Balanced multinomial logistic regression over sparse rows: all models of a training run in the same passes.
 
-Rows become blocks of a few hundred, written once. A pass over the blocks gives the loss and the gradient of every model
+Rows become blocks of a few hundred, written once, and kept by the executors as bytes, in memory while there is room and else
+on disk, as long as models are fitted to them: what a pass reads needs no more than unpacking. A pass over the blocks gives the loss and the gradient of every model
 that is still being fitted, the full one and those that leave out a fold; its sums are folded in a tree, so what comes
 to the driver are a few arrays of the model's size. The driver keeps a limited-memory BFGS search for each model and
 proposes the next point of each. A model is done when no component of its gradient exceeds TOLERANCE.
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from newsloom.session import settled
 
 #: Most rows of a block, and most cells of its matrix of rows and the places that they hold.
 BLOCK_ROWS, BLOCK_CELLS = 256, 1 << 21
-TOLERANCE, MOST_PASSES, MEMORY = 1e-5, 1000, 10
+TOLERANCE, MOST_PASSES, MEMORY = 1e-5, 1000, 30
 #: places (ascending) and values that are not zero; what is null or not a number counts as zero.
 SPARSE = "struct<at:array<int>,w:array<double>>"
 #: deal: a number of each row, by whose rest it is in a fold; row, cell, w: the rows' values, by row and by number among the
@@ -84,7 +86,7 @@ def _logs(scores: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def _unpack(block) -> tuple[np.ndarray, ...]:
     """label, deal, the rows as a matrix over the block's places, and these places."""
-    label, deal, row, cell, w, places = (np.frombuffer(block[c], kind) for c, kind in KINDS.items())
+    label, deal, row, cell, w, places = (np.frombuffer(part, kind) for part, kind in zip(block, KINDS.values(), strict=True))
     x = np.zeros((len(label), len(places)))
     x[row, cell] = w
     return label, deal, x, places
@@ -97,7 +99,12 @@ def _products(x: np.ndarray, places: np.ndarray, points: np.ndarray) -> np.ndarr
     return (x @ flat[:, places].T + flat[:, -1]).reshape(-1, models, classes)
 
 
-def _summed(held: DataFrame, size: int, work) -> np.ndarray:
+def kept(held: DataFrame) -> RDD:
+    """The blocks as bytes that executors keep; to be given back with `unpersist`."""
+    return held.rdd.map(lambda block: tuple(bytes(block[c]) for c in KINDS)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _summed(held: DataFrame | RDD, size: int, work) -> np.ndarray:
     """The sum over blocks of the arrays of `size` that work gives; added up in each task, then in a tree."""
 
     def run(rows):
@@ -106,7 +113,8 @@ def _summed(held: DataFrame, size: int, work) -> np.ndarray:
             total += work(*_unpack(block))
         yield total
 
-    total = held.rdd.mapPartitions(run).treeAggregate(0.0, np.add, np.add)  # arrays of fixed size: DataFrames have no aggregate for their sums
+    found = held.rdd.map(lambda block: tuple(block[c] for c in KINDS)) if isinstance(held, DataFrame) else held
+    total = found.mapPartitions(run).treeAggregate(0.0, np.add, np.add)  # arrays of fixed size: DataFrames have no aggregate for their sums
     return total + np.zeros(size)  # where there are no blocks
 
 
@@ -178,7 +186,7 @@ def fit(held: DataFrame, classes: int, folds: int = 0) -> list[Logistic | None]:
     penalized = np.ones((classes, places + 1))
     penalized[:, -1] = 0
     passes = {m: 0 for m in chosen}
-    spark = held.sparkSession
+    spark, ready = held.sparkSession, kept(held)
     while open_ := [m for m in chosen if not searches[m].done and passes[m] < MOST_PASSES]:
         points = np.stack([searches[m].trial.reshape(classes, places + 1) for m in open_])
         sent = spark.sparkContext.broadcast((points, known[open_], weight[open_] / n[open_, None], np.array(open_)))
@@ -198,12 +206,13 @@ def fit(held: DataFrame, classes: int, folds: int = 0) -> list[Logistic | None]:
             gradient[:, -1] = errors.sum(axis=0)
             return np.concatenate([losses, gradient.ravel()])
 
-        got = _summed(held, len(open_) + points.size, work)
+        got = _summed(ready, len(open_) + points.size, work)
         sent.destroy()
         losses, gradients = got[: len(open_)], got[len(open_) :].reshape(points.shape)
         for m, point, loss, gradient in zip(open_, points, losses, gradients, strict=True):
             passes[m] += 1
             searches[m].tell(loss + (penalized * point**2).sum() / (2 * n[m]), (gradient + penalized * point / n[m]).ravel())
+    ready.unpersist()
     made: list[Logistic | None] = [None] * len(own)
     for m, search in searches.items():
         whole = search.point.reshape(classes, places + 1)
