@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from newsloom.session import settled
 
@@ -17,6 +22,8 @@ CELLS, BLOCK = 64, 2048
 PREFIX_ROWS = 2000
 #: Counters of frequent_terms' sketch.
 COUNTERS = 1 << 22
+#: Words that a task counts at a time, unless one text has more.
+STEP = 1 << 19
 
 
 def stop_words() -> list[str]:
@@ -39,21 +46,86 @@ def _pairs() -> Column:
 def terms(docs: DataFrame, key: str, text: str, stop: list[str] = (), bigrams: bool = False, known: DataFrame | None = None) -> DataFrame:
     """key, term, tf: words of two letters or more, without stop words, and pairs of neighbours among those.
 
-    known: a vocabulary of bounded size; with it only its terms are counted, with its other columns, and no other term is shuffled."""
+    known: a vocabulary of bounded size; with it only its terms are counted, where the texts are, with its other columns, and no
+    other term is shuffled. The result is dealt by key."""
     held = _tokens(docs, text, [key], stop)
+    if known is not None:
+        return _known_terms(held, key, known, bigrams)
     if bigrams:
         held = held.select(key, F.concat("w", _pairs()).alias("w"))
-    found = held.select(key, F.explode("w").alias("term"))
-    if known is None:
-        return found.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    return found.join(F.broadcast(known), "term").groupBy(key, *known.columns).agg(F.count("*").alias("tf"))
-
-
-def _frequencies(held: DataFrame, array: Column) -> DataFrame:
-    """term, df, cf of an array column, a row a document; counted where the rows are before terms are shuffled."""
-    every = lambda of, cf, df: F.transform(of, lambda t: F.struct(t.alias("term"), F.lit(cf).alias("cf"), F.lit(df).alias("df")))
-    rows = held.select(F.explode(F.concat(every(array, 1, 0), every(F.array_distinct(array), 0, 1))).alias("r"))
-    return rows.groupBy("r.term").agg(F.sum("r.df").alias("df"), F.sum("r.cf").alias("cf"))
+    return held.select(key, F.explode("w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def _steps(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
+    """Parts of batches of about STEP words at most, with each word's row, its number, and the words by number."""
+    for batch in batches:
+        ends, first = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy()), 0
+        while first < len(batch):
+            most = (ends[first - 1] if first else 0) + STEP
+            last = max(first + 1, int(np.searchsorted(ends, most, side="right")))
+            part = batch.slice(first, last - first)
+            sizes = pc.fill_null(pc.list_value_length(part.column(column)), 0).to_numpy()
+            words = part.column(column).flatten().dictionary_encode()
+            yield part, np.repeat(np.arange(len(part)), sizes), words.indices.to_numpy().astype(np.int64), words.dictionary
+            first = last
+
+
+def _neighbours(rows: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows, and both words, of neighbours in a row."""
+    near = rows[1:] == rows[:-1]
+    return rows[1:][near], codes[:-1][near], codes[1:][near]
+
+
+def _tally(rows: np.ndarray, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and occurrences of each number below size."""
+    return np.bincount(np.unique(rows * size + codes) % size, minlength=size), np.bincount(codes, minlength=size)
+
+
+def _slots(names: pa.Array, a: np.ndarray, b: np.ndarray, counters: int) -> np.ndarray:
+    """A counter for each pair of words, by their texts alone."""
+    digest = pd.util.hash_array(names.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(names) else np.zeros(0, np.uint64)
+    mixed = digest[a] * np.uint64(0x9E3779B97F4A7C15) ^ (digest[b] >> np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((mixed >> np.uint64(20)) % np.uint64(counters)).astype(np.int64)
+
+
+def _joined(names: pa.Array, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    return pc.binary_join_element_wise(names.take(pa.array(a)), names.take(pa.array(b)), " ")
+
+
+def _known_terms(held: DataFrame, key: str, known: DataFrame, bigrams: bool) -> DataFrame:
+    """key, known's columns, tf of held (key, w); the vocabulary is looked up as arrays in tasks."""
+    table = known.toArrow()  # of bounded size
+    terms = table.column("term").combine_chunks()
+    fields = [held.schema[key], *known.schema.fields]
+    schema = StructType([*fields, StructField("n", held.selectExpr("1L as n").schema["n"].dataType)])
+    first, second = (pa.array([t.split(" ", 1)[side] if " " in t else None for t in terms.to_pylist()], pa.string()) for side in (0, 1))
+    single = np.array([" " not in t for t in terms.to_pylist()], bool)
+    words = pc.unique(pa.concat_arrays([terms.cast(pa.string()).filter(pa.array(single)), first.drop_null(), second.drop_null()]))
+    number = lambda of: pc.fill_null(pc.index_in(of.cast(pa.string()), value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = len(words) + 1
+    # a word's own number, with -1 as its partner, or both words' numbers: one key a term, in ascending order
+    keys = np.where(single, (number(terms) + 1) * size, (number(first) + 1) * size + number(second) + 1)
+    order = np.argsort(keys)
+    keys = keys[order]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows, codes, names in _steps(batches, 1):
+            at = number(names)[codes] + 1 if len(codes) else codes
+            found, owner = at * size, rows
+            if bigrams:
+                row, a, b = _neighbours(rows, at)
+                both = (a > 0) & (b > 0)
+                found, owner = np.concatenate([found, (a * size + b)[both]]), np.concatenate([rows, row[both]])
+            place = np.searchsorted(keys, found)
+            hit = (place < len(keys)) & (keys[np.minimum(place, len(keys) - 1)] == found) if len(keys) else np.zeros(len(found), bool)
+            seen, times = np.unique(owner[hit] * max(len(keys), 1) + place[hit], return_counts=True)
+            row, term = np.divmod(seen, max(len(keys), 1))
+            taken = table.take(pa.array(order[term])).combine_chunks()
+            columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in taken.columns]
+            yield pa.record_batch([part.column(0).take(pa.array(row)), *columns, pa.array(times.astype(np.int64))], names=schema.names)
+
+    counted = held.select(key, "w").mapInArrow(count, schema).repartition(F.col(key))
+    return counted.groupBy(key, *known.columns).agg(F.sum("n").alias("tf"))
 
 
 def frequent_terms(docs: DataFrame, text: str, stop: list[str] = (), most_terms: int = 5000, least_docs: int = 2, counters: int = COUNTERS) -> DataFrame:
@@ -61,18 +133,42 @@ def frequent_terms(docs: DataFrame, text: str, stop: list[str] = (), most_terms:
 
     Words are counted first; the least frequent of the most_terms best words is a floor for all terms. Pairs are added up by
     a hash into so many counters, and none whose counter stays below the floor can be among the best. Only the others, a small
-    part of all pairs, are counted by name, exactly."""
+    part of all pairs, are counted by name, exactly. Tasks count steps of texts as arrays; their counts are added up by term."""
     held = _tokens(docs, text, [], stop)
-    words = _frequencies(held, F.col("w")).where(F.col("df") >= least_docs)
-    best = settled(words.orderBy(F.desc("cf"), "term").limit(most_terms))
+    counts = lambda names, df, cf: pa.record_batch([names.cast(pa.string()), pa.array(df.astype(np.int64)), pa.array(cf.astype(np.int64))], names=["term", "df", "cf"])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows, codes, names in _steps(batches):
+            yield counts(names, *_tally(rows, codes, len(names)))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(counters, np.int64)
+        for _, rows, codes, names in _steps(batches):
+            _, a, b = _neighbours(rows, codes)
+            total += np.bincount(_slots(names, a, b, counters), minlength=counters)
+        slot = np.flatnonzero(total)
+        for i in range(0, len(slot), 1 << 16):
+            yield pa.record_batch([pa.array(slot[i : i + (1 << 16)].astype(np.int32)), pa.array(total[slot[i : i + (1 << 16)]])], names=["slot", "n"])
+
+    added = lambda rows: rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where(F.col("df") >= least_docs)
+    best = settled(added(held.mapInArrow(words, "term string, df long, cf long")).orderBy(F.desc("cf"), "term").limit(most_terms))
     seen = best.agg(F.count("*").alias("n"), F.min("cf").alias("least")).first()
     floor = seen["least"] if seen["n"] == most_terms else least_docs
-    pairs = held.select(_pairs().alias("p"))
-    slot = F.pmod(F.xxhash64("term"), F.lit(counters)).cast("int").alias("slot")
-    full = pairs.select(F.explode("p").alias("term")).groupBy(slot).agg(F.count("*").alias("n")).where(F.col("n") >= floor).select("slot")
-    kept = pairs.withColumn("_i", F.monotonically_increasing_id()).select("_i", F.explode("p").alias("term")).withColumn("slot", slot).join(F.broadcast(full), "slot")  # no more rows than counters
-    # a document's pairs are one task's, so its repeats are told apart by counting them there first
-    counted = kept.groupBy("_i", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= least_docs)
+    full = held.mapInArrow(sketch, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).select("slot").toArrow()  # no more rows than counters
+    marks = np.zeros(counters, bool)
+    marks[full.column("slot").to_numpy()] = True
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        able = np.unpackbits(sent.value, count=counters).astype(bool)
+        for _, rows, codes, names in _steps(batches):
+            row, a, b = _neighbours(rows, codes)
+            kept = able[_slots(names, a, b, counters)]
+            both, inverse = np.unique(a[kept] * len(names) + b[kept], return_inverse=True)
+            if len(both):
+                yield counts(_joined(names, *np.divmod(both, len(names))), *_tally(row[kept], inverse, len(both)))
+
+    counted = added(held.mapInArrow(pairs, "term string, df long, cf long"))
     return best.unionByName(counted).orderBy(F.desc("cf"), "term").limit(most_terms).select("term", "df")
 
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 import time
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import labels as L
 from newsloom.functions import text as T
+from newsloom.operators import logistic, models, tfidf
 from newsloom.operators.summarize import pull_quote
 
 
@@ -35,3 +39,41 @@ def test_a_digest_normalizes_its_texts_once(spark):
     made = rows.select(T.digest_text(F.col("title"), F.col("summary"), F.col("body")).alias("d"))
     assert [r.d for r in made.collect()] == [("x " * 20).strip(), ("A b " + "y " * 20).strip(), None, None]
     assert made._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_replace(") <= 7  # each norm was written out where it was used
+
+
+def test_a_fit_reads_the_blocks_it_keeps_and_gives_them_back(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 6)) * [1, 10, 1, 0.1, 3, 1]
+    data = [(i, *map(float, row), int(row[0] + row[3] + rng.normal() > 0)) for i, row in enumerate(x)]
+    rows = models.assemble(spark.createDataFrame(data, "id long, " + ", ".join(f"x{i} double" for i in range(6)) + ", label int"), [f"x{i}" for i in range(6)])
+    reads, inner = [], logistic._summed
+    monkeypatch.setattr(logistic, "_summed", lambda held, *a: (reads.append(isinstance(held, DataFrame)), inner(held, *a))[1])
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    made = logistic.fit(logistic.blocks(rows, "label", "id"), 2, 2)
+    assert all(m.converged for m in made) and reads.count(True) == 1 and len(reads) > 5  # every pass read the written blocks again
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_known_terms_shuffle_no_words(spark):
+    rng = np.random.default_rng(7)
+    words = np.array([f"w{i:03}" for i in range(400)])
+    docs = spark.createDataFrame([(i % 90, " ".join(rng.choice(words, 200))) for i in range(100)] + [(None, "w001 w002"), (91, None), (92, "")], "id long, text string")
+    every = tfidf.terms(docs, "id", "text", bigrams=True)
+    known = tfidf.vocabulary(every, 2, 50).withColumn("at", F.length("term"))
+    got = tfidf.terms(docs, "id", "text", bigrams=True, known=known)
+    assert sorted(map(str, got.select("id", "term", "df", "at", "tf").collect())) == sorted(map(str, every.join(known, "term").select("id", "term", "df", "at", "tf").collect()))
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()  # all words were exploded and joined
+
+
+def test_steps_of_few_words_lose_none(monkeypatch):
+    monkeypatch.setattr(tfidf, "STEP", 7)
+    lists = [[f"w{(i * j) % 5}" for j in range(i % 11)] for i in range(40)] + [None, [], ["x"] * 30]
+    batch = pa.record_batch([pa.array(lists, pa.list_(pa.string()))], names=["w"]).slice(3)
+    steps = list(tfidf._steps(iter([batch])))
+    got = [[] for _ in range(len(batch))]
+    first = 0
+    for part, rows, codes, names in steps:
+        for r, c in zip(rows, codes, strict=True):
+            got[first + r].append(names[int(c)].as_py())
+        first += len(part)
+    assert got == [x or [] for x in lists[3:]] and len(steps) > 20
