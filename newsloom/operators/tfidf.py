@@ -20,6 +20,8 @@ TOKEN = r"(?U)\w\w+"
 CELLS, BLOCK = 64, 2048
 #: Rows of a prefix term that meet the others in one group of cosine_pairs.
 PREFIX_ROWS = 2000
+#: Copies that one row of short_pairs stands for.
+COPIES = 512
 #: Counters of frequent_terms' sketch.
 COUNTERS = 1 << 22
 #: Words that a task counts at a time, unless one text has more.
@@ -214,6 +216,49 @@ def cosine_pairs(weighted: DataFrame, key: str, least: float) -> DataFrame:
     return met.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") > least)
 
 
+def copies(counts: DataFrame, key: str) -> DataFrame:
+    """bag, n, first, keys of counts (key, term, tf): a row for each different bag of terms, with the rows that hold it, the smallest key
+    and all keys but null. A copy costs the length of its key."""
+    bags = counts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("bag"))
+    return bags.groupBy("bag").agg(F.count("*").alias("n"), F.min(key).alias("first"), F.collect_list(key).alias("keys"))
+
+
+def short_pairs(weighted: DataFrame, key: str, least: float, classes: DataFrame | None = None) -> DataFrame:
+    """a, b (a < b), cosine above `least` of unit vectors (key, term, w) of few terms; with classes (key, keys) a vector stands for all
+    its `keys`, and pairs are those of keys, also within a class.
+
+    Prefixes and groups are those of cosine_pairs, but prefix rows take their vectors along, and the join computes the cosine. A pair
+    is given by the first term that both hold, and by no other, so neither candidates nor pairs are shuffled: what is, are prefix rows,
+    once for each group of their term. Pairs of copies are made last."""
+    frequency = settled(weighted.groupBy("term").agg(F.count("*").alias("df")).withColumn("place", F.monotonically_increasing_id()))  # a row a term
+    rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key).orderBy("df", "place").rowsBetween(0, Window.unboundedFollowing))
+    placed = F.array_sort(F.collect_list(F.struct("df", "place", "w", "rest")))
+    vectors = weighted.join(frequency, "term").withColumn("rest", rest).groupBy(key).agg(placed.alias("v"))
+    held = vectors.withColumn("keys", F.array(key)) if classes is None else vectors.join(classes, key)
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("keys") / COPIES).cast("int") - 1), lambda i: F.slice("keys", i * COPIES + 1, COPIES))
+    held = held.where(F.size("keys") > 0).select("v", F.explode(chunks).alias("keys"))
+    open_ = F.size(F.filter("v", lambda t: t["rest"] >= (1 - 1e-9) * least * least))
+    rows = held.select("keys", F.col("v.place").alias("places"), F.col("v.w").alias("w"), F.col("v.rest").alias("rest"), F.explode(F.sequence(F.lit(0), open_ - 1)).alias("at"))
+    at, behind = F.col("at"), F.size("places") - F.col("at") - 1
+    own = F.get("w", at)
+    prefix = rows.select(F.get("places", at).alias("place"), "keys", own.alias("w"), F.sqrt(F.greatest(F.lit(0.0), F.get("rest", at) - own * own)).alias("after"), F.slice("places", 1, at).alias("before"), F.slice("places", at + 2, behind).alias("places"), F.slice("w", at + 2, behind).alias("ws"))
+    groups = prefix.groupBy("place").agg(F.ceil(F.count("*") / PREFIX_ROWS).cast("int").alias("groups"))
+    dealt = prefix.join(groups, "place")
+    named = lambda rows, group, side: rows.select("place", group.alias("group"), *[F.col(c).alias(f"{c}_{side}") for c in prefix.columns if c != "place"])
+    a = named(dealt, F.pmod(F.xxhash64("keys"), "groups").cast("int"), "a")
+    b = named(dealt, F.explode(F.sequence(F.lit(0), F.col("groups") - 1)), "b")
+    ka, kb = F.get("keys_a", F.lit(0)), F.get("keys_b", F.lit(0))
+    within = (ka == kb) & (F.size("before_a") == 0) & (F.size("keys_a") > 1)
+    enough = F.col("w_a") * F.col("w_b") + F.col("after_a") * F.col("after_b") >= least - 1e-9
+    met = a.join(b, ["place", "group"]).where(((ka < kb) | within) & enough & ~F.arrays_overlap("before_a", "before_b"))
+    weight_b = lambda place: F.get("ws_b", F.array_position("places_b", place).cast("int") - 1)
+    cosine = F.aggregate(F.zip_with("places_a", "ws_a", lambda place, w: w * F.coalesce(weight_b(place), F.lit(0.0))), F.col("w_a") * F.col("w_b"), lambda s, x: s + x)
+    near = met.select("keys_a", "keys_b", F.explode(F.filter(F.array(cosine), lambda c: c > least)).alias("cosine"))  # computed once
+    left = near.select(F.explode("keys_a").alias("x"), (ka == kb).alias("same"), "keys_b", "cosine")
+    pairs = left.select("x", F.explode("keys_b").alias("y"), "same", "cosine").where(~F.col("same") | (F.col("x") < F.col("y")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
+
+
 def dense_pairs(vectors: DataFrame, least: float, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
     """a, b (a < b), cosine above `least` of dense vectors (vec_id, embedding); null, empty and zero
     vectors have none, and all have one length.
