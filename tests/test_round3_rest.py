@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from newsloom.operators import tfidf
+from newsloom.operators import emotions, tfidf
 from newsloom.operators.summarize import summaries
 from newsloom.plans.queries import QUERIES
 
@@ -65,3 +65,13 @@ def test_summaries_shuffle_no_text(spark):
     made = summaries(docs, "doc_id", "title", "body")
     assert shuffled(made) == 0  # every term of every sentence was
     assert len({r.summary for r in made.where("doc_id < 60").collect()}) == 1 and made.count() == 51
+
+
+def test_lexicon_hits_shuffle_nothing(spark):
+    rows = spark.createDataFrame([(1, ["bad", "good", "good", "it's", "x"]), (2, []), (3, ["x", "back\\slash"])], "id long, tokens array<string>")
+    lists = {"positive": ["good"], "negative": ["bad", "it's"], "fear": ["it's", "back\\slash"], "joy": []}
+    lexicon = spark.createDataFrame([(c, w) for c, words in lists.items() for w in words], "category string, word string")
+    made, hits = emotions.counted(rows, "id", "tokens", lexicon, list(lists))
+    frame = made.select("id", *[h.alias(c) for c, h in hits.items()])
+    assert shuffled(frame) == 0  # rows with their texts were, to join counts
+    assert sorted(map(tuple, frame.collect())) == [(1, 2, 2, 1, 0), (2, 0, 0, 0, 0), (3, 0, 0, 1, 0)]
