@@ -1,6 +1,6 @@
 """Balanced multinomial logistic regression over sparse rows: all models of a training run in the same passes.
 
-Rows become blocks of a few hundred, written once, and kept by the executors as bytes, in memory while there is room and else
+Rows become blocks of a few hundred, or of thousands where they hold few values, written once, and kept by the executors as bytes, in memory while there is room and else
 on disk, as long as models are fitted to them: what a pass reads needs no more than unpacking. A pass over the blocks gives the loss and the gradient of every model
 that is still being fitted, the full one and those that leave out a fold; its sums are folded in a tree, so what comes
 to the driver are a few arrays of the model's size. The driver keeps a limited-memory BFGS search for each model and
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from newsloom.session import settled
 
-#: Most rows of a block, and most cells of its matrix of rows and the places that they hold.
+#: Most rows of a block, and most cells of its matrix of rows and the places that they hold; values that rows of a longer
+#: block may have on average, and most rows of such a block.
 BLOCK_ROWS, BLOCK_CELLS = 256, 1 << 21
+SHORT_VALUES, SHORT_ROWS = 32, 8192
 TOLERANCE, MOST_PASSES, MEMORY = 1e-5, 1000, 30
 #: places (ascending) and values that are not zero; what is null or not a number counts as zero.
 SPARSE = "struct<at:array<int>,w:array<double>>"
@@ -62,7 +64,9 @@ def blocks(rows: DataFrame, label: str, key: str) -> DataFrame:
         for batch in batches:
             first = 0
             while first < len(batch):
-                rows = min(BLOCK_ROWS, len(batch) - first)
+                rows = min(SHORT_ROWS, len(batch) - first)
+                if rows > BLOCK_ROWS and _rows_of(pa.concat_arrays([batch.column(0).slice(first, rows)]))[0][-1] > SHORT_VALUES * rows:
+                    rows = BLOCK_ROWS
                 while True:
                     part = batch.slice(first, rows)
                     starts, at, w = _rows_of(pa.concat_arrays([part.column(0)]))  # offsets from zero

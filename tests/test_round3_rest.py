@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from newsloom.operators import emotions, tfidf
+from newsloom.operators import emotions, logistic, models, tfidf
 from newsloom.operators.summarize import summaries
 from newsloom.plans.queries import QUERIES
 
@@ -67,6 +67,14 @@ def test_summaries_shuffle_no_text(spark):
     assert len({r.summary for r in made.where("doc_id < 60").collect()}) == 1 and made.count() == 51
 
 
+def test_short_rows_make_few_blocks(spark):
+    data = [(i, float(i % 7), float(i % 3), i % 2) for i in range(6000)]
+    rows = models.assemble(spark.createDataFrame(data, "id long, x double, y double, label int").coalesce(1), ["x", "y"])
+    held = logistic.blocks(rows, "label", "id")
+    assert held.count() <= 2  # 24 of 256 rows
+    assert logistic.class_counts(held, 2, 3).sum() == 6000
+
+
 def test_lexicon_hits_shuffle_nothing(spark):
     rows = spark.createDataFrame([(1, ["bad", "good", "good", "it's", "x"]), (2, []), (3, ["x", "back\\slash"])], "id long, tokens array<string>")
     lists = {"positive": ["good"], "negative": ["bad", "it's"], "fear": ["it's", "back\\slash"], "joy": []}
