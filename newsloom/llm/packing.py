@@ -12,7 +12,8 @@ The other pieces are packed in rounds, class by class from the longest pieces do
    range, where each is filled before the next one opens and the last one, still open, is given up again; in the end, for
    the few pieces that this leaves, as many of the longest open one each as their tokens fill at least.
 
-Equal sizes are parted by number, so a length that a third of all pieces have spreads over ranges. Every round is a written
+Equal sizes are parted by number, so a length that a third of all pieces have spreads over ranges. There are as many ranges as the
+round's rows need, at most one a shuffle partition. Every round is a written
 table; the driver sees three figures a range. A gap is all that is kept of a sequence: its next piece starts at capacity less gap.
 
 Defined results: a null or empty text is the end id alone; null and repeated doc_ids are documents of their own; a document
@@ -41,6 +42,8 @@ CLASSES = (1 / 2, 1 / 4, 1 / 8, 1 / 32, 0)
 PIECES = "n long, doc_id long, piece int, start long, length int, ids_crc32 long"
 PLACED = "n long, sequence_id long, offset int"
 GAP, PIECE = 0, 1
+#: Pieces and gaps of a range, about, as long as this makes no more ranges than the session has shuffle partitions.
+RANGE_ROWS = 20_000
 #: A swept row: of a piece its sequence and offset, if it has one; rank: the place among the range's left-over pieces or gaps.
 SWEPT = "part int, kind int, id long, size int, sequence_id long, offset int, rank long"
 
@@ -118,11 +121,16 @@ def _fill(rows: Iterator[tuple[int, int, int]], capacity: int, open_own: bool) -
     return placed, left, rest, least
 
 
-def _sweep(pieces: DataFrame, gaps: DataFrame, capacity: int, open_own: bool = False) -> DataFrame:
-    """Steps 1 and 2, or the opening of step 4, over pieces (id, size) and gaps (id, size)."""
+def _ranges(rows: int, most: int) -> int:
+    """Ranges for rows pieces and gaps: as many as hold RANGE_ROWS, since a task costs more than a range of a few rows."""
+    return max(1, min(most, -(-rows // RANGE_ROWS)))
+
+
+def _sweep(pieces: DataFrame, gaps: DataFrame, capacity: int, rows: int, open_own: bool = False) -> DataFrame:
+    """Steps 1 and 2, or the opening of step 4, over pieces (id, size) and gaps (id, size), `rows` of them."""
     both = gaps.select(F.lit(GAP).alias("kind"), "id", "size").unionByName(pieces.select(F.lit(PIECE).alias("kind"), "id", "size"))
     order = [F.desc("size"), F.col("kind"), F.col("id")]
-    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = _ranges(rows, int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -206,8 +214,8 @@ class _State:
         self.pieces = made.where(f"kind = {PIECE} and sequence_id is null").select("id", "size")
         self.gaps = made.where(f"kind = {GAP} and size > 0").select("id", "size")
 
-    def sweep(self, over: int, open_own: bool = False) -> DataFrame:
-        swept = _sweep(self.pieces.where(f"size > {over}"), self.gaps.where(f"size > {over}" if not open_own else "false"), self.capacity, open_own)
+    def sweep(self, over: int, rows: int, open_own: bool = False) -> DataFrame:
+        swept = _sweep(self.pieces.where(f"size > {over}"), self.gaps.where(f"size > {over}" if not open_own else "false"), self.capacity, rows, open_own)
         self.made.append(swept)
         return swept
 
@@ -216,10 +224,10 @@ class _State:
         while True:
             size = lambda kind, f: f(F.when((F.col("kind") == kind) & (F.col("size") > over), F.col("size")))
             both = self.pieces.select(F.lit(PIECE).alias("kind"), "size").unionByName(self.gaps.select(F.lit(GAP).alias("kind"), "size"))
-            seen = both.agg(size(PIECE, F.min).alias("piece"), size(GAP, F.max).alias("gap")).first()
+            seen = both.agg(size(PIECE, F.min).alias("piece"), size(GAP, F.max).alias("gap"), F.count_if(F.col("size") > over).alias("rows")).first()
             if seen["piece"] is None or seen["gap"] is None or seen["piece"] > seen["gap"]:
                 return
-            swept, left = self.sweep(over), F.col("rank").isNotNull()
+            swept, left = self.sweep(over, seen["rows"]), F.col("rank").isNotNull()
             of = lambda kind: left & (F.col("kind") == kind)
             figures = swept.groupBy("part").agg(F.count_if(of(PIECE)), F.max(F.when(of(PIECE), F.col("size"))), F.count_if(of(GAP)), F.min(F.when(of(GAP), F.col("size")))).collect()  # a row a range
             runs = across([tuple(x or 0 for x in row) for row in figures])
@@ -234,8 +242,8 @@ class _State:
 
     def open_full(self, over: int) -> None:
         """Sequences for the pieces longer than `over`, filled range by range."""
-        if self.pieces.where(f"size > {over}").limit(1).count():
-            self.settle(self.sweep(over, open_own=True), self.pieces.where(f"size <= {over}"), self.gaps)
+        if rows := self.pieces.where(f"size > {over}").count():
+            self.settle(self.sweep(over, rows, open_own=True), self.pieces.where(f"size <= {over}"), self.gaps)
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:

@@ -38,7 +38,9 @@ from newsloom.llm import vocab
 from newsloom.llm.common import kept_in_worker, map_rows
 
 #: Pre-tokens that a worker remembers, and the longest of them in characters.
-MEMO, LONGEST = 500_000, 64
+MEMO, LONGEST = 1_000_000, 64
+#: Characters that are cut and looked up at a time, about: their pre-tokens stay in a core's cache.
+LOOKED_UP = 100_000
 #: Documents in a shard, as long as this makes at most MOST_SHARDS of them.
 SHARD_DOCS = 20_000
 MOST_SHARDS = 10_000
@@ -75,7 +77,7 @@ class LibraryCodec(dict):
 
     def _learn(self, tokens: set[str]) -> None:
         """Words behind one space go to the library in one text, already cut and spelled; each starts with a token that opens with the space."""
-        words = [t for t in tokens if t[0] == " " and t[1:].isalpha()]
+        words = [t for t in tokens if t.rfind(" ") == 0 and "\n" not in t]
         rest = list(tokens.difference(words))
         ids = np.array(self.by_line.encode_batch_fast([vocab.spelled_lines(words)], add_special_tokens=False)[0].ids, "<u4")
         places = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
@@ -84,13 +86,30 @@ class LibraryCodec(dict):
         self.update(zip(rest, (one.tobytes() for one in self._by_library(rest)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        made: list[bytes] = []
+        start = size = 0
+        for i, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= LOOKED_UP or i == len(texts):
+                made += self._encode_few(texts[start:i])
+                start, size = i, 0
+        return made
+
+    def _encode_few(self, texts: list[str]) -> list[bytes]:
         if len(self) > MEMO:
             self.clear()
         cut = [self.split(t) if self._plain(t) else None for t in texts]
-        if missing := set(chain.from_iterable(filter(None, cut))).difference(self):
+        tokens = list(chain.from_iterable(filter(None, cut)))
+        ids, missing = list(map(self.get, tokens)), set()
+        if gaps := [i for i, known in enumerate(ids) if known is None]:
+            missing.update(map(tokens.__getitem__, gaps))
             self._learn(missing)
-        look = self.__getitem__
-        made = [b"".join(map(look, tokens)) if tokens is not None else self._by_library([text])[0].tobytes() for text, tokens in zip(texts, cut, strict=True)]
+            for i in gaps:
+                ids[i] = self[tokens[i]]
+        made, at = [], 0
+        for text, own in zip(texts, cut, strict=True):
+            made.append(self._by_library([text])[0].tobytes() if own is None else b"".join(ids[at : at + len(own)]))
+            at += len(own or ())
         for token in missing:
             if len(token) > LONGEST:
                 del self[token]

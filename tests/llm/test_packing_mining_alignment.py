@@ -89,6 +89,24 @@ def test_about_as_few_sequences_as_best_fit_decreasing(spark, name):
     assert used <= best_fit(lengths, 2048) * 1.01 + 1
 
 
+@pytest.mark.parametrize("name", LENGTHS)
+def test_many_ranges_pack_as_well_as_one(spark, name, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_ROWS", 50)
+    test_about_as_few_sequences_as_best_fit_decreasing(spark, name)
+
+
+def test_few_pieces_make_few_ranges(spark, monkeypatch):
+    seen, across = [], packing.across
+    monkeypatch.setattr(packing, "across", lambda ranges: seen.append(len(ranges)) or across(ranges))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        test_about_as_few_sequences_as_best_fit_decreasing(spark, "third one length")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert seen and max(seen) == 1
+
+
 def test_runs_pair_each_row_once():
     ranges = [(0, 0, 0, 3, 900), (1, 5, 400, 0, 0), (2, 0, 0, 2, 300), (3, 7, 100, 1, 90), (4, 9, 10, 0, 0)]
     runs = packing.across(ranges)

@@ -174,3 +174,22 @@ def test_other_tokenizers_go_to_the_library():
     own, library = token_store.LibraryCodec(vocab.read_bytes(path), P.PATTERN), Tokenizer.from_file(path)
     texts = ["Hello World, it's 3 pm", "", "<|endoftext|> ünï"]
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_remembered_words_are_not_walked_for_each_text():
+    class Watched(token_store.LibraryCodec):
+        def __iter__(self):
+            raise AssertionError("all remembered words were walked")
+
+    own = Watched(vocab.read_bytes(JSON), P.PATTERN)
+    assert own.encode(["two words", ""]) == own.encode(["two words", ""])
+
+
+@pytest.mark.parametrize("memo", [0, 1_000_000])
+def test_texts_looked_up_in_small_steps(library, monkeypatch, memo):
+    monkeypatch.setattr(token_store, "LOOKED_UP", 40)
+    monkeypatch.setattr(token_store, "MEMO", memo)
+    own = token_store.LibraryCodec(vocab.read_bytes(JSON), P.PATTERN)
+    texts = ["", "a", "  it's (3) \u00a0 x\t y\n\n \n z ", " 12 34 !? ...", "Größe " + "w" * 90, "", "你好 <|endoftext|> a", "\u1c89 b", " \r\n", "x\u2028 y"] * 3
+    texts += [f"{t} {i}" for i, t in enumerate(texts)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
