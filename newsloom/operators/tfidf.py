@@ -22,6 +22,8 @@ CELLS, BLOCK = 64, 2048
 PREFIX_ROWS = 2000
 #: Copies that one row of short_pairs stands for.
 COPIES = 512
+#: Vectors of a block of long_pairs, blocks that there are at least where there are as many vectors, and rows multiplied at a time.
+LONG_BLOCK, LEAST_BLOCKS, STRIP = 4096, 16, 512
 #: Counters of frequent_terms' sketch.
 COUNTERS = 1 << 22
 #: Words that a task counts at a time, unless one text has more.
@@ -259,6 +261,74 @@ def short_pairs(weighted: DataFrame, key: str, least: float, classes: DataFrame
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
 
 
+def long_pairs(weighted: DataFrame, key: str, least: float) -> DataFrame:
+    """a, b (a < b), cosine above `least` (which is not negative) of unit vectors (key, at, w) over a vocabulary of bounded size, where most vectors
+    share terms and a good part of all pairs is near: what candidates would save, they would cost several times over. key is a long.
+
+    Vectors are dealt to blocks of LONG_BLOCK at most, about; two blocks are one unit of work, a task's, in which strips of rows are multiplied
+    as matrices over the terms that both blocks hold. A vector is shuffled once for each block, a pair is never. All pairs are compared:
+    work grows with the square of the vectors, memory does not grow."""
+    held = settled(weighted.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.collect_list(F.struct("at", "w")).alias("v")).select("key", F.col("v.at").alias("at"), F.col("v.w").alias("w")))
+    n = held.count()
+    number = max(-(-n // LONG_BLOCK), min(LEAST_BLOCKS, n), 1)
+    own, other = F.pmod(F.xxhash64("key"), F.lit(number)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
+    met = held.withColumn("own", own).withColumn("other", other)
+    units = met.select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("second"), "key", "at", "w")
+
+    def matrix(parts: list[tuple], places: np.ndarray) -> np.ndarray:
+        made, first = np.zeros((sum(len(keys) for keys, *_ in parts), len(places))), 0
+        for keys, sizes, at, w in parts:
+            place = np.minimum(np.searchsorted(places, at), max(len(places) - 1, 0))
+            found = places[place] == at if len(places) else np.zeros(len(at), bool)
+            made[np.repeat(np.arange(first, first + len(keys)), sizes)[found], place[found]] = w[found]
+            first += len(keys)
+        return made
+
+    def pairs(unit: tuple[int, int], sides: tuple[list, list]) -> Iterator[pa.RecordBatch]:
+        same = unit[0] == unit[1]
+        first, second = sides[0], sides[0] if same else sides[1]
+        if not first or not second:
+            return
+        ids = np.concatenate([keys for keys, *_ in second])
+        used = [np.unique(np.concatenate([at for _, _, at, _ in side])) for side in (first, second)]
+        places = np.intersect1d(*used, assume_unique=True)
+        right = matrix(second, places)
+        for keys, sizes, at, w in first:
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            for start in range(0, len(keys), STRIP):
+                end = min(start + STRIP, len(keys))
+                cells = slice(ends[start], ends[end])
+                cosine = matrix([(keys[start:end], sizes[start:end], at[cells], w[cells])], places) @ right.T
+                x, y = np.nonzero(cosine > least)
+                a, b = keys[start:end][x], ids[y]
+                c = cosine[x, y]
+                if same:
+                    once = a < b
+                    a, b, c = a[once], b[once], c[once]
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(c)], names=["a", "b", "cosine"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, sides = None, ([], [])
+        for batch in batches:
+            low, high, second = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            change = np.flatnonzero((low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (second[1:] != second[:-1])) + 1
+            for start, end in zip([0, *change.tolist()], [*change.tolist(), len(batch)], strict=True):
+                if start == end:
+                    continue
+                now = (int(low[start]), int(high[start]))
+                if unit is not None and now != unit:
+                    yield from pairs(unit, sides)
+                    sides = ([], [])
+                unit, part = now, batch.slice(start, end - start)
+                column = lambda i, part=part: part.column(i).flatten().to_numpy(zero_copy_only=False)
+                sides[int(second[start])].append((part.column(3).to_numpy(), pc.list_value_length(part.column(4)).to_numpy(), column(4), column(5)))
+        if unit is not None:
+            yield from pairs(unit, sides)
+
+    dealt = units.repartition(min(number * (number + 1) // 2, 10_000), "low", "high").sortWithinPartitions("low", "high", "second")
+    return dealt.mapInArrow(compare, "a long, b long, cosine double")
+
+
 def dense_pairs(vectors: DataFrame, least: float, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
     """a, b (a < b), cosine above `least` of dense vectors (vec_id, embedding); null, empty and zero
     vectors have none, and all have one length.
