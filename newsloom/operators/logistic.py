@@ -1,6 +1,6 @@
 """Balanced multinomial logistic regression over sparse rows: all models of a training run in the same passes.
 
-Rows become blocks of a few hundred, or of thousands where they hold few values, written once, and kept by the executors as bytes, in memory while there is room and else
+Rows become blocks of some dozens that are alike, so that a block holds few places, or of thousands where they hold few values, written once, and kept by the executors as bytes, in memory while there is room and else
 on disk, as long as models are fitted to them: what a pass reads needs no more than unpacking. A pass over the blocks gives the loss and the gradient of every model
 that is still being fitted, the full one and those that leave out a fold; its sums are folded in a tree, so what comes
 to the driver are a few arrays of the model's size. The driver keeps a limited-memory BFGS search for each model and
@@ -26,9 +26,13 @@ from newsloom.session import settled
 
 #: Most rows of a block, and most cells of its matrix of rows and the places that they hold; values that rows of a longer
 #: block may have on average, and most rows of such a block.
-BLOCK_ROWS, BLOCK_CELLS = 256, 1 << 21
+BLOCK_ROWS, BLOCK_CELLS = 64, 1 << 21
 SHORT_VALUES, SHORT_ROWS = 32, 8192
+#: Places by which rows are put beside those like them.
+SORTING = 16
 TOLERANCE, MOST_PASSES, MEMORY = 1e-5, 1000, 30
+#: Bytes of short batches that are joined before blocks are cut from them, and tasks whose sums come to the driver without a tree.
+JOINED_BYTES, FEW_TASKS = 1 << 24, 16
 #: places (ascending) and values that are not zero; what is null or not a number counts as zero.
 SPARSE = "struct<at:array<int>,w:array<double>>"
 #: deal: a number of each row, by whose rest it is in a fold; row, cell, w: the rows' values, by row and by number among the
@@ -56,12 +60,37 @@ def _rows_of(features: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.concatenate([[0], np.cumsum(sizes)]), at.flatten().to_numpy(zero_copy_only=False), np.where(np.isfinite(values), values, 0.0)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches as one until they have SHORT_ROWS rows or JOINED_BYTES, so that blocks don't follow the session's size of a batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= SHORT_ROWS or sum(b.nbytes for b in held) >= JOINED_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _alike(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Its rows by which of its commonest places they hold, then by their number of values."""
+    starts, at, _ = _rows_of(pa.concat_arrays([batch.column(0)]))
+    sizes = np.diff(starts)
+    if len(at) <= SHORT_VALUES * len(batch):
+        return batch
+    common = np.argsort(-np.bincount(at), kind="stable")[:SORTING]
+    bit = np.zeros(at.max() + 1)
+    bit[common] = 2.0 ** -np.arange(len(common))
+    held = np.bincount(np.repeat(np.arange(len(batch)), sizes), bit[at], len(batch))
+    return batch.take(pa.array(np.lexsort((sizes, held))))
+
+
 def blocks(rows: DataFrame, label: str, key: str) -> DataFrame:
     """Blocks of rows (features, label, key); rows without a label take no part."""
     deal = F.pmod(F.xxhash64(key), F.lit(1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(_alike, _joined(batches)):
             first = 0
             while first < len(batch):
                 rows = min(SHORT_ROWS, len(batch) - first)
@@ -109,16 +138,16 @@ def kept(held: DataFrame) -> RDD:
 
 
 def _summed(held: DataFrame | RDD, size: int, work) -> np.ndarray:
-    """The sum over blocks of the arrays of `size` that work gives; added up in each task, then in a tree."""
+    """The sum over blocks of what work adds to an array of `size`; added up in each task, then in a tree."""
 
     def run(rows):
         total = np.zeros(size)
         for block in rows:
-            total += work(*_unpack(block))
+            work(total, *_unpack(block))
         yield total
 
     found = held.rdd.map(lambda block: tuple(block[c] for c in KINDS)) if isinstance(held, DataFrame) else held
-    total = found.mapPartitions(run).treeAggregate(0.0, np.add, np.add)  # arrays of fixed size: DataFrames have no aggregate for their sums
+    total = found.mapPartitions(run).treeAggregate(0.0, np.add, np.add, 1 if found.getNumPartitions() <= FEW_TASKS else 2)  # arrays of fixed size: DataFrames have no aggregate for their sums
     return total + np.zeros(size)  # where there are no blocks
 
 
@@ -171,8 +200,8 @@ class _Search:
 def class_counts(held: DataFrame, classes: int, folds: int = 1) -> np.ndarray:
     """Rows of each fold and class."""
 
-    def count(label, deal, x, places) -> np.ndarray:
-        return np.bincount(deal % folds * classes + label, minlength=folds * classes).astype(float)
+    def count(total, label, deal, x, places) -> None:
+        total += np.bincount(deal % folds * classes + label, minlength=folds * classes)
 
     return _summed(held, folds * classes, count).reshape(folds, classes)
 
@@ -195,20 +224,19 @@ def fit(held: DataFrame, classes: int, folds: int = 0) -> list[Logistic | None]:
         points = np.stack([searches[m].trial.reshape(classes, places + 1) for m in open_])
         sent = spark.sparkContext.broadcast((points, known[open_], weight[open_] / n[open_, None], np.array(open_)))
 
-        def work(label, deal, x, places, sent=sent) -> np.ndarray:
+        def work(total, label, deal, x, places, sent=sent) -> None:
             """Losses, then gradients, of all open models over a block."""
             points, known, weight, numbers = sent.value
             logs = _logs(_products(x, places, points), known)
             share = weight[:, label].T * (deal[:, None] % max(folds, 1) != numbers - 1)  # rows x models; the full model, number 0, leaves out none
             rows = np.arange(len(label))
-            losses = -(np.where(share > 0, logs[rows, :, label], 0) * share).sum(axis=0)
+            total[: len(numbers)] -= (np.where(share > 0, logs[rows, :, label], 0) * share).sum(axis=0)
             errors = np.exp(logs)
             errors[rows, :, label] -= 1
             errors = (errors * share[:, :, None]).reshape(len(label), -1)
-            gradient = np.zeros((errors.shape[1], points.shape[2]))
-            gradient[:, places] = errors.T @ x
-            gradient[:, -1] = errors.sum(axis=0)
-            return np.concatenate([losses, gradient.ravel()])
+            gradient = total[len(numbers) :].reshape(errors.shape[1], points.shape[2])  # a view
+            gradient[:, places] += errors.T @ x
+            gradient[:, -1] += errors.sum(axis=0)
 
         got = _summed(ready, len(open_) + points.size, work)
         sent.destroy()
@@ -233,7 +261,7 @@ def quality(held: DataFrame, models: list[Logistic | None], values: list[float])
     numbers = [m for m, model in enumerate(models) if model is not None]
     sent = held.sparkSession.sparkContext.broadcast((*_stacked([models[m] for m in numbers]), np.array(values)))
 
-    def work(label, deal, x, places) -> np.ndarray:
+    def work(total, label, deal, x, places) -> None:
         """For each model hits and rows of its fold; the full model's distances and all rows."""
         points, known, worth = sent.value
         made = np.zeros((len(numbers), 2))
@@ -241,7 +269,7 @@ def quality(held: DataFrame, models: list[Logistic | None], values: list[float])
         for i, m in enumerate(numbers):
             out = deal % (len(models) - 1) == m - 1 if m else None
             made[i] = [np.abs(worth[best[:, i]] - worth[label]).sum(), len(label)] if m == 0 else [(best[out, i] == label[out]).sum(), out.sum()]
-        return made.ravel()
+        total += made.ravel()
 
     got = _summed(held, 2 * len(numbers), work).reshape(-1, 2)
     sent.destroy()

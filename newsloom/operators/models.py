@@ -51,12 +51,11 @@ def fit_text(docs: DataFrame, text: str, most_terms: int = MOST_TERMS) -> TextSp
 def assemble_text(rows: DataFrame, features: list[str], docs: DataFrame, key: str, text: str, space: TextSpace) -> DataFrame:
     """rows with `features`: a place for each of the columns, and behind them one for each term that docs (key, text) holds,
     by sublinear weight; of unit length together."""
-    found = tfidf.terms(docs, key, text, tfidf.stop_words(), bigrams=True, known=space.terms)
-    weighted = tfidf.weigh(found, key, space.documents, sublinear=True)
-    held = weighted.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((F.col("at") + len(features)).alias("at"), "w"))).alias("_t"))
-    plain = F.array(*[F.struct(F.lit(i).alias("at"), F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("w")) for i, c in enumerate(features)])
-    both = F.concat(plain, F.coalesce("_t", F.array().cast("array<struct<at:int,w:double>>")))
-    return rows.join(held, key, "left").withColumn("_f", both).withColumn("features", F.struct(F.col("_f.at").alias("at"), F.col("_f.w").alias("w"))).drop("_t", "_f")
+    behind = space.terms.withColumn("at", (F.col("at") + len(features)).cast("int"))
+    held = tfidf.known_vectors(docs, key, text, tfidf.stop_words(), behind, space.documents, bigrams=True, sublinear=True).select(key, F.col("at").alias("_at"), F.col("w").alias("_w"))
+    plain = F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features])
+    both = [F.concat(first, F.coalesce(rest, F.array().cast(kind))) for first, rest, kind in ((F.lit(list(range(len(features)))).cast("array<int>"), "_at", "array<int>"), (plain, "_w", "array<double>"))]
+    return rows.join(held, key, "left").withColumn("features", F.struct(both[0].alias("at"), both[1].alias("w"))).drop("_at", "_w")
 
 
 def train(rows: DataFrame, values: list[float], folds: int = 3, fold_key: str = "id") -> Trained:

@@ -96,12 +96,10 @@ def _joined(names: pa.Array, a: np.ndarray, b: np.ndarray) -> pa.Array:
     return pc.binary_join_element_wise(names.take(pa.array(a)), names.take(pa.array(b)), " ")
 
 
-def _known_terms(held: DataFrame, key: str, known: DataFrame, bigrams: bool) -> DataFrame:
-    """key, known's columns, tf of held (key, w); the vocabulary is looked up as arrays in tasks."""
-    table = known.toArrow()  # of bounded size
+def _lookup(table: pa.Table, bigrams: bool):
+    """A function from batches (key, w) to their parts, and with each the rows, numbers in table and occurrences of the terms that it holds,
+    by row."""
     terms = table.column("term").combine_chunks()
-    fields = [held.schema[key], *known.schema.fields]
-    schema = StructType([*fields, StructField("n", held.selectExpr("1L as n").schema["n"].dataType)])
     first, second = (pa.array([t.split(" ", 1)[side] if " " in t else None for t in terms.to_pylist()], pa.string()) for side in (0, 1))
     single = np.array([" " not in t for t in terms.to_pylist()], bool)
     words = pc.unique(pa.concat_arrays([terms.cast(pa.string()).filter(pa.array(single)), first.drop_null(), second.drop_null()]))
@@ -112,7 +110,7 @@ def _known_terms(held: DataFrame, key: str, known: DataFrame, bigrams: bool) ->
     order = np.argsort(keys)
     keys = keys[order]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
         for part, rows, codes, names in _steps(batches, 1):
             at = number(names)[codes] + 1 if len(codes) else codes
             found, owner = at * size, rows
@@ -124,14 +122,62 @@ def _known_terms(held: DataFrame, key: str, known: DataFrame, bigrams: bool) ->
             hit = (place < len(keys)) & (keys[np.minimum(place, len(keys) - 1)] == found) if len(keys) else np.zeros(len(found), bool)
             seen, times = np.unique(owner[hit] * max(len(keys), 1) + place[hit], return_counts=True)
             row, term = np.divmod(seen, max(len(keys), 1))
-            taken = table.take(pa.array(order[term])).combine_chunks()
+            yield part, row, order[term], times.astype(np.int64)
+
+    return look
+
+
+def _known_terms(held: DataFrame, key: str, known: DataFrame, bigrams: bool) -> DataFrame:
+    """key, known's columns, tf of held (key, w); the vocabulary is looked up as arrays in tasks."""
+    table = known.toArrow()  # of bounded size
+    look = _lookup(table, bigrams)
+    fields = [held.schema[key], *known.schema.fields]
+    schema = StructType([*fields, StructField("n", held.selectExpr("1L as n").schema["n"].dataType)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, row, term, times in look(batches):
+            taken = table.take(pa.array(term)).combine_chunks()
             columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in taken.columns]
-            yield pa.record_batch([part.column(0).take(pa.array(row)), *columns, pa.array(times.astype(np.int64))], names=schema.names)
+            yield pa.record_batch([part.column(0).take(pa.array(row)), *columns, pa.array(times)], names=schema.names)
 
     counted = held.select(key, "w").mapInArrow(count, schema).repartition(F.col(key))
     return counted.groupBy(key, *known.columns).agg(F.sum("n").alias("tf"))
 
 
+def known_vectors(docs: DataFrame, key: str, text: str, stop: list[str], known: DataFrame, documents: int, bigrams: bool = False, sublinear: bool = False) -> DataFrame:
+    """key, at, w: for each key the vector of `terms` and `weigh` over a vocabulary (term, df, at) of bounded size, as arrays in ascending `at`.
+
+    A row is counted and a key weighed as arrays in tasks; what is shuffled are a row's counts, as one row."""
+    table = known.toArrow()  # of bounded size
+    places, df = table.column("at").to_numpy().astype(np.int32), table.column("df").to_numpy().astype(float)
+    rarity = np.zeros(int(places.max(initial=-1)) + 1)
+    rarity[places] = np.log((1 + documents) / (1 + df)) + 1
+    look = _lookup(table, bigrams)
+    name = docs.schema[key].dataType.simpleString()
+
+    def lists(rows: np.ndarray, size: int, values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=size))]), pa.int32()), pa.array(values))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, row, term, times in look(batches):
+            yield pa.record_batch([part.column(0), lists(row, len(part), places[term]), lists(row, len(part), times)], names=["key", "at", "n"])
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.repeat(np.arange(len(batch)), pc.list_value_length(batch.column(1)).to_numpy())
+            at, n = (batch.column(i).flatten().to_numpy() for i in (1, 2))
+            cells, inverse = np.unique(rows * max(len(rarity), 1) + at, return_inverse=True)  # a key of several rows has a place several times
+            row, place = np.divmod(cells, max(len(rarity), 1))
+            tf = np.bincount(inverse, n, len(cells))
+            w = (1 + np.log(tf) if sublinear else tf) * rarity[place]
+            w /= np.sqrt(np.bincount(row, w * w, len(batch)))[row]
+            yield pa.record_batch([batch.column(0), lists(row, len(batch), place.astype(np.int32)), lists(row, len(batch), w)], names=["key", "at", "w"])
+
+    counted = _tokens(docs.where(F.col(key).isNotNull()), text, [key], stop).mapInArrow(count, f"key {name}, at array<int>, n array<long>")
+    by = counted.groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("l")).select("key", F.flatten("l.at").alias("at"), F.flatten("l.n").alias("n"))
+    return by.mapInArrow(weighed, f"key {name}, at array<int>, w array<double>").withColumnRenamed("key", key)
+
+
 def frequent_terms(docs: DataFrame, text: str, stop: list[str] = (), most_terms: int = 5000, least_docs: int = 2, counters: int = COUNTERS) -> DataFrame:
     """term, df of the most_terms most frequent words and pairs, just as `vocabulary` of `terms` with bigrams gives them.
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from newsloom.operators import tfidf
+from newsloom.operators import logistic, models, tfidf
 from newsloom.plans.queries import QUERIES
 from tests.test_round3_rest import made_articles, shuffled
 
@@ -33,3 +35,46 @@ def test_long_pairs_lose_none(spark, monkeypatch):
     want = {(i, j): c[i, j] for i in range(150) for j in range(i + 1, 150) if c[i, j] > 0.4}
     assert len(found) == len(got) and set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in want)
     assert tfidf.long_pairs(spark.createDataFrame([], "id long, at int, w double"), "id", 0.4).count() == 0
+
+
+@pytest.mark.parametrize("sublinear", [False, True])
+def test_vectors_of_known_terms(spark, sublinear):
+    rng = np.random.default_rng(7)
+    words = np.array([f"w{i:03}" for i in range(200)])
+    docs = spark.createDataFrame([(i % 90, " ".join(rng.choice(words, 60))) for i in range(100)] + [(None, "w001 w002"), (91, None), (92, "")], "id long, text string")
+    every = tfidf.terms(docs, "id", "text", ["w005"], bigrams=True)
+    known = tfidf.vocabulary(every, 2, 120).withColumn("at", 3 * F.row_number().over(tfidf.Window.orderBy(F.desc("term")))).localCheckpoint()
+    plain = tfidf.weigh(every.join(known, "term"), "id", 100, sublinear).where("id is not null")
+    want = {r["id"]: dict(r["v"]) for r in plain.groupBy("id").agg(F.collect_list(F.struct("at", "w")).alias("v")).collect()}
+    got = tfidf.known_vectors(docs, "id", "text", ["w005"], known, 100, bigrams=True, sublinear=sublinear)
+    rows = {r["id"]: r for r in got.collect()}
+    assert len(rows) == 92 and all(r["at"] == sorted(want.get(i, {})) and r["w"] == pytest.approx([want[i][a] for a in r["at"]]) for i, r in rows.items())
+    assert shuffled(got) <= 102  # a row a term, with its text
+
+
+def test_texts_are_assembled_without_a_row_for_each_term(spark):
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{i:03}" for i in range(60)])
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, 80))) for i in range(100)], "id long, text string")
+    made = models.assemble_text(docs.withColumn("x", F.lit(1.0)), ["x"], docs, "id", "text", models.fit_text(docs, "text"))
+    assert shuffled(made) <= 1000  # 11,518 were: each term of each text
+
+
+def test_blocks_hold_rows_that_are_alike(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, i % 2, {"at": [0, *sorted((rng.choice(300, 200, replace=False) + 1 + 300 * (i % 5)).tolist())], "w": [1.0] * 201}) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "id long, label int, features struct<at:array<int>,w:array<double>>").coalesce(1)
+    held = logistic.blocks(frame, "label", "id")
+    cells = held.select(F.sum(F.octet_length("label") * F.octet_length("places") / 16)).first()[0]
+    assert cells < 1000 * 1501 / 2 and logistic.class_counts(held, 2).tolist() == [[500, 500]]  # all places in all blocks
+
+
+def test_blocks_do_not_follow_the_size_of_a_batch(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, "10000")
+    spark.conf.set(name, "500")
+    rows = models.assemble(spark.createDataFrame([(i, float(i % 7), i % 2) for i in range(6000)], "id long, x double, label int").coalesce(1), ["x"])
+    held = logistic.blocks(rows, "label", "id")
+    n, counts = held.count(), logistic.class_counts(held, 2, 3)
+    spark.conf.set(name, before)
+    assert n == 1 and counts.sum() == 6000  # 12
